@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -201,67 +203,92 @@ def read_file(path: str, table: Table) -> Iterator[tuple[int | None, np.ndarray]
 
 
 class WordCache:
-    """Byte-level BPE through the tokenizers library, text cut where the pattern always cuts.
+    """Byte-level BPE through the tokenizers library, text cut where its pattern always cuts.
 
-    A single space between two characters that are not white space always starts a new piece, so the parts of
-    ``text.split(" ")`` can be encoded apart and remembered; parts at other white space are joined again first.
-    Texts that hold the text of an added token go to the library whole. The memory is bounded by ``most`` parts.
+    Around a single line feed, and before a single space, between characters that are not white space a new piece always
+    starts, so the words of regular lines can be encoded apart and remembered. Texts with other white space, or with the
+    text of an added token, go to the library whole. Beyond ``most`` words, those that are not in the present texts are forgotten.
     """
 
     def __init__(self, tokenizer_file: str, dtype: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.most = Tokenizer.from_file(tokenizer_file), dtype, most
+        self.tokenizer, self.code, self.most = Tokenizer.from_file(tokenizer_file), {"<u2": "H", "<u4": "I"}[dtype], most
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.known) + len(parts) > self.most:
-            self.known.clear()
-        for start in range(0, len(parts), 20_000):
-            some = parts[start : start + 20_000]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(found.ids, self.dtype).tobytes()
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        pieces = text.split(" ")
-        if all(p and not p[0].isspace() and not p[-1].isspace() for p in pieces):
-            return [pieces[0], *[" " + p for p in pieces[1:]]] if len(pieces) > 1 else pieces
-        out = [pieces[0]]
-        for p in pieces[1:]:
-            if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
+        self.inner: dict[str, bytes] = {}  # words with a space before them
+        self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.feed = self._ids(["\n"])[0]
+        self.feed_id = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?")), strict=True))
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # how byte-level BPE writes a space
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words, a thousand to a string: a piece that starts with the space (or a line feed of its own) starts the next word."""
+        out = []
+        for start in range(0, len(words), 1000):
+            some = words[start : start + 1000]
+            text = "".join([before + w for w in some]) if before else "\n" + "\n".join(some)
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+            at = np.flatnonzero(self.spaced[ids] if before else ids == self.feed_id)
+            if len(at) != len(some):
+                out += self._ids([before + w for w in some])
+                continue
+            coded, width = ids.astype(self.code).tobytes(), array(self.code).itemsize
+            ends = [*(at[1:] * width).tolist(), len(coded)]
+            starts = ((at + (not before)) * width).tolist()
+            out += [coded[i:j] for i, j in zip(starts, ends, strict=True)]
         return out
 
+    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> dict[str, bytes]:
+        if len(known) + len(words) > self.most:
+            known = {w: known[w] for w in words if w in known}
+        new = words - known.keys()
+        ended = [w for w in new if w[-1] in self.marks and w[-2:-1].isalnum()]  # a mark after a letter or digit is a piece of its own
+        plain = list((new.difference(ended) | {w[:-1] for w in ended}) - known.keys())
+        known.update(zip(plain, self._word_ids(plain, before), strict=True))
+        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in ended)
+        return known
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        cut = [[] if i in whole else self.parts(t) for i, t in enumerate(texts)]
-        known = self.known
-        new = list({p for ps in cut for p in ps if p not in known and p})
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list({p for ps in cut for p in ps if p})
-        self._learn(new)
-        known[""] = b""
-        out = [b"".join([known[p] for p in ps]) for ps in cut]
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
+        cut: list[list[list[str]] | None] = []
+        for text in texts:
+            lines = [line.split(" ") for line in text.split("\n")]
+            regular = text and [w for ws in lines for w in ws] == text.split() and not any(a in text for a in self.added)
+            cut.append(lines if regular else None)
+        inner, first = set(), set()
+        for lines in cut:
+            for ws in lines or ():
+                first.add(ws[0])
+                inner.update(ws[1:])
+        self.inner, self.first = self._learn(self.inner, inner, " "), self._learn(self.first, first, "")
+        at, start = self.inner.__getitem__, self.first.__getitem__
+        out = [b"" if lines is None else self.feed.join([start(ws[0]) + b"".join(map(at, ws[1:])) for ws in lines]) for lines in cut]
+        for i, lines in enumerate(cut):
+            if lines is None:
+                out[i] = self._ids([texts[i]])[0]
         return out
 
 
+@cache
+def word_cache(tokenizer_file: str, dtype: str) -> WordCache:
+    """One for all tasks of a Python worker."""
+    return WordCache(tokenizer_file, dtype)
+
+
 def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str) -> DataFrame:
     """``doc_id, ids`` (binary, of little-endian ``dtype``), the end id included; a null text counts as empty."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        cache, end = WordCache(tokenizer_file, dtype), np.array([end_id], dtype).tobytes()
+        words, end = word_cache(tokenizer_file, dtype), np.array([end_id], dtype).tobytes()
         for batch in batches:
             for a, b in text_slices(batch, "text", 4 << 20):
                 part = batch.slice(a, b - a)
-                found = cache.encode([t or "" for t in part.column("text").to_pylist()])
+                found = words.encode([t or "" for t in part.column("text").to_pylist()])
                 yield rows_out(schema, {"doc_id": part.column("doc_id").to_pylist(), "ids": [x + end for x in found]})
 
     return flat(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ids binary")
