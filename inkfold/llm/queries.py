@@ -15,8 +15,14 @@ def op9_rans(spark, sf_dir):
     return token_output(table(spark, sf_dir, "documents"), TOKENIZER_FILE)
 
 
+def op4_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {"op9_rans": op9_rans}
+    return {"op4_toxicity": op4_toxicity, "op9_rans": op9_rans}
 
 
 def oracle_sql():
