@@ -15,6 +15,12 @@ def op9_rans(spark, sf_dir):
     return token_output(table(spark, sf_dir, "documents"), TOKENIZER_FILE)
 
 
+def op1_warc(spark, sf_dir):
+    from .warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark, sf_dir):
     from .toxicity import toxicity
 
@@ -22,8 +28,10 @@ def op4_toxicity(spark, sf_dir):
 
 
 def queries():
-    return {"op4_toxicity": op4_toxicity, "op9_rans": op9_rans}
+    return {"op1_warc": op1_warc, "op4_toxicity": op4_toxicity, "op9_rans": op9_rans}
 
 
 def oracle_sql():
-    return {}
+    from . import warc
+
+    return {"op1_warc": warc.SQL}
