@@ -9,6 +9,12 @@ from .common import table
 TOKENIZER_FILE = os.environ.get("INKFOLD_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
+def op8_jaccard_join(spark, sf_dir):
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_rans(spark, sf_dir):
     from .rans import token_output
 
@@ -28,7 +34,7 @@ def op4_toxicity(spark, sf_dir):
 
 
 def queries():
-    return {"op1_warc": op1_warc, "op4_toxicity": op4_toxicity, "op9_rans": op9_rans}
+    return {"op1_warc": op1_warc, "op4_toxicity": op4_toxicity, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans}
 
 
 def oracle_sql():
