@@ -210,7 +210,7 @@ class WordCache:
     text of an added token, go to the library whole. Beyond ``most`` words, those that are not in the present texts are forgotten.
     """
 
-    def __init__(self, tokenizer_file: str, dtype: str, most: int = 600_000):
+    def __init__(self, tokenizer_file: str, dtype: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.code, self.most = Tokenizer.from_file(tokenizer_file), {"<u2": "H", "<u4": "I"}[dtype], most
@@ -254,22 +254,22 @@ class WordCache:
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[list[str]] | None] = []
+        regular, inner, first = [], set(), set()
         for text in texts:
-            lines = [line.split(" ") for line in text.split("\n")]
-            regular = text and [w for ws in lines for w in ws] == text.split() and not any(a in text for a in self.added)
-            cut.append(lines if regular else None)
-        inner, first = set(), set()
-        for lines in cut:
-            for ws in lines or ():
-                first.add(ws[0])
-                inner.update(ws[1:])
+            words = text.split()
+            ok = bool(words) and text.count(" ") + text.count("\n") + 1 == len(words) and not any(a in text for a in self.added)
+            regular.append(ok)
+            if ok:
+                inner.update(words)
+                first.update([line.partition(" ")[0] for line in text.split("\n")])
         self.inner, self.first = self._learn(self.inner, inner, " "), self._learn(self.first, first, "")
-        at, start = self.inner.__getitem__, self.first.__getitem__
-        out = [b"" if lines is None else self.feed.join([start(ws[0]) + b"".join(map(at, ws[1:])) for ws in lines]) for lines in cut]
-        for i, lines in enumerate(cut):
-            if lines is None:
-                out[i] = self._ids([texts[i]])[0]
+        at, start, out = self.inner.__getitem__, self.first.__getitem__, []
+        for text, ok in zip(texts, regular, strict=True):
+            if ok:
+                lines = [line.split(" ") for line in text.split("\n")]
+                out.append(self.feed.join([start(ws[0]) + b"".join(map(at, ws[1:])) for ws in lines]))
+            else:
+                out.append(self._ids([text])[0])
         return out
 
 
