@@ -78,7 +78,7 @@ def meeting_keys(sets: list[np.ndarray], nodes: np.ndarray, bands: Bands) -> tup
         empty = m - np.bincount(own, minlength=len(some))
         for i in np.flatnonzero(empty > bands.spare[b[some]]):  # too many segments are empty: those are keys as well
             missing = np.setdiff1d(np.arange(m[i]), seg[own == i])
-            out_keys.append(mix(missing.astype(U64) * MULTIPLIERS[3] + U64(int(b[some][i]) + 1) * MULTIPLIERS[6]))
+            out_keys.append(mix(missing.astype(U64) * MULTIPLIERS[3] + np.full(len(missing), int(b[some][i]) + 1, U64) * MULTIPLIERS[6]))
             out_nodes.append(np.full(len(missing), nodes[some][i]))
     if not out_keys:
         return np.zeros(0, U64), np.zeros(0, np.int64)

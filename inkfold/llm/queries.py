@@ -27,6 +27,12 @@ def op1_warc(spark, sf_dir):
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     from .toxicity import toxicity
 
@@ -34,7 +40,7 @@ def op4_toxicity(spark, sf_dir):
 
 
 def queries():
-    return {"op1_warc": op1_warc, "op4_toxicity": op4_toxicity, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans}
+    return {"op1_warc": op1_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans}
 
 
 def oracle_sql():
