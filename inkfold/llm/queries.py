@@ -9,6 +9,12 @@ from .common import table
 TOKENIZER_FILE = os.environ.get("INKFOLD_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
+def op5_ann(spark, sf_dir):
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_jaccard_join(spark, sf_dir):
     from .jaccard_join import jaccard_join
 
@@ -40,7 +46,7 @@ def op4_toxicity(spark, sf_dir):
 
 
 def queries():
-    return {"op1_warc": op1_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans}
+    return {"op1_warc": op1_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans}
 
 
 def oracle_sql():
