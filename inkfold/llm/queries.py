@@ -15,6 +15,12 @@ def op5_ann(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_decontaminate(spark, sf_dir):
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard_join(spark, sf_dir):
     from .jaccard_join import jaccard_join
 
@@ -46,7 +52,7 @@ def op4_toxicity(spark, sf_dir):
 
 
 def queries():
-    return {"op1_warc": op1_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans}
+    return {"op1_warc": op1_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_decontaminate": op6_decontaminate, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans}
 
 
 def oracle_sql():
