@@ -246,9 +246,9 @@ class WordCache:
     def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> dict[str, bytes]:
         if len(known) + len(words) > self.most:
             known = {w: known[w] for w in words if w in known}
-        new = words - known.keys()
+        new = words.difference(known)  # a dict's keys() would be walked whole
         ended = [w for w in new if w[-1] in self.marks and w[-2:-1].isalnum()]  # a mark after a letter or digit is a piece of its own
-        plain = list((new.difference(ended) | {w[:-1] for w in ended}) - known.keys())
+        plain = list((new.difference(ended) | {w[:-1] for w in ended}).difference(known))
         known.update(zip(plain, self._word_ids(plain, before), strict=True))
         known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in ended)
         return known

@@ -34,7 +34,7 @@ class WordHashes:
         if len(self.known) + len(here) > self.most:
             self.known = {w: self.known[w] for w in here if w in self.known}
         digest = xxhash.xxh64_intdigest
-        for w in here - self.known.keys():
+        for w in here.difference(self.known):  # a dict's keys() would be walked whole
             self.known[w] = digest(w)
         at = self.known.__getitem__
         return np.fromiter((h for ws in texts for h in map(at, ws)), U64, sum(map(len, texts)))
