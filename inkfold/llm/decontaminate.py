@@ -26,7 +26,7 @@ from .shingles import U64, mix, window_hashes
 import xxhash  # isort: skip
 
 SAMPLE = 3  # places of an embedding in one hash
-TABLES = 4  # samples of a walk
+TABLES = 12  # samples of a walk
 PAD = U64(0x5BD1E9955BD1E995)
 
 
@@ -139,7 +139,7 @@ class Matcher:
     @staticmethod
     def _filter(keys: list[int]) -> np.ndarray:
         """A bit table that holds all keys: few other hashes pass."""
-        bits = max(16, (64 * len(keys)).bit_length())
+        bits = max(16, min(24, (4096 * len(keys)).bit_length()), (64 * len(keys)).bit_length())
         out = np.zeros(1 << bits, bool)
         out[np.array(keys, U64) & U64((1 << bits) - 1)] = True
         return out
@@ -165,6 +165,19 @@ class Matcher:
         found = met.mean(0) if len(some) else np.ones(32)
         return int(np.argmax(found >= recall)) + 1 if (found >= recall).any() else 32, tables
 
+    def scan(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        """The matches of each text. Pieces are looked for in all texts at once, only texts that hold one are searched further."""
+        words = [(t or "").split() for t in texts]
+        h = normal().of([w for ws in words for w in ws])
+        owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])[h != 0]
+        h = h[h != 0]
+        hit = np.zeros(len(texts), bool)
+        for size, (bits, _) in self.pieces.items():
+            at = np.flatnonzero(bits[window_hashes(h, size) & U64(len(bits) - 1)])
+            hit[owner[at[owner[at] == owner[at + size - 1]]]] = True
+        ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+        return [self.matches(h[ends[i] : ends[i + 1]]) if hit[i] else [] for i in range(len(texts))]
+
     def matches(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Best match of each item found in the word hashes of a text: (item id, distance, first word, end)."""
         starts: dict[int, set[int]] = defaultdict(set)
@@ -235,13 +248,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, reca
         def run(batches):
             matcher = matcher_of(packed)
             for batch in batches:
-                found = {name: [] for name in out.names}
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    h = word_hashes(text)
-                    for item, d, a, b in matcher.matches(h):
-                        for name, v in zip(out.names, (doc_id, item, d, b - a, a, b), strict=True):
-                            found[name].append(v)
-                yield rows_out(out, found)
+                for i, j in text_slices(batch, "text"):
+                    found = {name: [] for name in out.names}
+                    part = batch.slice(i, j - i)
+                    for doc_id, matches in zip(part.column("doc_id").to_pylist(), matcher.scan(part.column("text").to_pylist()), strict=True):
+                        for item, d, a, b in matches:
+                            for name, v in zip(out.names, (doc_id, item, d, b - a, a, b), strict=True):
+                                found[name].append(v)
+                    yield rows_out(out, found)
 
         return docs.mapInArrow(run, "doc_id long, item_id long, distance int, n_words int, first_word long, end_word long")
 
@@ -262,7 +276,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, r
             for batch in batches:
                 for a, b in text_slices(batch, "text"):
                     part = batch.slice(a, b - a)
-                    yield part.filter(pa.array([not matcher.matches(word_hashes(t)) for t in part.column("text").to_pylist()], pa.bool_()))
+                    yield part.filter(pa.array([not found for found in matcher.scan(part.column("text").to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
     return docs
