@@ -61,31 +61,31 @@ def edits(n: int, share: float) -> int:
     return int(n * share + 1e-9)
 
 
-def embed(windows: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embeddings (3n symbols) of windows of n word hashes."""
+def embed(windows: np.ndarray, walks: int) -> np.ndarray:
+    """CGK embeddings (walks, windows, 3n symbols) of windows of n word hashes."""
     b, n = windows.shape
     padded = np.concatenate([windows, np.full((b, 1), PAD)], 1)
-    at, out, rows = np.zeros(b, np.int64), np.empty((b, 3 * n), U64), np.arange(b)
+    rows, seed = np.tile(np.arange(b), walks), np.repeat(np.arange(walks, dtype=U64), b) * U64(0x9E3779B97F4A7C15)
+    at, out = np.zeros(b * walks, np.int64), np.empty((b * walks, 3 * n), U64)
     for j in range(3 * n):
         c = padded[rows, at]
         out[:, j] = c
-        step = mix(c + U64((seed * 1_000_003 + j) * 2_654_435_761 % (1 << 62))) >> U64(63)
+        step = mix(c + seed + U64((j + 1) * 2_654_435_761)) >> U64(63)
         at = np.minimum(at + step.astype(np.int64), n)
-    return out
+    return out.reshape(walks, b, 3 * n)
 
 
 def table_keys(windows: np.ndarray, walks: int, tables: int) -> np.ndarray:
     """LSH keys of windows of one size: a column for each walk and table."""
     b, n = windows.shape
-    out = np.empty((b, walks * tables), U64)
+    out, embedded = np.empty((b, walks * tables), U64), embed(windows, walks)
     for w in range(walks):
-        e, rng = embed(windows, w), np.random.default_rng(1000 + w)
-        for t in range(tables):
-            places = np.sort(rng.choice(int(2.2 * n), SAMPLE, replace=n < SAMPLE))
-            key = np.full(b, U64(n * 65_537 + w * 257 + t))
-            for p in places:
-                key = mix(key * U64(0x9E3779B97F4A7C15) + e[:, p])
-            out[:, w * tables + t] = key
+        rng = np.random.default_rng(1000 + w)
+        places = np.stack([np.sort(rng.choice(int(2.2 * n), SAMPLE, replace=n < SAMPLE)) for _ in range(tables)])
+        key = np.repeat(np.arange(tables, dtype=U64)[None] + U64(n * 65_537 + w * 257), b, 0)
+        for p in places.T:
+            key = mix(key * U64(0x9E3779B97F4A7C15) + embedded[w][:, p])
+        out[:, w * tables : (w + 1) * tables] = key
     return out
 
 
