@@ -138,10 +138,9 @@ def block_edges(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
 class Tree:
     """A signature tree over sets sorted by size. Level 0 are the sets; a node of level i covers ``LEAF * FAN**(i-1)`` sets."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], words: int):
         self.sets, self.n = sets, len(sets)
         sizes = np.array([len(s) for s in sets], np.int64)
-        words = int(min(1024, max(8, 1 << math.ceil(math.log2(max(1, 16 * float(np.median(sizes)) / 64))))))
         bits = np.zeros((self.n, words), U64)
         for i, s in enumerate(sets):
             at = (s >> U64(20)) % U64(words * 64)
@@ -212,7 +211,8 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], chunk: np.ndarray, pe
     """Links that connect the members of a block (or of two chunks of it: only from one to the other)."""
     kinds = np.unique(chunk)
     groups = [sorted(np.flatnonzero(chunk == c), key=lambda i: (len(sets[i]), nodes[i])) for c in kinds]
-    trees = [Tree([sets[i] for i in g]) for g in groups]
+    words = int(min(1024, max(8, 1 << math.ceil(math.log2(max(1, float(np.median([len(s) for s in sets])) / 4))))))  # 16 bits for each shingle of a middling set
+    trees = [Tree([sets[i] for i in g], words) for g in groups]
     flat_nodes = [int(nodes[i]) for g in groups for i in g]
     forest = Forest(len(flat_nodes))
     if len(trees) == 1:
@@ -279,3 +279,18 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, chunk_bytes: in
     named = d.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).withColumnRenamed("class", "of")
     return named.join(least, F.col("class") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without near copies: of each component the row of the smallest doc_id stays.
+
+    Rows that share the smallest doc_id all stay if their sets are linked or not (they cannot be told apart by id), but of
+    rows that are equal in every column one stays. Rows with a null doc_id stay only where nothing of their component has an id.
+    """
+    names = docs.columns
+    found = jaccard_join(docs, k, percent).where("component_id is not null").select(F.col("doc_id").alias("\x00own"), F.col("component_id").alias("\x00least")).distinct()
+    gone = found.groupBy("\x00own").agg(F.min(F.col("\x00least").eqNullSafe(F.col("\x00own"))).alias("\x00kept")).where("not `\x00kept`")
+    joined = docs.join(gone, F.col("`doc_id`").eqNullSafe(F.col("\x00own")), "left_anti")
+    comparable = [c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
+    again = F.xxhash64(*[F.col(f"`{c}`") for c in comparable])
+    return joined.withColumn("\x00row", again).dropDuplicates(["\x00row"]).select(*[F.col(f"`{c}`") for c in names])
