@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
+
 from .common import table
 
 TOKENIZER_FILE = os.environ.get("INKFOLD_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
@@ -32,6 +34,14 @@ def op9_rans(spark, sf_dir):
 
     return token_output(table(spark, sf_dir, "documents"), TOKENIZER_FILE)
 
+#: Target shares of tokens by quality.
+WEIGHTS = {"high": 0.9, "low": 0.1}
+
+
+def quality_domains(spark, sf_dir):
+    """``doc_id, domain`` of the labelled table."""
+    return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") > 0, "high").when(F.col("quality") <= 0, "low").alias("domain"))
+
 
 def op1_warc(spark, sf_dir):
     from .warc import archive_pages
@@ -51,8 +61,14 @@ def op4_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_mixture(spark, sf_dir):
+    from .mixture import mixture
+
+    return mixture(table(spark, sf_dir, "documents"), quality_domains(spark, sf_dir), WEIGHTS)
+
+
 def queries():
-    return {"op1_warc": op1_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_decontaminate": op6_decontaminate, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans}
+    return {"op1_warc": op1_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_decontaminate": op6_decontaminate, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans, "op10_mixture": op10_mixture}
 
 
 def oracle_sql():
