@@ -96,9 +96,9 @@ def marked_bubbles(spark, d):
     return measure.marked(strips(spark, d)).select("sheet", "strip", "opt", F.round("m", 4).alias("m"))
 
 
-@query(LOC + " SELECT sheet, CAST(floor(avg(thr)) AS BIGINT) AS avg_thr FROM loc GROUP BY sheet")
+@query(LOC + " SELECT sheet, CAST(sum(CAST(floor(thr * 100 + 0.5) AS BIGINT)) // count(*) AS BIGINT) / 100.0::DOUBLE AS avg_thr FROM loc GROUP BY sheet")
 def sheet_threshold_avg(spark, d):
-    return strips(spark, d).groupBy("sheet").agg(F.floor(F.avg("thr")).alias("avg_thr"))
+    return strips(spark, d).groupBy("sheet").agg((F.expr("sum(cast(floor(thr * 100 + 0.5) as bigint)) div count(1)") / 100.0).alias("avg_thr"))
 
 
 FLAT = (
