@@ -301,8 +301,7 @@ def write_dataset(tokens: DataFrame, folder: str, scratch: Scratch, dtype: str,
     def count(batches):
         seen = np.zeros(vocab, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                seen += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=vocab)
+            seen += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=vocab)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some], pa.int64())], ["id", "n"])
 
