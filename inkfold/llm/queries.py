@@ -49,6 +49,12 @@ def op1_warc(spark, sf_dir):
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark, sf_dir):
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark, sf_dir):
     from .suffix_dedup import remove_repeats
 
@@ -68,7 +74,7 @@ def op10_mixture(spark, sf_dir):
 
 
 def queries():
-    return {"op1_warc": op1_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_decontaminate": op6_decontaminate, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans, "op10_mixture": op10_mixture}
+    return {"op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_decontaminate": op6_decontaminate, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans, "op10_mixture": op10_mixture}
 
 
 def oracle_sql():
