@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "cc", broadcast_rows: int = 400_000) -> DataFrame:
     """``node, component`` for every node of the edges ``a, b`` (long): the smallest node that links reach.
 
     Alternates large-star and small-star steps (each node's neighbours are pointed at the smallest of them) until nothing
@@ -16,19 +16,21 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     and the joins back are those whose skew Spark splits.
     """
     e = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-0")
-    last, k = None, 0
-    while True:
+    last, k, n = None, 0, e.count()
+    while n:
+        small = n <= broadcast_rows  # 16 bytes a row
+        send = F.broadcast if small else lambda df: df
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(send(least), F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small_least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        pointed = large.join(small_least, F.col("a") == F.col("u"))
-        small = pointed.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(pointed.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        pointed = large.join(send(small_least), F.col("a") == F.col("u"))
+        new = pointed.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         k += 1
-        new = scratch.save(small, f"{name}-{k}")
+        new = scratch.save(new.coalesce(2) if small else new, f"{name}-{k}")
         mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}-{k - 1}")
-        e = new
+        e, n = new, mark[0]
         if mark == last:
             break
         last = mark

@@ -219,6 +219,12 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], chunk: np.ndarray, pe
         links = tree_links(trees[0], None, percent, forest, 0)
     else:
         links = tree_links(trees[0], trees[1], percent, forest, len(groups[0]))
+    if len(trees) == 1:  # each member of a component and its smallest node
+        least: dict[int, int] = {}
+        for i, node in enumerate(flat_nodes):
+            root = forest.find(i)
+            least[root] = min(node, least.get(root, node))
+        return [(least[forest.find(i)], node) for i, node in enumerate(flat_nodes) if least[forest.find(i)] != node]
     return [(flat_nodes[i], flat_nodes[j]) for i, j in links]
 
 
@@ -249,7 +255,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, chunk_bytes: in
     members = scratch.save(members.join(weight, "block").select("node", "block", "shown", F.expr(f"cast((bytes - 1) div {chunk_bytes} + 1 as int)").alias("chunks")), "members")
     chosen = F.broadcast(members) if members.count() <= broadcast_rows else members  # at most 32 bytes a row
     texts = docs.withColumnRenamed("doc_id", "own_id").join(chosen, F.col("own_id").eqNullSafe(F.col("shown"))).select("text", "node", "block", "chunks")
-    out = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("node", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary())])
+    out = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("node", pa.int64()), ("chunk", pa.int64()), ("whole", pa.bool_()), ("hashes", pa.binary())])
 
     def hashed(batches):
         for batch in batches:
@@ -263,7 +269,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, chunk_bytes: in
                     c = node % chunks
                     for other in range(chunks):  # of each pair of chunks a part of its own
                         lo, hi = min(c, other), max(c, other)
-                        for name, v in (("block", block), ("part", lo * chunks + hi), ("node", node), ("chunk", c), ("hashes", s.tobytes())):
+                        for name, v in (("block", block), ("part", lo * chunks + hi), ("node", node), ("chunk", c), ("whole", chunks == 1), ("hashes", s.tobytes())):
                             found[name].append(v)
                 yield rows_out(out, found)
 
@@ -272,10 +278,13 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, chunk_bytes: in
         nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)  # repeated rows of a shown document
         sets = [np.frombuffer(table.column("hashes")[int(i)].as_buffer(), U64) for i in first]
         links = block_links(nodes, sets, table.column("chunk").to_numpy()[first], percent) if len(nodes) > 1 else []
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        whole = [bool(table.column("whole")[0].as_py())] * len(links)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64()), "whole": pa.array(whole, pa.bool_())})
 
-    links = texts.mapInArrow(hashed, "block long, part long, node long, chunk long, hashes binary").groupBy("block", "part").applyInArrow(linked, "a long, b long")
-    found = components(links, scratch, "links")
+    links = texts.mapInArrow(hashed, "block long, part long, node long, chunk long, whole boolean, hashes binary").groupBy("block", "part").applyInArrow(linked, "a long, b long, whole boolean")
+    links = scratch.save(links, "pairs")
+    done = links.where("whole").select(F.col("b").alias("node"), F.col("a").alias("component"))  # the smallest node itself is its own component
+    found = done.unionByName(components(links.where("not whole").select("a", "b"), scratch, "links"))
     named = d.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).withColumnRenamed("class", "of")
     return named.join(least, F.col("class") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
