@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, flat, parallelism, rows_out, text_slices
@@ -207,25 +207,86 @@ def tree_links(x: Tree, y: Tree | None, percent: int, forest: Forest, offset: in
     return links
 
 
-def block_links(nodes: np.ndarray, sets: list[np.ndarray], chunk: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect the members of a block (or of two chunks of it: only from one to the other)."""
-    kinds = np.unique(chunk)
-    groups = [sorted(np.flatnonzero(chunk == c), key=lambda i: (len(sets[i]), nodes[i])) for c in kinds]
-    words = int(min(1024, max(8, 1 << math.ceil(math.log2(max(1, float(np.median([len(s) for s in sets])) / 4))))))  # 16 bits for each shingle of a middling set
-    trees = [Tree([sets[i] for i in g], words) for g in groups]
-    flat_nodes = [int(nodes[i]) for g in groups for i in g]
-    forest = Forest(len(flat_nodes))
-    if len(trees) == 1:
-        links = tree_links(trees[0], None, percent, forest, 0)
-    else:
-        links = tree_links(trees[0], trees[1], percent, forest, len(groups[0]))
-    if len(trees) == 1:  # each member of a component and its smallest node
-        least: dict[int, int] = {}
-        for i, node in enumerate(flat_nodes):
-            root = forest.find(i)
-            least[root] = min(node, least.get(root, node))
-        return [(least[forest.find(i)], node) for i, node in enumerate(flat_nodes) if least[forest.find(i)] != node]
-    return [(flat_nodes[i], flat_nodes[j]) for i, j in links]
+def tree_width(sets: list[np.ndarray]) -> int:
+    """Words of a bitmap: 16 bits for each shingle of a middling set."""
+    return int(min(1024, max(8, 1 << math.ceil(math.log2(max(1, float(np.median([len(s) for s in sets])) / 4))))))
+
+
+def block_components(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """For a whole block: ``(smallest node of its component, node)`` of each member that is not the smallest."""
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), nodes[i]))
+    forest = Forest(len(order))
+    tree_links(Tree([sets[i] for i in order], tree_width(sets)), None, percent, forest, 0)
+    least: dict[int, int] = {}
+    for k, i in enumerate(order):
+        root = forest.find(k)
+        least[root] = min(int(nodes[i]), least.get(root, int(nodes[i])))
+    return [(least[forest.find(k)], int(nodes[i])) for k, i in enumerate(order) if least[forest.find(k)] != nodes[i]]
+
+
+def cross_links(nodes: np.ndarray, sets: list[np.ndarray], open_: np.ndarray, done: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links from open members to all members at hand. ``done`` members are known to be one component."""
+    by_size = lambda some: sorted(np.flatnonzero(some), key=lambda i: (len(sets[i]), nodes[i]))
+    left, right = by_size(open_), by_size(~open_)
+    if not left or not right:
+        return []
+    width, forest = tree_width(sets), Forest(len(left) + len(right))
+    known = [len(left) + k for k, i in enumerate(right) if done[i]]
+    for k in known[1:]:
+        forest.join(known[0], k)
+    links = tree_links(Tree([sets[i] for i in left], width), Tree([sets[i] for i in right], width), percent, forest, len(left))
+    return [(int(nodes[left[i]]), int(nodes[right[j - len(left)]])) for i, j in links if nodes[left[i]] != nodes[right[j - len(left)]]]
+
+
+def large_links(large: DataFrame, scratch: Scratch, percent: int, chunk_bytes: int, broadcast_rows: int, pivots: int = 2) -> DataFrame:
+    """``a, b`` for the members ``block, node, hashes`` of large blocks.
+
+    All members are compared with a few pivots of their block. Those that link with its best pivot are one component; only links of the
+    others are still open, so those, in chunks, meet all members, in chunks. Copies of one document mostly link with a pivot, so
+    what is sent grows with the block, not with its square.
+    """
+    w = Window.partitionBy("block").orderBy(F.xxhash64("node"))
+    chosen = large.select("block", "node").distinct().withColumn("r", F.row_number().over(w)).where(f"r <= {pivots}").select("block", "node")
+    sets = large.join(F.broadcast(chosen), ["block", "node"], "left_semi").dropDuplicates(["node"])  # a few rows for each block of at least chunk_bytes
+    sets = scratch.save(sets.groupBy("block").agg(F.collect_list(F.struct("node", "hashes")).alias("pivots")), "pivots")
+    size = sets.agg(F.sum(F.expr("aggregate(pivots, 0L, (n, x) -> n + octet_length(x.hashes))"))).first()[0] or 0
+    out = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("pivot", pa.int64()), ("bytes", pa.int64())])
+
+    def compare(batches):
+        for batch in batches:
+            found = {name: [] for name in out.names}
+            for block, node, hashes, some in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "hashes", "pivots")), strict=True):
+                own = np.frombuffer(hashes, U64)
+                hits = [p["node"] for p in some if len(np.intersect1d(own, x := np.frombuffer(p["hashes"], U64), assume_unique=True)) >= need(len(own) + len(x), percent)]
+                for pivot in hits or [None]:
+                    for name, v in zip(out.names, (block, node, pivot, len(hashes)), strict=True):
+                        found[name].append(v)
+            yield rows_out(out, found)
+
+    joined = large.join(F.broadcast(sets) if size <= 24 << 20 else sets, "block").select("block", "node", "hashes", "pivots")
+    seen = scratch.save(joined.mapInArrow(compare, "block long, node long, pivot long, bytes long"), "seen")
+    best = seen.where("pivot is not null").groupBy("block", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("n"), "pivot"))).where("r = 1").select("block", F.col("pivot").alias("best"))
+    state = seen.join(F.broadcast(best), "block").groupBy("block", "node").agg(F.bool_or(F.coalesce(F.col("pivot") == F.col("best"), F.lit(False))).alias("done"), F.max("bytes").alias("bytes"))
+    state = scratch.save(state, "state")
+    dealt = state.groupBy("block").agg(
+        F.expr(f"cast((sum(bytes) - 1) div {chunk_bytes} + 1 as int)").alias("all_chunks"), F.expr(f"cast((sum(if(done, 0, bytes)) - 1) div {chunk_bytes} + 1 as int)").alias("open_chunks"), F.count_if(~F.col("done")).alias("open")
+    ).where("open > 0")
+    state = state.join(F.broadcast(dealt), "block").drop("bytes", "open")  # a row for each block of at least chunk_bytes
+    few = state.count() <= broadcast_rows
+    rows = large.dropDuplicates(["node"]).join(F.broadcast(state.drop("block")) if few else state.drop("block"), "node")
+    every = rows.withColumn("i", F.explode(F.expr("sequence(0, open_chunks - 1)"))).withColumn("j", F.expr("cast(pmod(node, all_chunks) as int)")).withColumn("open", F.lit(False))
+    some = rows.where("not done").withColumn("i", F.expr("cast(pmod(node, open_chunks) as int)")).withColumn("j", F.explode(F.expr("sequence(0, all_chunks - 1)"))).withColumn("open", F.lit(True))
+
+    def cross(t: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in t.column("hashes")]
+        flags = [t.column(c).to_numpy() for c in ("open", "done")]
+        links = cross_links(t.column("node").to_numpy(), sets, *flags, percent)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    parts = every.unionByName(some).select("block", "i", "j", "node", "open", "done", "hashes")
+    met = parts.groupBy("block", "i", "j").applyInArrow(cross, "a long, b long")
+    return seen.where("pivot is not null and pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(met)
 
 
 def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, chunk_bytes: int = 32 << 20, broadcast_rows: int = 500_000) -> DataFrame:
@@ -255,36 +316,31 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, chunk_bytes: in
     members = scratch.save(members.join(weight, "block").select("node", "block", "shown", F.expr(f"cast((bytes - 1) div {chunk_bytes} + 1 as int)").alias("chunks")), "members")
     chosen = F.broadcast(members) if members.count() <= broadcast_rows else members  # at most 32 bytes a row
     texts = docs.withColumnRenamed("doc_id", "own_id").join(chosen, F.col("own_id").eqNullSafe(F.col("shown"))).select("text", "node", "block", "chunks")
-    out = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("node", pa.int64()), ("chunk", pa.int64()), ("whole", pa.bool_()), ("hashes", pa.binary())])
+    out = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("hashes", pa.binary())])
 
     def hashed(batches):
         for batch in batches:
             for a, b in text_slices(batch, "text"):
                 part = batch.slice(a, b - a)
                 sets = shingle_sets(part.column("text").to_pylist(), k)
-                found = {f.name: [] for f in out}
-                for s, own, node, block, chunks in zip(sets, fingerprint(sets).tolist(), *(part.column(c).to_pylist() for c in ("node", "block", "chunks")), strict=True):
-                    if own != node:  # another row of the same doc_id
-                        continue
-                    c = node % chunks
-                    for other in range(chunks):  # of each pair of chunks a part of its own
-                        lo, hi = min(c, other), max(c, other)
-                        for name, v in (("block", block), ("part", lo * chunks + hi), ("node", node), ("chunk", c), ("whole", chunks == 1), ("hashes", s.tobytes())):
+                found = {name: [] for name in out.names}
+                for s, own, node, block in zip(sets, fingerprint(sets).tolist(), part.column("node").to_pylist(), part.column("block").to_pylist(), strict=True):
+                    if own == node:  # else another row of the same doc_id
+                        for name, v in zip(out.names, (block, node, s.tobytes()), strict=True):
                             found[name].append(v)
                 yield rows_out(out, found)
 
     def linked(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)  # repeated rows of a shown document
-        sets = [np.frombuffer(table.column("hashes")[int(i)].as_buffer(), U64) for i in first]
-        links = block_links(nodes, sets, table.column("chunk").to_numpy()[first], percent) if len(nodes) > 1 else []
-        whole = [bool(table.column("whole")[0].as_py())] * len(links)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64()), "whole": pa.array(whole, pa.bool_())})
-
-    links = texts.mapInArrow(hashed, "block long, part long, node long, chunk long, whole boolean, hashes binary").groupBy("block", "part").applyInArrow(linked, "a long, b long, whole boolean")
-    links = scratch.save(links, "pairs")
-    done = links.where("whole").select(F.col("b").alias("node"), F.col("a").alias("component"))  # the smallest node itself is its own component
-    found = done.unionByName(components(links.where("not whole").select("a", "b"), scratch, "links"))
+        links = block_components(nodes, [np.frombuffer(table.column("hashes")[int(i)].as_buffer(), U64) for i in first], percent) if len(nodes) > 1 else []
+        return pa.table({"node": pa.array([b for _, b in links], pa.int64()), "component": pa.array([a for a, _ in links], pa.int64())})
+
+    shape = "block long, node long, hashes binary"
+    found = scratch.save(texts.where("chunks = 1").mapInArrow(hashed, shape).groupBy("block").applyInArrow(linked, "node long, component long"), "whole")
+    if members.where("chunks > 1").limit(1).count():
+        large = scratch.save(texts.where("chunks > 1").mapInArrow(hashed, shape), "large")
+        found = found.unionByName(components(large_links(large, scratch, percent, chunk_bytes, broadcast_rows), scratch, "links"))
     named = d.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).withColumnRenamed("class", "of")
     return named.join(least, F.col("class") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
