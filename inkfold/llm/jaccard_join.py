@@ -40,7 +40,8 @@ class Bands:
         while self.ends[-1] < largest:
             self.ends.append(max(self.ends[-1] + 1, int(self.ends[-1] * RATIO)))
         self.ends = np.array(self.ends[1:] or [1], np.int64)
-        differ = 2 * self.ends - 2 * need(2 * self.ends, percent)  # the most elements in one of two sets only
+        total = np.arange(2 * int(self.ends[-1]) + 1)
+        differ = np.maximum.accumulate(total - 2 * need(total, percent))[2 * self.ends]  # the most elements in one of two sets only, over all sizes up to the end
         self.spare = 2 + (differ + 1) // 16
         self.segments = differ + 1 + self.spare
         self.differ = differ
