@@ -117,34 +117,43 @@ def collection_bwt(blob: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.nda
     Round j inserts, for each string, the symbol before its suffix of j symbols at that suffix's place among all
     suffixes of at most j symbols; the place follows from the last one by counting symbols before it (LF mapping).
     """
-    m, step = len(at), 512
-    symbol = lambda which, j: np.where(j < size[which], blob[np.minimum(at[which] + size[which] - 1 - j, len(blob) - 1)].astype(np.int64) + 1, 0)
-    live = np.arange(m)
+    m, step, total = len(at), 128, int(size.sum()) + len(at)
+    present = np.flatnonzero(np.bincount(blob, minlength=256))
+    code = np.zeros(256, np.uint8)
+    code[present] = np.arange(1, len(present) + 1)
+    letters, coded = len(present) + 1, code[blob]
+    block = (np.arange(total) // step) * letters
+    offsets = np.arange(step, dtype=np.uint8)
+    ends = at + size - 1
+    symbol = lambda which, j: np.where(j < size[which], coded[np.maximum(ends[which] - j, 0)], 0).astype(np.uint8)
+    live, place, n = np.arange(m), np.arange(m), m
     last = symbol(live, 0)
-    bwt, place = last.astype(np.uint8), np.arange(m)
+    now, other = (np.zeros(-(-total // step) * step, np.uint8) for _ in range(2))  # the transform so far, read and rewritten in turn
+    now[:m] = last
     for j in range(1, int(size.max(initial=0)) + 1):
         keep = last > 0
-        live, place, last = live[keep], place[keep], last[keep]
+        live, place, last = live[keep], place[keep], last[keep].astype(np.int64)
         if not len(live):
             break
-        blocks = len(bwt) // step + 1
-        counts = np.bincount((np.arange(len(bwt)) // step << 8) | bwt, minlength=blocks << 8).reshape(blocks, 256)
+        blocks = n // step + 1
+        counts = np.bincount(block[:n] + now[:n], minlength=blocks * letters)[: blocks * letters].reshape(blocks, letters)
         before = np.cumsum(counts, axis=0) - counts
-        smaller = np.cumsum(np.concatenate([[0, 0], counts.sum(0)[1:]]))[:256]
-        rank = before[place // step, last]
-        for lo in range(0, len(place), 8192):
-            p, c = place[lo : lo + 8192], last[lo : lo + 8192]
-            base = p // step * step
-            around = bwt[np.minimum(base[:, None] + np.arange(step), len(bwt) - 1)]
-            rank[lo : lo + 8192] += ((around == c[:, None].astype(np.uint8)) & (np.arange(step) < (p - base)[:, None])).sum(1)
+        smaller = np.cumsum(np.concatenate([[0, 0], counts[:, 1:].sum(0)]))[:letters]
+        where = place // step
+        rank, rows = before[where, last], now[: blocks * step].reshape(blocks, step) if blocks * step <= len(now) else now.reshape(-1, step)
+        for lo in range(0, len(place), 16_384):
+            p, c = place[lo : lo + 16_384], last[lo : lo + 16_384].astype(np.uint8)
+            hit = (rows[where[lo : lo + 16_384]] == c[:, None]) & (offsets < (p % step).astype(np.uint8)[:, None])
+            rank[lo : lo + 16_384] += np.count_nonzero(hit, axis=1)
         place = m + smaller[last] + rank
-        following = symbol(live, j)
-        old = np.ones(len(bwt) + len(live), bool)
+        last = symbol(live, j)
+        old = np.ones(n + len(live), bool)
         old[place] = False
-        new = np.empty(len(old), np.uint8)
-        new[old], new[place] = bwt, following
-        bwt, last = new, following
-    return bwt
+        new = other[: len(old)]
+        new[old], new[place] = now[:n], last
+        now, other, n = other, now, len(old)
+    back = np.concatenate([[0], present + 1]).astype(np.uint8)
+    return back[now[:n]]
 
 
 def suffix_places(bwt: np.ndarray, m: int, rounds: int) -> np.ndarray:
