@@ -52,10 +52,10 @@ class Table:
         return cls(freq)
 
 
-def encode_block(ids: np.ndarray, table: Table, every: int = 256) -> bytes:
+def encode_block(ids: np.ndarray, table: Table, every: int = 128) -> bytes:
     """ids (uint32, at least one) as one block."""
     n = len(ids)
-    lanes = int(min(2048, max(1, n // 64)))
+    lanes = int(min(4096, max(1, n // 64)))
     steps = -(-n // lanes)
     grid = np.zeros(steps * lanes, np.int64)
     grid[:n] = ids
@@ -286,7 +286,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str) -> D
     def run(batches):
         words, end = word_cache(tokenizer_file, dtype), np.array([end_id], dtype).tobytes()
         for batch in batches:
-            for a, b in text_slices(batch, "text", 4 << 20):
+            for a, b in text_slices(batch, "text", 8 << 20):
                 part = batch.slice(a, b - a)
                 found = words.encode([t or "" for t in part.column("text").to_pylist()])
                 yield rows_out(schema, {"doc_id": part.column("doc_id").to_pylist(), "ids": [x + end for x in found]})
