@@ -208,6 +208,14 @@ def tree_links(x: Tree, y: Tree | None, percent: int, forest: Forest, offset: in
     return links
 
 
+def size_bands(percent: int, largest: int) -> np.ndarray:
+    """The least sizes of bands such that linked sets are in one band or in neighbouring ones."""
+    lows = [1]
+    while lows[-1] <= largest:
+        lows.append(lows[-1] * 100 // percent + 1)
+    return np.array(lows, np.int64)
+
+
 def tree_width(sets: list[np.ndarray]) -> int:
     """Words of a bitmap: 16 bits for each shingle of a middling set."""
     return int(min(1024, max(8, 1 << math.ceil(math.log2(max(1, float(np.median([len(s) for s in sets])) / 4))))))
@@ -248,7 +256,7 @@ def large_links(large: DataFrame, scratch: Scratch, percent: int, chunk_bytes: i
     """
     w = Window.partitionBy("block").orderBy(F.xxhash64("node"))
     chosen = large.select("block", "node").distinct().withColumn("r", F.row_number().over(w)).where(f"r <= {pivots}").select("block", "node")
-    sets = large.join(F.broadcast(chosen), ["block", "node"], "left_semi").dropDuplicates(["node"])  # a few rows for each block of at least chunk_bytes
+    sets = large.join(F.broadcast(chosen), ["block", "node"], "left_semi").dropDuplicates(["block", "node"])  # a few rows for each block of at least chunk_bytes
     sets = scratch.save(sets.groupBy("block").agg(F.collect_list(F.struct("node", "hashes")).alias("pivots")), "pivots")
     size = sets.agg(F.sum(F.expr("aggregate(pivots, 0L, (n, x) -> n + octet_length(x.hashes))"))).first()[0] or 0
     out = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("pivot", pa.int64()), ("bytes", pa.int64())])
@@ -275,7 +283,7 @@ def large_links(large: DataFrame, scratch: Scratch, percent: int, chunk_bytes: i
     ).where("open > 0")
     state = state.join(F.broadcast(dealt), "block").drop("bytes", "open")  # a row for each block of at least chunk_bytes
     few = state.count() <= broadcast_rows
-    rows = large.dropDuplicates(["node"]).join(F.broadcast(state.drop("block")) if few else state.drop("block"), "node")
+    rows = large.dropDuplicates(["block", "node"]).join(F.broadcast(state) if few else state, ["block", "node"])
     every = rows.withColumn("i", F.explode(F.expr("sequence(0, open_chunks - 1)"))).withColumn("j", F.expr("cast(pmod(node, all_chunks) as int)")).withColumn("open", F.lit(False))
     some = rows.where("not done").withColumn("i", F.expr("cast(pmod(node, open_chunks) as int)")).withColumn("j", F.explode(F.expr("sequence(0, all_chunks - 1)"))).withColumn("open", F.lit(True))
 
@@ -340,8 +348,26 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, chunk_bytes: in
     shape = "block long, node long, hashes binary"
     found = scratch.save(texts.where("chunks = 1").mapInArrow(hashed, shape).groupBy("block").applyInArrow(linked, "node long, component long"), "whole")
     if members.where("chunks > 1").limit(1).count():
-        large = scratch.save(texts.where("chunks > 1").mapInArrow(hashed, shape), "large")
-        found = found.unionByName(components(large_links(large, scratch, percent, chunk_bytes, broadcast_rows), scratch, "links"))
+        # large blocks are mostly chains of sets of many sizes: their bands of sizes are blocks of their own, each set in two of them
+        lows = size_bands(percent, int(bands.ends[-1]))
+
+        def banded(batches):
+            for batch in hashed(batches):
+                n = np.array([len(x) for x in batch.column("hashes").to_pylist()]) // 8
+                band = np.searchsorted(lows, n, "right")
+                block = batch.column("block").to_numpy()
+                for step in (0, 1):
+                    own = mix(block.view(U64) * MULTIPLIERS[0] + (band + step).astype(U64) * MULTIPLIERS[1]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), batch.column("node"), batch.column("hashes")], schema=out)
+
+        parts = scratch.save(texts.where("chunks > 1").mapInArrow(banded, shape), "banded")
+        size = scratch.save(parts.groupBy("block").agg(F.sum(F.octet_length("hashes")).alias("bytes"), F.count(F.lit(1)).alias("n")).where("n > 1"), "banded-sizes")
+        few = F.broadcast(size) if size.count() <= broadcast_rows else size
+        weighed = parts.join(few, "block")
+        edges = weighed.where(f"bytes <= {chunk_bytes}").select("block", "node", "hashes").groupBy("block").applyInArrow(linked, "node long, component long").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        if size.where(f"bytes > {chunk_bytes}").limit(1).count():
+            edges = edges.unionByName(large_links(weighed.where(f"bytes > {chunk_bytes}").select("block", "node", "hashes"), scratch, percent, chunk_bytes, broadcast_rows))
+        found = found.unionByName(components(edges, scratch, "links"))
     named = d.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).withColumnRenamed("class", "of")
     return named.join(least, F.col("class") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
