@@ -92,6 +92,33 @@ def test_line_dedup(spark):
     assert [r.text for r in kept] == [rows[0][1], "short"]
 
 
+def jaccard_10(x, y):
+    a, b = ({t[i : i + 10] for i in range(max(1, len(t) - 9))} for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_line_bands_are_compared_whole(spark):
+    rng = random.Random(5)
+    frame, rows = prose(14, rng), []
+    for i in range(60):  # a template and pairs of near copies in it: bands hold many unlike lines
+        line = f"{frame} {prose(14, rng)}"
+        rows += [(2 * i, line), (2 * i + 1, line[:-1] + "#")]
+    for i in range(200):  # one word changed
+        w = prose(26, rng).split()
+        rows += [(1000 + 2 * i, " ".join(w)), (1001 + 2 * i, " ".join([*w[:12], "y", *w[13:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    up = {i: i for i, _ in rows}
+    find = lambda x: x if up[x] == x else find(up[x])
+    for n, (i, x) in enumerate(rows):
+        for j, y in rows[:n]:
+            if jaccard_10(x, y) >= 0.8:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    want = {i for i in up if find(i) != i}
+    got = {r.doc_id for r in line_dedup.dedup_lines(docs).where("n_removed > 0").collect()}
+    assert len(want) > 150 and got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, 1000 + i) for i in range(50)] + [(i, i + 1) for i in range(2000, 2040)]
