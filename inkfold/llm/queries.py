@@ -58,7 +58,7 @@ def op1_warc(spark, sf_dir):
 def op2_line_dedup(spark, sf_dir):
     from .line_dedup import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_lines(table(spark, sf_dir, "documents"), least_chars=1)  # every line that is not empty
 
 
 def op3_suffix_dedup(spark, sf_dir):

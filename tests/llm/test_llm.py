@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkfold.llm import ann, decontaminate, graph, jaccard_join, line_dedup, mixture, rans, substring_dedup, suffix_dedup, toxicity, warc
+from inkfold.llm import ann, decontaminate, graph, jaccard_join, line_dedup, mixture, queries, rans, substring_dedup, suffix_dedup, toxicity, warc
 from inkfold.llm.common import Scratch
 from inkfold.llm.queries import TOKENIZER_FILE
 
@@ -119,6 +119,13 @@ def test_line_bands_are_compared_whole(spark):
     assert len(want) > 150 and got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_short_lines_take_part(spark, tmp_path):
+    rows = [(1, "short\nx\n\nfifteen letters"), (2, "x\n\nshort "), (3, "fifteen letters\nfifteen_letters\nshor")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_lines, r.removed) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect())
+    assert got == [(1, 4, []), (2, 3, [0, 2]), (3, 3, [0])]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, 1000 + i) for i in range(50)] + [(i, i + 1) for i in range(2000, 2040)]
