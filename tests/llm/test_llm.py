@@ -288,6 +288,24 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(empty(spark)).count() == 0
 
 
+def test_passage_among_frequent_lines(spark):
+    rng = random.Random(8)
+    frequent = [prose(8, rng) for _ in range(6)]
+
+    def mixed_text(own):
+        return " ".join(f"{line} {own()}" for line in rng.sample(frequent, 6))
+
+    rows = [(i, mixed_text(lambda: " ".join(f"u{rng.random()}" for _ in range(6)))) for i in range(150)]
+    shared = [mixed_text(lambda: " ".join(f"s{rng.random()}" for _ in range(4))) for _ in range(30)]
+    for i, p in enumerate(shared):
+        rows += [(1000 + 2 * i, f"{prose(20, rng)} {p} {prose(20, rng)}"), (1001 + 2 * i, f"{prose(30, rng)} {p} {prose(5, rng)}")]
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(shared[0].split())
+    for i in range(30):
+        for d, start in ((1000 + 2 * i, 20), (1001 + 2 * i, 30)):
+            assert set(range(start, start + n)) <= {x for s, e in zip(got[d].starts, got[d].ends) for x in range(s, e)}
+
+
 # --- 8 --------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("chunk", [32 << 20, 3000])
 def test_jaccard_join(spark, chunk):
