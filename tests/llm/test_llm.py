@@ -306,6 +306,16 @@ def test_passage_among_frequent_lines(spark):
             assert set(range(start, start + n)) <= {x for s, e in zip(got[d].starts, got[d].ends) for x in range(s, e)}
 
 
+def test_near_passages_of_one_changed_word(spark):
+    rng, rows = random.Random(12), []
+    for i in range(300):
+        w = [f"p{rng.random()}" for _ in range(50)]
+        for side, middle in enumerate((w, [*w[:24], "changed", *w[25:]])):  # 41 of 51 shingles are common
+            rows.append((2 * i + side, " ".join([*(f"a{rng.random()}" for _ in range(60)), *middle, *(f"b{rng.random()}" for _ in range(60))])))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("n_passages > 0").count()
+    assert got >= 0.99 * len(rows)
+
+
 # --- 8 --------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("chunk", [32 << 20, 3000])
 def test_jaccard_join(spark, chunk):
