@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,6 +77,18 @@ def written(path: str) -> Iterator[pa.NativeFile]:
     filesystem.move(part, place)
 
 
+_HELD: dict = {}
+
+
+def remembered(kind, make):
+    """What all tasks of a Python worker share. Asking for another kind frees it, so that the memories of stages never add up."""
+    if kind not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[kind] = make()
+    return _HELD[kind]
+
+
 def partition_id() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0

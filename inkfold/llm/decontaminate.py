@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat, rows_out, text_slices
+from .common import flat, remembered, rows_out, text_slices
 from .shingles import U64, mix, window_hashes
 
 import xxhash  # isort: skip
@@ -33,7 +32,7 @@ PAD = U64(0x5BD1E9955BD1E995)
 class Normal:
     """Hashes of words by their letters and digits, lower-cased (words without any: 0), remembered and bounded."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 300_000):
         self.most, self.known = most, {}
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -47,16 +46,6 @@ class Normal:
         return np.fromiter(map(self.known.__getitem__, words), U64, len(words))
 
 
-@lru_cache(1)
-def normal() -> Normal:
-    return Normal()
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    h = normal().of((text or "").split())
-    return h[h != 0]
-
-
 def edits(n: int, share: float) -> int:
     return int(n * share + 1e-9)
 
@@ -111,12 +100,13 @@ class Matcher:
     """Finds items in texts. items: (id, text) of a bounded block."""
 
     def __init__(self, items: list[tuple[int, str]], share: float, recall: float, least_words: int, walks: int = 0):
-        self.share, self.items = share, []
+        self.share, self.items, self.normal = share, [], Normal()
         pieces: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
-            h = word_hashes(text)
+            h = self.normal.of((text or "").split())
+            h = h[h != 0]
             n = len(h)
-            if n < least_words:
+            if n < max(1, least_words):
                 continue
             k, e = len(self.items), edits(n, share)
             self.items.append((item_id, h))
@@ -163,12 +153,14 @@ class Matcher:
             left, right = table_keys(np.stack([h, w]), 32, tables)
             met[i] = np.logical_or.accumulate((left == right).reshape(32, tables).any(1))
         found = met.mean(0) if len(some) else np.ones(32)
-        return int(np.argmax(found >= recall)) + 1 if (found >= recall).any() else 32, tables
+        if not (found >= recall).any():
+            raise ValueError(f"32 walks reach a recall of {found[-1]:.3f} only, {recall} is asked")
+        return int(np.argmax(found >= recall)) + 1, tables
 
     def scan(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """The matches of each text. Pieces are looked for in all texts at once, only texts that hold one are searched further."""
         words = [(t or "").split() for t in texts]
-        h = normal().of([w for ws in words for w in ws])
+        h = self.normal.of([w for ws in words for w in ws])
         owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])[h != 0]
         h = h[h != 0]
         hit = np.zeros(len(texts), bool)
@@ -214,10 +206,12 @@ class Matcher:
         return [(self.items[k][0], d, a, b) for k, (d, a, b) in sorted(found.items())]
 
 
-@lru_cache(2)
 def matcher_of(packed: str) -> Matcher:
     """One for all tasks of a Python worker."""
-    spec = json.loads(packed)
+    return remembered(("benchmark", hash(packed)), lambda: made(json.loads(packed)))
+
+
+def made(spec: dict) -> Matcher:
     return Matcher([tuple(x) for x in spec["items"]], spec["share"], spec["recall"], spec["least_words"], spec["walks"])
 
 
@@ -235,10 +229,10 @@ def blocks_of(benchmark: DataFrame, share: float, recall: float, least_words: in
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.98, least_words: int = 8, block_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.98, least_words: int = 1, block_bytes: int = 8 << 20) -> DataFrame:
     """``doc_id, item_id, distance, n_words, first_word, end_word``: a row for each row of docs and item found in it (its best match).
 
-    Words are compared by their letters and digits in lower case. Null and empty texts hold nothing. Items of
+    Words are compared by their letters and digits in lower case. Null and empty texts hold nothing, an empty table gives no rows. Items of
     fewer than ``least_words`` words, and null ones, are not searched. Repeated rows of either table give repeated rows.
     """
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("n_words", pa.int32()), ("first_word", pa.int64()), ("end_word", pa.int64())])
@@ -266,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, reca
     return found
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.98, least_words: int = 8, block_bytes: int = 8 << 20) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.98, least_words: int = 1, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of docs, all columns, in which no benchmark item is found."""
     schema = T.StructType(docs.schema.fields)
     for packed in blocks_of(benchmark, share, recall, least_words, block_bytes):

@@ -256,7 +256,7 @@ def large_links(large: DataFrame, scratch: Scratch, percent: int, chunk_bytes: i
     """
     w = Window.partitionBy("block").orderBy(F.xxhash64("node"))
     chosen = large.select("block", "node").distinct().withColumn("r", F.row_number().over(w)).where(f"r <= {pivots}").select("block", "node")
-    sets = large.join(F.broadcast(chosen), ["block", "node"], "left_semi").dropDuplicates(["block", "node"])  # a few rows for each block of at least chunk_bytes
+    sets = large.join(chosen, ["block", "node"], "left_semi").dropDuplicates(["block", "node"])  # a few rows for each block of at least chunk_bytes
     sets = scratch.save(sets.groupBy("block").agg(F.collect_list(F.struct("node", "hashes")).alias("pivots")), "pivots")
     size = sets.agg(F.sum(F.expr("aggregate(pivots, 0L, (n, x) -> n + octet_length(x.hashes))"))).first()[0] or 0
     out = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("pivot", pa.int64()), ("bytes", pa.int64())])
@@ -276,12 +276,12 @@ def large_links(large: DataFrame, scratch: Scratch, percent: int, chunk_bytes: i
     seen = scratch.save(joined.mapInArrow(compare, "block long, node long, pivot long, bytes long"), "seen")
     best = seen.where("pivot is not null").groupBy("block", "pivot").agg(F.count(F.lit(1)).alias("n"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("n"), "pivot"))).where("r = 1").select("block", F.col("pivot").alias("best"))
-    state = seen.join(F.broadcast(best), "block").groupBy("block", "node").agg(F.bool_or(F.coalesce(F.col("pivot") == F.col("best"), F.lit(False))).alias("done"), F.max("bytes").alias("bytes"))
+    state = seen.join(best, "block").groupBy("block", "node").agg(F.bool_or(F.coalesce(F.col("pivot") == F.col("best"), F.lit(False))).alias("done"), F.max("bytes").alias("bytes"))
     state = scratch.save(state, "state")
     dealt = state.groupBy("block").agg(
         F.expr(f"cast((sum(bytes) - 1) div {chunk_bytes} + 1 as int)").alias("all_chunks"), F.expr(f"cast((sum(if(done, 0, bytes)) - 1) div {chunk_bytes} + 1 as int)").alias("open_chunks"), F.count_if(~F.col("done")).alias("open")
     ).where("open > 0")
-    state = state.join(F.broadcast(dealt), "block").drop("bytes", "open")  # a row for each block of at least chunk_bytes
+    state = state.join(dealt, "block").drop("bytes", "open")  # a row for each block of at least chunk_bytes
     few = state.count() <= broadcast_rows
     rows = large.dropDuplicates(["block", "node"]).join(F.broadcast(state) if few else state, ["block", "node"])
     every = rows.withColumn("i", F.explode(F.expr("sequence(0, open_chunks - 1)"))).withColumn("j", F.expr("cast(pmod(node, all_chunks) as int)")).withColumn("open", F.lit(False))
@@ -298,33 +298,30 @@ def large_links(large: DataFrame, scratch: Scratch, percent: int, chunk_bytes: i
     return seen.where("pivot is not null and pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(met)
 
 
-def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, chunk_bytes: int = 32 << 20, broadcast_rows: int = 500_000) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of docs.
-
-    Null and texts without words have the empty set, which links with nothing (component_id is the own doc_id). Rows with
-    equal sets, repeated doc_ids among them, are linked. A null doc_id takes part, but never is a component's id unless all are null.
-    """
+def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_rows: int) -> DataFrame:
+    """``doc_id, row, n_shingles, class`` for every row of docs: ``row`` is a hash of id and text, ``class`` null for texts without words."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
-    docs = flat(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+    docs = flat(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.xxhash64("doc_id", "text"))
 
     def sizes(batches):
         for batch in batches:
             for a, b in text_slices(batch, "text"):
                 sets = shingle_sets(batch.column("text")[a:b].to_pylist(), k)
                 marks = fingerprint(sets)
-                yield rows_out(schema, {"doc_id": batch.column("doc_id")[a:b].to_pylist(), "n_shingles": [len(s) for s in sets], "node": [int(m) if len(s) else None for m, s in zip(marks, sets, strict=True)]})
+                own = [batch.column(c)[a:b] for c in ("doc_id", "row")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array([int(m) if len(s) else None for m, s in zip(marks, sets, strict=True)], pa.int64())], schema=schema)
 
-    d = scratch.save(docs.mapInArrow(sizes, "doc_id long, n_shingles long, node long"), "sizes")
+    d = scratch.save(docs.mapInArrow(sizes, "doc_id long, row long, n_shingles long, node long"), "sizes")
     bands = Bands(percent, int(d.agg(F.max("n_shingles")).first()[0] or 1))
     blocks = components(block_edges(docs, k, bands), scratch, "blocks")  # node, component
-    shown = d.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("shown"), F.first("n_shingles").alias("n"))
+    shown = d.where("node is not null").groupBy("node").agg(F.min("row").alias("shown"), F.first("n_shingles").alias("n"))
     members = blocks.join(shown, "node").select("node", F.col("component").alias("block"), "shown", "n")
     weight = members.groupBy("block").agg(F.sum(F.col("n") * 8).alias("bytes"))
     members = scratch.save(members.join(weight, "block").select("node", "block", "shown", F.expr(f"cast((bytes - 1) div {chunk_bytes} + 1 as int)").alias("chunks")), "members")
     chosen = F.broadcast(members) if members.count() <= broadcast_rows else members  # at most 32 bytes a row
-    texts = docs.withColumnRenamed("doc_id", "own_id").join(chosen, F.col("own_id").eqNullSafe(F.col("shown"))).select("text", "node", "block", "chunks")
+    texts = docs.join(chosen, F.col("row") == F.col("shown")).select("text", "node", "block", "chunks")
     out = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("hashes", pa.binary())])
 
     def hashed(batches):
@@ -334,7 +331,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, chunk_bytes: in
                 sets = shingle_sets(part.column("text").to_pylist(), k)
                 found = {name: [] for name in out.names}
                 for s, own, node, block in zip(sets, fingerprint(sets).tolist(), part.column("node").to_pylist(), part.column("block").to_pylist(), strict=True):
-                    if own == node:  # else another row of the same doc_id
+                    if own == node:  # else another text of the same hash
                         for name, v in zip(out.names, (block, node, s.tobytes()), strict=True):
                             found[name].append(v)
                 yield rows_out(out, found)
@@ -368,21 +365,37 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, chunk_bytes: in
         if size.where(f"bytes > {chunk_bytes}").limit(1).count():
             edges = edges.unionByName(large_links(weighed.where(f"bytes > {chunk_bytes}").select("block", "node", "hashes"), scratch, percent, chunk_bytes, broadcast_rows))
         found = found.unionByName(components(edges, scratch, "links"))
-    named = d.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    return d.join(found, "node", "left").select("doc_id", "row", "n_shingles", F.coalesce("component", "node").alias("class"))
+
+
+def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, chunk_bytes: int = 32 << 20, broadcast_rows: int = 500_000) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of docs; an empty table gives no row, other columns are ignored.
+
+    Null and texts without words have the empty set, which links with nothing (component_id is the own doc_id). Rows with
+    equal sets, repeated doc_ids among them, are linked. A null doc_id takes part, but never is a component's id unless all are null.
+    A very long text is one set; it bounds the memory of a task from below.
+    """
+    named = classes(docs, k, percent, chunk_bytes, broadcast_rows)
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).withColumnRenamed("class", "of")
     return named.join(least, F.col("class") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, without near copies: of each component the row of the smallest doc_id stays.
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, chunk_bytes: int = 32 << 20, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of docs, all columns, without near copies: of each component one row stays.
 
-    Rows that share the smallest doc_id all stay if their sets are linked or not (they cannot be told apart by id), but of
-    rows that are equal in every column one stays. Rows with a null doc_id stay only where nothing of their component has an id.
+    That is the row of the smallest doc_id (null last), of several the one with the smallest hash of id and text. Rows are told apart by
+    that hash, so another text under the doc_id of a near copy stays. Of rows equal in id and text one stays, whatever other columns say. Texts
+    without words are linked with nothing: all their rows stay. An empty table stays empty.
     """
-    names = docs.columns
-    found = jaccard_join(docs, k, percent).where("component_id is not null").select(F.col("doc_id").alias("\x00own"), F.col("component_id").alias("\x00least")).distinct()
-    gone = found.groupBy("\x00own").agg(F.min(F.col("\x00least").eqNullSafe(F.col("\x00own"))).alias("\x00kept")).where("not `\x00kept`")
-    joined = docs.join(gone, F.col("`doc_id`").eqNullSafe(F.col("\x00own")), "left_anti")
-    comparable = [c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
-    again = F.xxhash64(*[F.col(f"`{c}`") for c in comparable])
-    return joined.withColumn("\x00row", again).dropDuplicates(["\x00row"]).select(*[F.col(f"`{c}`") for c in names])
+    names, scratch = docs.columns, Scratch(docs.sparkSession, "keep")
+    named = scratch.save(classes(docs, k, percent, chunk_bytes, broadcast_rows).where("class is not null").select("class", F.col("doc_id").isNull().alias("last"), "doc_id", "row"), "named")
+    several = named.groupBy("class").agg(F.min(F.struct("last", "doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("of"), F.col("best.row").alias("best"))
+    placed = named.join(several, F.col("class") == F.col("of")).groupBy("row").agg(F.first(F.col("row") != F.col("best")).alias("gone"), F.count(F.lit(1)).alias("n"))
+    placed = scratch.save(placed.where("gone or n > 1").select(F.col("row").alias("\x00row"), F.col("gone").alias("\x00gone")), "gone")
+    few = F.broadcast(placed) if placed.count() <= broadcast_rows else placed  # 16 bytes a row
+    marked = docs.withColumn("\x00own", F.xxhash64(F.col("`doc_id`").cast("long"), F.col("`text`"))).join(few, F.col("\x00own") == F.col("\x00row"), "left")
+    back = [F.col(f"`{c}`") for c in names]
+    out = marked.where("`\x00gone` is null").select(back)
+    if not placed.where("not `\x00gone`").limit(1).count():
+        return out
+    return out.unionByName(marked.where("not `\x00gone`").dropDuplicates(["\x00own"]).select(back))  # rows that are there several times

@@ -15,14 +15,13 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, open_fs, partition_id, rows_out, text_slices, written
+from .common import Scratch, flat, open_fs, partition_id, remembered, rows_out, text_slices, written
 
 MAGIC = b"RANSTOK1"
 SCALE_BITS = 20
@@ -273,10 +272,9 @@ class WordCache:
         return out
 
 
-@cache
 def word_cache(tokenizer_file: str, dtype: str) -> WordCache:
     """One for all tasks of a Python worker."""
-    return WordCache(tokenizer_file, dtype)
+    return remembered(("tokens", tokenizer_file, dtype), lambda: WordCache(tokenizer_file, dtype))
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import xxhash
 
+from .common import remembered
+
 U64 = np.uint64
 MULTIPLIERS = [U64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """xxHash64 of words, remembered; beyond ``most`` words, those that the present texts lack are forgotten."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 300_000):
         self.most, self.known = most, {}
 
     def of(self, texts: list[list[bytes]]) -> np.ndarray:
@@ -40,10 +40,9 @@ class WordHashes:
         return np.fromiter((h for ws in texts for h in map(at, ws)), U64, sum(map(len, texts)))
 
 
-@cache
 def word_hashes() -> WordHashes:
     """One for all tasks of a Python worker."""
-    return WordHashes()
+    return remembered("words", WordHashes)
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -1,145 +1,91 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
-
-A window is a word with the space before it. Its evidence is the compressed length under the ordinary dictionary less that
-under the toxic one. The ordinary dictionary is trained on words of ordinary documents; the toxic one on the spans
-of toxic documents that occur there in more different contexts than chance lets expect (copies of one document count once, as they
-repeat the same contexts), and the ordinary words follow it at the same distances, so that ordinary windows compress
-alike under both. Each letter counts as two bytes, so that a missed letter costs more than the start of a match. Before every window stands a fixed preamble which both hold: else so short a frame would be stored, not
-compressed. A logistic model over how many windows pass each threshold, fitted on documents that the dictionaries have not
-seen, gives the score; so the thresholds are calibrated together.
+"""Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
+
+Texts are cut into overlapping windows of a few words; a window's evidence is its compressed length with the ordinary dictionary less that
+with the toxic one. Both are trained by zstandard on windows of labelled documents, apart from each other. Toxic documents hold mostly
+ordinary language, so training is repeated on halves of the documents that score each other: windows of toxic documents with more evidence
+than ordinary windows mostly have train the next toxic dictionary, and ordinary windows with false evidence are trained into the
+ordinary one. The ordinary content also ends the toxic dictionary, at the same distances and with the same entropy tables, so that a length only
+differs where toxic text explains a window better. A logistic model over how many windows pass each threshold, fitted on
+evidence from dictionaries that have not seen the document, gives the score; so the thresholds are calibrated together.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import os
 import re
 import zlib
-from collections import Counter, defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, text_slices
+from .common import flat, remembered, text_slices
 
-WORD = re.compile(r"\w+")
-THRESHOLDS = (2, 4, 6, 8, 10)
-PREAMBLE = b"<~0123456789 zyxwvutsrqponm ABCDEFGH~>"
+WORD = re.compile(r"\w{1,48}")
+WINDOW, STEP = 4, 2  # words of a window, words from one to the next
+THRESHOLDS = (2, 3, 4, 5, 6, 8, 10, 12)
 LEVEL = 12
-GRAMS = range(4, 9)
+SIZES = {"ordinary": 1 << 16, "false": 1 << 14, "toxic": 1 << 12}
+ROUNDS = 3
+REPEATED_OFFSETS = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))  # end a trained dictionary's tables
 
 
-class _Code(dict):
-    def __missing__(self, letter: int) -> str:
-        n = letter * 40503 & 0xFFFF
-        self[letter] = found = chr(n >> 8) + chr(n & 255)
-        return found
+def windows(text: str | None) -> list[bytes]:
+    """The distinct windows of a text; none without words. Words of more than 48 letters count as several."""
+    words = WORD.findall((text or "").lower())
+    return list(dict.fromkeys([(" " + " ".join(words[i : i + WINDOW])).encode("utf-8", "replace") for i in range(0, max(1, len(words) - WINDOW + STEP), STEP)])) if words else []
 
 
-CODE = _Code()
-
-
-def wide(word: str) -> bytes:
-    """A window's bytes: a space and the word, two bytes a letter."""
-    return f" {word}".translate(CODE).encode("latin-1")
-
-
-def spans(text: str) -> list[str]:
-    return WORD.findall(text.lower())
-
-
-def telling_grams(rows: list[tuple[str, int]]) -> dict[str, int]:
-    """Word starts (4 to 8 letters) that toxic documents hold in clearly more different contexts (words before) than ordinary ones.
-
-    The contexts must number 3 % of the toxic documents, for edited copies of one document make new contexts too.
-    """
-    least = max(4, 0.03 * sum(label for _, label in rows))
-    contexts: dict[int, set] = {0: set(), 1: set()}
-    for text, label in rows:
-        words = spans(text)
-        contexts[label].update(zip(["", *words], words, strict=False))
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for label, pairs in contexts.items():
-        for word, n in Counter(w for _, w in pairs).items():
-            for k in GRAMS:
-                if len(word) >= k:
-                    seen[label][word[:k]] += n
-    rate = len(contexts[1]) / max(1, len(contexts[0]))
-    out = {}
-    for g, c in seen[1].items():
-        expected = seen[0][g] * rate + 0.25
-        if c >= least and c >= 5 * expected and (c - expected) / math.sqrt(expected + 1) >= 3:
-            out[g] = c
-    return out
-
-
-def stem(word: str, grams: dict[str, int]) -> str:
-    """The telling part of a word: the longest telling start that at least half of the occurrences of the shortest one share."""
-    found = [word[:n] for n in GRAMS if len(word) >= n and word[:n] in grams]
-    return next((g for g in reversed(found) if 2 * grams[g] >= grams[found[0]]), "")
-
-
-def dictionary(samples: list[bytes], size: int):
-    """A trained zstandard dictionary; where the trainer finds the samples too few, their bytes themselves."""
+def trained(samples: list[bytes], size: int, most: int = 150_000) -> tuple[bytes, bytes]:
+    """Entropy tables and content of a trained dictionary; where the trainer finds the samples too few, no tables and the bytes themselves."""
     import zstandard
 
+    samples = samples[:: max(1, len(samples) // most)]
     try:
-        found = zstandard.train_dictionary(size, samples, d=6, k=32)
-    except zstandard.ZstdError:
-        return zstandard.ZstdCompressionDict((b"".join(samples) or b"        ")[-size:].rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return found
+        found = zstandard.train_dictionary(size, samples, d=6, k=24).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"", b"".join(samples)[-size:]
+    at = found.find(REPEATED_OFFSETS) + len(REPEATED_OFFSETS)
+    return (found[:at], found[at:]) if at >= len(REPEATED_OFFSETS) else (b"", found)
 
 
-class Lengths:
-    """Evidence of a text's parts under a pair of dictionaries, remembered (bounded)."""
+class Pair:
+    """Compressors with the ordinary and the toxic dictionary."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, most: int = 500_000):
+    def __init__(self, tables: bytes, ordinary: bytes, toxic: bytes, threads: int = 1):
         import zstandard
 
-        self.pair = []
-        for data in (ordinary + PREAMBLE, toxic + ordinary + PREAMBLE):
-            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.threads, self.pair = threads, []
+        kind = zstandard.DICT_TYPE_FULLDICT if tables else zstandard.DICT_TYPE_RAWCONTENT
+        for content in (ordinary, toxic + ordinary):
+            d = zstandard.ZstdCompressionDict(tables + content.rjust(8), dict_type=kind)
             d.precompute_compress(level=LEVEL)
             self.pair.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-        self.known: dict[str, int] = {}
-        self.most = most
-
-    def learn(self, parts: list[str]) -> None:
-        if len(self.known) + len(parts) > self.most:
-            self.known.clear()
-        ordinary, toxic = self.pair[0].compress, self.pair[1].compress
-        for part in parts:
-            best = 0
-            for w in spans(part):
-                if len(w) >= GRAMS[0]:
-                    data = PREAMBLE + wide(w)
-                    best = max(best, len(ordinary(data)) - len(toxic(data)))
-            self.known[part] = best
-
-    def histogram(self, text: str) -> tuple[Counter, int]:
-        """How many windows have each evidence above 0, and the number of parts."""
-        parts = Counter(text.split())
-        known, found = self.known, Counter()
-        new = [p for p in parts if p not in known]
-        if new:
-            self.learn(new)
-            known = self.known
-            if len(known) < len(parts):  # the memory has been emptied in between
-                self.learn([p for p in parts if p not in known])
-        for p, n in parts.items():
-            if e := known[p]:
-                found[e] += n
-        return found, parts.total()
-
-
-def features(text: str, lengths: Lengths) -> list[float]:
+        self.many = "multi_compress_to_buffer" in zstandard.backend_features
+
+    def evidence(self, found: list[bytes]) -> np.ndarray:
+        """Of each window: by how many bytes the toxic dictionary makes it shorter."""
+        lengths = []
+        for c in self.pair if found else ():
+            parts = c.multi_compress_to_buffer(found, threads=self.threads) if self.many else map(c.compress, found)
+            lengths.append(np.fromiter(map(len, parts), np.int64, len(found)))
+        return lengths[0] - lengths[1] if lengths else np.zeros(0, np.int64)
+
+    def of_texts(self, texts: list[str | None]) -> list[tuple[list[bytes], np.ndarray]]:
+        """Windows and evidence of each text."""
+        each = [windows(t) for t in texts]
+        all_ = self.evidence([w for ws in each for w in ws])
+        ends = np.cumsum([len(ws) for ws in each])
+        return list(zip(each, np.split(all_, ends[:-1]), strict=True)) if each else []
+
+
+def features(evidence: np.ndarray) -> list[float]:
     """How many windows pass each threshold (log counts and shares), the largest evidence, the log of all windows."""
-    found, total = lengths.histogram(text)
-    n = [sum(c for e, c in found.items() if e >= t) for t in THRESHOLDS]
-    return [*[math.log1p(x) for x in n], *[x / (total + 20) * 20 for x in n], max([0, *found]) / 4, math.log1p(total) / 4]
+    n = [int((evidence >= t).sum()) for t in THRESHOLDS]
+    return [*[math.log1p(x) for x in n], *[x / (len(evidence) + 20) * 20 for x in n], max(0, int(evidence.max(initial=0))) / 4, math.log1p(len(evidence)) / 4]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -155,58 +101,68 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[str, int]]) -> dict:
-    """A model of (text, label) rows: dictionaries from each half calibrate on the other half, the final pair comes from all rows."""
+def half_of(text: str) -> int:
+    """0 or 1, mostly the same for near copies: by the smallest hash of the windows."""
+    return min((zlib.crc32(w) for w in windows(text)), default=0) >> 4 & 1
 
-    def pair(some: list[tuple[str, int]]) -> tuple[bytes, bytes]:
-        grams = telling_grams(some)
-        words: dict[int, Counter] = defaultdict(Counter)
-        for text, label in some:
-            words[label].update(w for w in spans(text) if len(w) >= GRAMS[0])
-        ordinary = dictionary([wide(w) for w, _ in words[0].most_common(40_000)], 1 << 16).as_bytes()
-        telling = Counter({})
-        for w, c in words[1].items():
-            if found := stem(w, grams):
-                telling[wide(found)] += c
-        toxic = dictionary([w for w, c in telling.most_common(4_000) for _ in range(min(c, 8))], 1 << 13).as_bytes()
-        return ordinary, b"".join(w for w in sorted(telling) if w not in toxic) + toxic
 
+def evidence_of(pair: Pair, rows: list[tuple[str, int]]) -> list[np.ndarray]:
+    """The evidence of each row's windows, a few hundred rows at a time."""
+    return [e.astype(np.int16) for i in range(0, len(rows), 250) for _, e in pair.of_texts([t for t, _ in rows[i : i + 250]])]
+
+
+def fit(rows: list[tuple[str, int]], threads: int | None = None) -> dict:
+    """A model of (text, label) rows: halves score each other, the final dictionaries come from all rows. With one label only, its mean."""
     rows = [(t or "", int(y)) for t, y in rows]
-    if len({y for _, y in rows}) < 2:
-        return {"base": float(np.mean([y for _, y in rows])) if rows else 0.0}
-    halves = [[r for r in rows if zlib.crc32(r[0][:200].encode("utf-8", "replace")) % 2 == h] for h in (0, 1)]
-    x, y = [], []
-    for h in (0, 1):
-        if len({label for _, label in halves[1 - h]}) < 2:
-            continue
-        lengths = Lengths(*pair(halves[1 - h]))
-        x += [features(t, lengths) for t, _ in halves[h]]
-        y += [label for _, label in halves[h]]
-    ordinary, toxic = pair(rows)
-    if not x:
-        lengths = Lengths(ordinary, toxic)
-        x, y = [features(t, lengths) for t, _ in rows], [label for _, label in rows]
-    return {"ordinary": ordinary.hex(), "toxic": toxic.hex(), "weights": logistic(np.array(x), np.array(y, float)).tolist()}
+    threads = threads or min(4, os.cpu_count() or 1)
+    halves = [[r for r in rows if half_of(r[0]) == h] for h in (0, 1)]
+    if any(len({y for _, y in some}) < 2 for some in halves):  # too few rows to score each other
+        halves = [rows, rows]
+        if len({y for _, y in rows}) < 2:
+            return {"base": float(np.mean([y for _, y in rows])) if rows else 0.0}
+    of = lambda some, label: list(dict.fromkeys(w for t, y in some if y == label for w in windows(t)))
+    toxic, false = [of(some, 1) for some in halves], [[], []]
+    ordinary = [trained(of(some, 0), SIZES["ordinary"]) for some in halves]
+    for turn in range(ROUNDS):
+        pairs = []
+        for h in (0, 1):
+            tables, content = ordinary[h]
+            extra = trained(false[h], SIZES["false"])[1] if false[h] else b""
+            pairs.append(Pair(tables, extra + content, trained(toxic[h], SIZES["toxic" if turn else "ordinary"])[1], threads))
+        found = [evidence_of(pairs[1 - h], halves[h]) for h in (0, 1)]
+        seen = {label: np.concatenate([e for h in (0, 1) for (_, y), e in zip(halves[h], found[h], strict=True) if y == label]) for label in (0, 1)}
+        least = next((t for t in range(1, 40) if (seen[1] >= t).mean() >= 2 * (seen[0] >= t).mean() + 1e-9), int(np.quantile(seen[0], 0.998)) + 1 if len(seen[0]) else 1)
+        chosen = [dict.fromkeys(w for (t, y), e in zip(halves[h], found[h], strict=True) if y for w, x in zip(windows(t), e.tolist(), strict=True) if x >= least) for h in (0, 1)]
+        for h in (0, 1):
+            more = dict.fromkeys(false[h])
+            for (t, y), e in zip(halves[h], found[h], strict=True):
+                for w, x in zip(windows(t), e.tolist(), strict=True) if not y else ():
+                    for some in chosen:
+                        some.pop(w, None)  # what ordinary documents hold as well
+                    if x >= 3:
+                        more[w] = None
+            false[h] = list(more)
+        toxic = [list(some) or old for some, old in zip(chosen, toxic, strict=True)]
+    x, y = np.array([features(e) for some in found for e in some]), np.array([y for some in halves for _, y in some], float)
+    both = lambda some: list(dict.fromkeys(some[0] + some[1]))
+    tables, content = trained(of(rows, 0), SIZES["ordinary"])
+    extra = trained(both(false), SIZES["false"])[1] if any(false) else b""
+    last = {"tables": tables, "ordinary": extra + content, "toxic": trained(both(toxic), SIZES["toxic"])[1]}
+    return {**{k: v.hex() for k, v in last.items()}, "weights": logistic(x, y).tolist()}
 
 
 class Scorer:
     def __init__(self, model: dict):
         self.model = model
         if "weights" in model:
-            self.lengths = Lengths(bytes.fromhex(model["ordinary"]), bytes.fromhex(model["toxic"]))
+            self.pair = Pair(*(bytes.fromhex(model[k]) for k in ("tables", "ordinary", "toxic")))
             self.weights = np.array(model["weights"])
 
-    def __call__(self, text: str | None) -> float:
+    def __call__(self, texts: list[str | None]) -> list[float]:
         if "weights" not in self.model:
-            return self.model["base"]
-        z = float(np.dot(features(text or "", self.lengths), self.weights[:-1]) + self.weights[-1])
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-
-@lru_cache(2)
-def scorer_of(packed: str) -> Scorer:
-    """One for all tasks of a Python worker."""
-    return Scorer(json.loads(packed))
+            return [self.model["base"]] * len(texts)
+        z = [float(np.dot(features(e), self.weights[:-1]) + self.weights[-1]) for _, e in self.pair.of_texts(texts)]
+        return [1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z]
 
 
 def held_out(column: str = "doc_id"):
@@ -241,11 +197,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
-        scorer = scorer_of(packed)
+        scorer = remembered(("toxicity", hash(packed)), lambda: Scorer(json.loads(packed)))
         for batch in batches:
-            for a, b in text_slices(batch, "text"):
+            for a, b in text_slices(batch, "text", 1 << 20):
                 part = batch.slice(a, b - a)
-                found = [scorer(t) for t in part.column("text").to_pylist()]
+                found = scorer(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*keep, name])
 
     return docs.mapInArrow(run, schema)
