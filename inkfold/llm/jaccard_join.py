@@ -42,7 +42,7 @@ class Bands:
         self.ends = np.array(self.ends[1:] or [1], np.int64)
         total = np.arange(2 * int(self.ends[-1]) + 1)
         differ = np.maximum.accumulate(total - 2 * need(total, percent))[2 * self.ends]  # the most elements in one of two sets only, over all sizes up to the end
-        self.spare = 2 + (differ + 1) // 16
+        self.spare = 2 + (differ + 1) // 4
         self.segments = differ + 1 + self.spare
         self.differ = differ
 
@@ -50,8 +50,24 @@ class Bands:
         return np.searchsorted(self.ends, sizes)
 
 
-def meeting_keys(sets: list[np.ndarray], nodes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and their nodes. A set meets those of its own band, and larger ones of the next if its size lets it."""
+class Frequent:
+    """A bit table of frequent shingles; some others pass as well, the same for every set, which loses nothing."""
+
+    def __init__(self, hashes: np.ndarray, bits: int = 22):
+        self.table, self.mask = np.zeros(1 << bits, bool), U64((1 << bits) - 1)
+        self.table[hashes & self.mask] = True
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return self.table[hashes & self.mask]
+
+
+def meeting_keys(sets: list[np.ndarray], nodes: np.ndarray, bands: Bands, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their nodes. A set meets those of its own band, and larger ones of the next if its size lets it.
+
+    Of the segments of two linked sets more than ``spare`` are equal. Those that hold no rare shingle (or none at all) are weak: unlike sets with
+    a common passage agree there. A set with at most ``spare`` weak segments leaves them out, so one equal segment is left that is not weak,
+    in neither set; a set with more keeps all of its segments as keys, the empty ones too.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     band = bands.of(sizes)
     below = np.concatenate([[0], bands.ends[:-1]])
@@ -68,24 +84,51 @@ def meeting_keys(sets: list[np.ndarray], nodes: np.ndarray, bands: Bands) -> tup
         n, m = sizes[some], bands.segments[b[some]]
         owner = np.repeat(np.arange(len(some)), n)
         segment = (((tokens >> U64(32)) * m[owner].astype(U64)) >> U64(32)).astype(np.int64)
-        base = np.concatenate([[0], np.cumsum(m)[:-1]])
+        base = np.cumsum(m) - m
         place = base[owner] + segment
         starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         total = np.add.reduceat(mix(tokens * MULTIPLIERS[5]), starts)
+        rare = np.logical_or.reduceat(~frequent(tokens), starts)
         own, seg = owner[starts], segment[starts]
         key = mix(total + seg.astype(U64) * MULTIPLIERS[1] + b[some][own].astype(U64) * MULTIPLIERS[2])
-        out_keys.append(key)
-        out_nodes.append(nodes[some][own])
-        empty = m - np.bincount(own, minlength=len(some))
-        for i in np.flatnonzero(empty > bands.spare[b[some]]):  # too many segments are empty: those are keys as well
-            missing = np.setdiff1d(np.arange(m[i]), seg[own == i])
-            out_keys.append(mix(missing.astype(U64) * MULTIPLIERS[3] + np.full(len(missing), int(b[some][i]) + 1, U64) * MULTIPLIERS[6]))
-            out_nodes.append(np.full(len(missing), nodes[some][i]))
+        every = m - np.bincount(own[rare], minlength=len(some)) > bands.spare[b[some]]
+        emit = rare | every[own]
+        out_keys.append(key[emit])
+        out_nodes.append(nodes[some][own[emit]])
+        if every.any():
+            held = np.zeros(int(m.sum()), bool)
+            held[place[starts]] = True
+            at = np.flatnonzero(~held & np.repeat(every, m))
+            own = np.searchsorted(base, at, "right") - 1
+            out_keys.append(mix((at - base[own]).astype(U64) * MULTIPLIERS[3] + (b[some][own] + 1).astype(U64) * MULTIPLIERS[6]))
+            out_nodes.append(nodes[some][own])
     if not out_keys:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     return np.concatenate(out_keys), np.concatenate(out_nodes)
 
 
+def frequent_shingles(docs: DataFrame, sized: DataFrame, k: int, sample_rows: int, sample_bytes: int = 48 << 20, longest: int = 20_000) -> bytes:
+    """Hashes of the shingles that two sets of a sample hold: ``sample_rows`` distinct sets and ``sample_bytes`` at most, the first by a hash.
+
+    They only steer which segments are weak; whatever they are, no link is lost.
+    """
+    chosen = sized.where(f"node is not null and n_shingles <= {longest}").groupBy("node").agg(F.min("row").alias("of")).orderBy(F.xxhash64("node")).limit(sample_rows).select("of")
+
+    def shingled(batches):
+        for batch in batches:
+            for a, b in text_slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in shingle_sets(batch.column("text")[a:b].to_pylist(), k)], pa.binary())], ["hashes"])
+
+    found = docs.join(F.broadcast(chosen), F.col("row") == F.col("of"), "left_semi").select("text").mapInArrow(shingled, "hashes binary")  # sample_rows hashes at most
+    held, size = [], 0
+    for r in found.distinct().limit(sample_rows).toLocalIterator():
+        held.append(np.frombuffer(r.hashes, U64))
+        if (size := size + len(r.hashes)) > sample_bytes:
+            break
+    hashes, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, int))
+    return hashes[n > 1].tobytes()
+
+
 def star_edges(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For keys with more than one node: each node and the smallest of its key, without repeats."""
     order = np.lexsort((nodes, keys))
@@ -97,16 +140,17 @@ def star_edges(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return pairs[:, 0], pairs[:, 1]
 
 
-def block_edges(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
+def block_edges(docs: DataFrame, k: int, bands: Bands, frequent: bytes) -> DataFrame:
     """``a, b``: nodes that share a meeting key (each with the key's smallest node)."""
     parts = parallelism(docs.sparkSession)
     schema = pa.schema([("bin", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())])
 
     def deal(batches):
+        common = Frequent(np.frombuffer(frequent, U64))
         for batch in batches:
-            for a, b in text_slices(batch, "text"):
+            for a, b in text_slices(batch, "text", 4 << 20):
                 sets = shingle_sets(batch.column("text")[a:b].to_pylist(), k)
-                keys, nodes = meeting_keys(sets, fingerprint(sets), bands)
+                keys, nodes = meeting_keys(sets, fingerprint(sets), bands, common)
                 bins = (keys % U64(parts)).astype(np.uint16)
                 order = np.argsort(bins, kind="stable")
                 ends = np.searchsorted(bins[order], np.arange(parts), "right")
@@ -256,7 +300,9 @@ def large_links(large: DataFrame, scratch: Scratch, percent: int, chunk_bytes: i
     """
     w = Window.partitionBy("block").orderBy(F.xxhash64("node"))
     chosen = large.select("block", "node").distinct().withColumn("r", F.row_number().over(w)).where(f"r <= {pivots}").select("block", "node")
-    sets = large.join(chosen, ["block", "node"], "left_semi").dropDuplicates(["block", "node"])  # a few rows for each block of at least chunk_bytes
+    chosen = scratch.save(chosen, "chosen")
+    few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    sets = large.join(few(chosen), ["block", "node"], "left_semi").dropDuplicates(["block", "node"])  # a few rows for each block of at least chunk_bytes
     sets = scratch.save(sets.groupBy("block").agg(F.collect_list(F.struct("node", "hashes")).alias("pivots")), "pivots")
     size = sets.agg(F.sum(F.expr("aggregate(pivots, 0L, (n, x) -> n + octet_length(x.hashes))"))).first()[0] or 0
     out = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("pivot", pa.int64()), ("bytes", pa.int64())])
@@ -276,14 +322,13 @@ def large_links(large: DataFrame, scratch: Scratch, percent: int, chunk_bytes: i
     seen = scratch.save(joined.mapInArrow(compare, "block long, node long, pivot long, bytes long"), "seen")
     best = seen.where("pivot is not null").groupBy("block", "pivot").agg(F.count(F.lit(1)).alias("n"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("n"), "pivot"))).where("r = 1").select("block", F.col("pivot").alias("best"))
-    state = seen.join(best, "block").groupBy("block", "node").agg(F.bool_or(F.coalesce(F.col("pivot") == F.col("best"), F.lit(False))).alias("done"), F.max("bytes").alias("bytes"))
+    state = seen.join(few(scratch.save(best, "best")), "block").groupBy("block", "node").agg(F.bool_or(F.coalesce(F.col("pivot") == F.col("best"), F.lit(False))).alias("done"), F.max("bytes").alias("bytes"))
     state = scratch.save(state, "state")
     dealt = state.groupBy("block").agg(
         F.expr(f"cast((sum(bytes) - 1) div {chunk_bytes} + 1 as int)").alias("all_chunks"), F.expr(f"cast((sum(if(done, 0, bytes)) - 1) div {chunk_bytes} + 1 as int)").alias("open_chunks"), F.count_if(~F.col("done")).alias("open")
     ).where("open > 0")
-    state = state.join(dealt, "block").drop("bytes", "open")  # a row for each block of at least chunk_bytes
-    few = state.count() <= broadcast_rows
-    rows = large.dropDuplicates(["block", "node"]).join(F.broadcast(state) if few else state, ["block", "node"])
+    state = state.join(few(scratch.save(dealt, "dealt")), "block").drop("bytes", "open")  # a row for each block of at least chunk_bytes
+    rows = large.dropDuplicates(["block", "node"]).join(few(state), ["block", "node"])
     every = rows.withColumn("i", F.explode(F.expr("sequence(0, open_chunks - 1)"))).withColumn("j", F.expr("cast(pmod(node, all_chunks) as int)")).withColumn("open", F.lit(False))
     some = rows.where("not done").withColumn("i", F.expr("cast(pmod(node, open_chunks) as int)")).withColumn("j", F.explode(F.expr("sequence(0, all_chunks - 1)"))).withColumn("open", F.lit(True))
 
@@ -298,7 +343,7 @@ def large_links(large: DataFrame, scratch: Scratch, percent: int, chunk_bytes: i
     return seen.where("pivot is not null and pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(met)
 
 
-def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_rows: int) -> DataFrame:
+def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_rows: int, sample_rows: int = 4_000) -> DataFrame:
     """``doc_id, row, n_shingles, class`` for every row of docs: ``row`` is a hash of id and text, ``class`` null for texts without words."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -315,7 +360,7 @@ def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_r
 
     d = scratch.save(docs.mapInArrow(sizes, "doc_id long, row long, n_shingles long, node long"), "sizes")
     bands = Bands(percent, int(d.agg(F.max("n_shingles")).first()[0] or 1))
-    blocks = components(block_edges(docs, k, bands), scratch, "blocks")  # node, component
+    blocks = components(block_edges(docs, k, bands, frequent_shingles(docs, d, k, sample_rows)), scratch, "blocks")  # node, component
     shown = d.where("node is not null").groupBy("node").agg(F.min("row").alias("shown"), F.first("n_shingles").alias("n"))
     members = blocks.join(shown, "node").select("node", F.col("component").alias("block"), "shown", "n")
     weight = members.groupBy("block").agg(F.sum(F.col("n") * 8).alias("bytes"))

@@ -353,8 +353,10 @@ def test_meeting_keys_are_lossless():
                 if 100 * len(np.intersect1d(a, c)) < 85 * len(np.union1d(a, c)):
                     break
                 b = c
-            keys, nodes = jaccard_join.meeting_keys([a, b], np.array([1, 2]), bands)
-            assert np.array_equal(a, b) or np.intersect1d(keys[nodes == 1], keys[nodes == 2]).size
+            for share in (0, 0.3, 0.9, 1):  # of frequent shingles
+                frequent = jaccard_join.Frequent(a[rng.random(len(a)) < share])
+                keys, nodes = jaccard_join.meeting_keys([a, b], np.array([1, 2]), bands, frequent)
+                assert np.array_equal(a, b) or np.intersect1d(keys[nodes == 1], keys[nodes == 2]).size
 
 
 def test_keep_one(spark):
@@ -365,6 +367,16 @@ def test_keep_one(spark):
     assert 20 not in ids and 31 not in ids and {0, 2, 30 - 30, 45, 40, 41, 42} <= set(ids) and ids.count(43) == 1
 
 
+def test_keep_one_decides_by_row(spark):
+    words = prose(80, random.Random(1)).split()
+    a, near, other = " ".join(words), " ".join([*words[:-1], "end"]), prose(80, random.Random(2))
+    rows = [(3, a, "x"), (5, near, "x"), (5, other, "x"), (3, a, "y"), (None, near, "x"), (7, None, "x"), (7, "", "x"), (7, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string")
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(docs).collect()), key=str)
+    assert got == sorted([(3, a), (5, other), (7, None), (7, ""), (7, "")], key=str)
+    assert jaccard_join.keep_one(docs.limit(0)).count() == 0
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("n", [1, 63, 64, 5000, 40_000])
 def test_rans_block(n):
