@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -84,11 +85,19 @@ def remembered(kind, make):
     """What all tasks of a Python worker share. Asking for another kind frees it, so that the memories of stages never add up."""
     if kind not in _HELD:
         _HELD.clear()
-        gc.collect()
+        give_back()
         _HELD[kind] = make()
     return _HELD[kind]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python's garbage, Arrow's pool and, where the C library can, its heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partition_id() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
@@ -102,7 +111,7 @@ def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def text_slices(batch: pa.RecordBatch, name: str, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def text_slices(batch: pa.RecordBatch, name: str, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch of about ``most`` bytes of text each (one row at least), to bound memory."""
     sizes = pc.binary_length(batch.column(name)).fill_null(0).to_pylist()
     start = total = 0

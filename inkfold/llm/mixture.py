@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, flat, text_slices
+from .common import Scratch, flat, remembered, text_slices
 
 N_FEATURES = 256 + 7
 
@@ -115,7 +115,7 @@ def members(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
 
     def run(batches):
-        m = Model.unpacked(packed)
+        m = remembered(("mixture", hash(packed)), lambda: Model.unpacked(packed))
         for batch in batches:
             for a, b in text_slices(batch, "text"):
                 x, n = features(batch.column("text")[a:b].to_pylist())
@@ -199,7 +199,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], seed: i
     schema = T.StructType(docs.schema.fields)
 
     def run(batches):
-        m = Model.unpacked(packed)
+        m = remembered(("mixture", hash(packed)), lambda: Model.unpacked(packed))
         for batch in batches:
             for a, b in text_slices(batch, "text"):
                 part = batch.slice(a, b - a)

@@ -209,7 +209,7 @@ class WordCache:
     text of an added token, go to the library whole. Beyond ``most`` words, those that are not in the present texts are forgotten.
     """
 
-    def __init__(self, tokenizer_file: str, dtype: str, most: int = 1_000_000):
+    def __init__(self, tokenizer_file: str, dtype: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.code, self.most = Tokenizer.from_file(tokenizer_file), {"<u2": "H", "<u4": "I"}[dtype], most
@@ -284,7 +284,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str) -> D
     def run(batches):
         words, end = word_cache(tokenizer_file, dtype), np.array([end_id], dtype).tobytes()
         for batch in batches:
-            for a, b in text_slices(batch, "text", 8 << 20):
+            for a, b in text_slices(batch, "text", 4 << 20):
                 part = batch.slice(a, b - a)
                 found = words.encode([t or "" for t in part.column("text").to_pylist()])
                 yield rows_out(schema, {"doc_id": part.column("doc_id").to_pylist(), "ids": [x + end for x in found]})
