@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from .common import table
 
-TOKENIZER_FILE = os.environ.get("INKFOLD_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER_FILE = os.environ.get("INKFOLD_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op5_ann(spark, sf_dir):

@@ -209,13 +209,12 @@ class WordCache:
     text of an added token, go to the library whole. Beyond ``most`` words, those that are not in the present texts are forgotten.
     """
 
-    def __init__(self, tokenizer_file: str, dtype: str, most: int = 400_000):
+    def __init__(self, tokenizer_file: str, dtype: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.code, self.most = Tokenizer.from_file(tokenizer_file), {"<u2": "H", "<u4": "I"}[dtype], most
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.inner: dict[str, bytes] = {}  # words with a space before them
-        self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.known: dict[str, bytes] = {}  # words after a space; with a line feed before them, those at the start of a line
         self.feed = self._ids(["\n"])[0]
         self.feed_id = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?")), strict=True))
@@ -231,7 +230,7 @@ class WordCache:
         for start in range(0, len(words), 1000):
             some = words[start : start + 1000]
             text = "".join([before + w for w in some]) if before else "\n" + "\n".join(some)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
             at = np.flatnonzero(self.spaced[ids] if before else ids == self.feed_id)
             if len(at) != len(some):
                 out += self._ids([before + w for w in some])
@@ -242,33 +241,41 @@ class WordCache:
             out += [coded[i:j] for i, j in zip(starts, ends, strict=True)]
         return out
 
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> dict[str, bytes]:
-        if len(known) + len(words) > self.most:
-            known = {w: known[w] for w in words if w in known}
-        new = words.difference(known)  # a dict's keys() would be walked whole
-        ended = [w for w in new if w[-1] in self.marks and w[-2:-1].isalnum()]  # a mark after a letter or digit is a piece of its own
-        plain = list((new.difference(ended) | {w[:-1] for w in ended}).difference(known))
-        known.update(zip(plain, self._word_ids(plain, before), strict=True))
-        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in ended)
-        return known
+    def _learn(self, words: set[str], before: str) -> dict[str, bytes]:
+        """Ids of words after a space (``before``), or at the start of a line."""
+        ended = [w for w in words if w[-1] in self.marks and w[-2:-1].isalnum()]  # a mark after a letter or digit is a piece of its own
+        plain = list(words.difference(ended) | {w[:-1] for w in ended})
+        found = dict(zip(plain, self._word_ids(plain, before), strict=True))
+        found.update((w, found[w[:-1]] + self.marks[w[-1]]) for w in ended)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        regular, inner, first = [], set(), set()
+        """One look-up a word: what is not known is noted, learned for all texts at once and filled in."""
+        todo, new, get = [], set(), self.known.get
         for text in texts:
-            words = text.split()
-            ok = bool(words) and text.count(" ") + text.count("\n") + 1 == len(words) and not any(a in text for a in self.added)
-            regular.append(ok)
-            if ok:
-                inner.update(words)
-                first.update([line.partition(" ")[0] for line in text.split("\n")])
-        self.inner, self.first = self._learn(self.inner, inner, " "), self._learn(self.first, first, "")
-        at, start, out = self.inner.__getitem__, self.first.__getitem__, []
-        for text, ok in zip(texts, regular, strict=True):
-            if ok:
-                lines = [line.split(" ") for line in text.split("\n")]
-                out.append(self.feed.join([start(ws[0]) + b"".join(map(at, ws[1:])) for ws in lines]))
-            else:
+            if len(text.split()) != text.count(" ") + text.count("\n") + 1 or not text or any(a in text for a in self.added):
+                todo.append(None)
+                continue
+            words = f"\n{text}".replace("\n", " \n")[1:].split(" ")
+            ids = list(map(get, words))
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            new.update([words[i] for i in gaps])
+            todo.append((ids, gaps, words))
+        if len(self.known) + len(new) > self.most:
+            here = {w for x in todo if x for w in x[2]}
+            self.known = {w: v for w, v in self.known.items() if w in here}
+        known, starts = self.known, {w for w in new if w[0] == "\n"}
+        known.update(self._learn(new - starts, " "))
+        known.update(("\n" + w, self.feed + v) for w, v in self._learn({w[1:] for w in starts}, "").items())
+        out, skip = [], len(self.feed)
+        for text, x in zip(texts, todo, strict=True):
+            if x is None:
                 out.append(self._ids([text])[0])
+                continue
+            ids, gaps, words = x
+            for i in gaps:
+                ids[i] = known[words[i]]
+            out.append(b"".join(ids)[skip:])
         return out
 
 
@@ -284,7 +291,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str) -> D
     def run(batches):
         words, end = word_cache(tokenizer_file, dtype), np.array([end_id], dtype).tobytes()
         for batch in batches:
-            for a, b in text_slices(batch, "text", 4 << 20):
+            for a, b in text_slices(batch, "text", 1 << 20):
                 part = batch.slice(a, b - a)
                 found = words.encode([t or "" for t in part.column("text").to_pylist()])
                 yield rows_out(schema, {"doc_id": part.column("doc_id").to_pylist(), "ids": [x + end for x in found]})
