@@ -20,17 +20,22 @@ def deduplicated(files: DataFrame, name: str, *order) -> DataFrame:
 
 
 def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
-    """For each ``file, dir`` the config of the longest ``config_dir`` that is an ancestor (or itself).
+    """For each ``dir, file`` the config of the longest ``config_dir`` that is an ancestor (or itself).
 
     The directory is exploded into its ancestors, so the match is an equi-join, not a theta join.
     """
     parts = F.split("dir", "/")
     above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
     j = files.withColumn("config_dir", above).join(configs, "config_dir")
-    w = Window.partitionBy("file").orderBy(F.length("config_dir").desc())
+    w = Window.partitionBy("dir", "file").orderBy(F.length("config_dir").desc())
     return j.withColumn("\x00r", F.row_number().over(w)).where("`\x00r` = 1").drop("\x00r")
 
 
+def listed(files: DataFrame, suffixes: list[str]) -> DataFrame:
+    """The files whose name ends with one of the suffixes, in either case, by path."""
+    return files.where(F.lower(F.substring_index("path", ".", -1)).isin([x.lower().lstrip(".") for x in suffixes])).orderBy("path")
+
+
 def natural_key(label: str) -> list[Column]:
     """Sort by prefix, then number, then the label itself (ties have no order of their own)."""
     return [F.regexp_extract(label, r"^([^0-9]*)", 1), F.expr(f"coalesce(try_cast(regexp_extract({label}, '([0-9]+)', 1) as bigint), 0)"), F.col(label)]

@@ -36,10 +36,10 @@ def verdict_columns(joined: DataFrame, empty: str = "NR") -> DataFrame:
 
 
 def scored(judged: DataFrame, schemes: DataFrame) -> DataFrame:
-    """Adds ``delta``: an answer's own weight, else what the section (or DEFAULT) gives the verdict's kind."""
+    """Adds ``delta``: an answer's own weight, else what the section (or DEFAULT) gives the verdict's kind; null where neither is given."""
     s = F.broadcast(schemes)  # marking schemes are a specification's, hence few
     default = F.broadcast(schemes.where("section = 'DEFAULT'").select(*[F.col(c).alias(f"d_{c}") for c in ("correct", "incorrect", "unmarked")]))
-    j = judged.join(s, "section", "left").crossJoin(default)  # one row
+    j = judged.join(s, "section", "left").join(default, F.lit(True), "left")  # one row at most
     value = lambda c: F.coalesce(c, f"d_{c}")
     kind = F.substring_index("verdict", "-", 1)
     delta = F.when(kind == "unmarked", value("unmarked")).when(kind == "incorrect", value("incorrect")).otherwise(F.coalesce("weight", value("correct")))
@@ -53,6 +53,13 @@ def explanation(judged: DataFrame) -> DataFrame:
     return judged.withColumn("score", F.sum("delta").over(w)).withColumn("verdict", title)
 
 
+def explanation_text(judged: DataFrame) -> DataFrame:
+    """The explanation as text, a row a question: what was marked, the answers, verdict, delta, running score (two decimals), section."""
+    text = lambda c: F.round(c, 2).cast("string").alias(c)
+    answers = F.when(F.size("answers") == 1, F.get("answers", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("answers", ", "), F.lit("]")))
+    return explanation(judged).select("sheet", "pos", F.col("label").alias("question"), F.col("response").alias("marked"), answers.alias("answers"), "verdict", text("delta"), text("score"), "section")
+
+
 def sheet_scores(judged: DataFrame) -> DataFrame:
     """A left fold of the deltas in the order of questions."""
     fold = "aggregate(transform(array_sort(collect_list(struct(pos, delta))), x -> x.delta), 0d, (a, x) -> a + x)"

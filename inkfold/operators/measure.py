@@ -25,8 +25,12 @@ def jump_threshold(values: str, lag: int, default: float = WHITE, least: float =
     return F.when(top > least, F.get(F.col(values), (F.array_position(j, top) - 1).cast("int")) + top / 2).otherwise(F.lit(default))
 
 
-def measured(bubbles: DataFrame) -> DataFrame:
-    """A row per sheet: global and deviation thresholds, and ``strips`` (bubbles by intensity, deviation, size, range, mean)."""
+def measured(bubbles: DataFrame, page_type: str = "white", min_jump: float = MIN_JUMP) -> DataFrame:
+    """A row per sheet: global and deviation thresholds, and ``strips`` (bubbles by intensity, deviation, size, range, mean).
+
+    The parameters are a configuration's threshold_params. Without a clear jump the threshold is that of the page type.
+    """
+    default = BLACK if page_type == "black" else WHITE
     strip = bubbles.repartition("sheet").groupBy("sheet", "strip").agg(
         F.array_sort(F.collect_list(F.struct("m", "opt"))).alias("b"),
         F.round(F.stddev_pop("m"), 2).alias("sd"),
@@ -37,19 +41,25 @@ def measured(bubbles: DataFrame) -> DataFrame:
     )
     sheet = strip.groupBy("sheet").agg(F.collect_list(F.struct("strip", "b", "sd", "n", "mn", "mx", "av")).alias("strips"))
     sheet = sheet.withColumn("all_m", F.expr("sort_array(flatten(transform(strips, s -> s.b.m)))")).withColumn("all_sd", F.expr("sort_array(strips.sd)"))
-    return sheet.select("sheet", "strips", jump_threshold("all_m", 4).alias("global_thr"), jump_threshold("all_sd", 2).alias("std_thr"))
+    return sheet.select("sheet", "strips", jump_threshold("all_m", 4, default, min_jump).alias("global_thr"), jump_threshold("all_sd", 2, default, min_jump).alias("std_thr"))
 
 
-def local_thresholds(sheets: DataFrame) -> DataFrame:
+def local_thresholds(sheets: DataFrame, min_gap: float = MIN_GAP, min_jump: float = MIN_JUMP, surplus: float = SURPLUS) -> DataFrame:
     """A row per strip with its threshold ``thr``: by the largest jump if clear, the mean or the sheet's threshold if not."""
     s = sheets.select("sheet", "global_thr", "std_thr", F.expr("inline(strips)")).withColumn("q", F.col("b.m"))
     top = F.array_max(jumps("q", 2))
-    few = F.when(F.col("mx") - F.col("mn") < MIN_GAP, F.col("global_thr")).otherwise(F.col("av"))
-    vague = (F.greatest(top, F.lit(float(MIN_JUMP))) < MIN_JUMP + SURPLUS) & (F.col("sd") < F.col("std_thr"))
-    thr = F.when(F.col("n") < 3, few).when(vague, F.col("global_thr")).otherwise(jump_threshold("q", 2, default=255.0))
+    few = F.when(F.col("mx") - F.col("mn") < min_gap, F.col("global_thr")).otherwise(F.col("av"))
+    vague = (F.greatest(top, F.lit(float(min_jump))) < min_jump + surplus) & (F.col("sd") < F.col("std_thr"))
+    thr = F.when(F.col("n") < 3, few).when(vague, F.col("global_thr")).otherwise(jump_threshold("q", 2, 255.0, min_jump))
     return s.withColumn("thr", thr).drop("q")
 
 
+def sheet_average(strips: DataFrame) -> DataFrame:
+    """``sheet, avg_thr``: the mean threshold of a sheet's strips to two decimals, half up; summed as whole millionths, so the order does not matter."""
+    total = "sum(cast(round(thr * 1000000) as bigint))"
+    return strips.groupBy("sheet").agg((F.expr(f"(2 * {total} + 10000 * count(1)) div (20000 * count(1))") / 100.0).alias("avg_thr"))
+
+
 def marked(strips: DataFrame) -> DataFrame:
     """Bubbles darker than their strip's threshold: ``sheet, strip, opt, m, thr``."""
     return strips.select("sheet", "strip", "thr", F.expr("inline(filter(b, x -> thr > x.m))")).select("sheet", "strip", "opt", "m", "thr")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HIGH_NR = 0.7
+# The columns that may hold the candidate, in this order.
+CANDIDATE = ["CandidateNumber", "candidateNumber", "candidate_number"]
 
 
 def routed(sheets: DataFrame, filter_multi: bool = True) -> DataFrame:
@@ -16,17 +19,36 @@ def routed(sheets: DataFrame, filter_multi: bool = True) -> DataFrame:
 
 
 def qc_flags(rows: DataFrame, pattern: str | None, empty: str = "NR") -> DataFrame:
-    """``responses map<string,string>``, ``candidate``: counts of unread questions and flags. An invalid pattern flags every row."""
+    """``responses map<string,string>``: counts of unread questions and flags. An invalid pattern flags every row.
+
+    The candidate is the column ``candidate``, else the first of ``CANDIDATE`` among the responses; without either, and without a pattern, it is not checked.
+    """
     nr = F.expr(f"size(filter(map_entries(responses), e -> lower(e.key) rlike '^q[0-9]+' and trim(e.value) = '{empty}'))")
     n = F.expr("size(filter(map_keys(responses), k -> lower(k) rlike '^q[0-9]+'))")
     share = nr / F.greatest(F.lit(1), n)
-    bad = F.coalesce(F.trim("candidate"), F.lit("")) == ""
-    if pattern is not None:
-        bad = bad | ~F.trim("candidate").rlike(f"^(?:{pattern})$")
+    if "candidate" in rows.columns:
+        there, value = F.lit(True), F.coalesce(F.trim("candidate"), F.lit(""))
+    else:
+        name = F.coalesce(*[F.when(F.array_contains(F.map_keys("responses"), c), F.lit(c)) for c in CANDIDATE])
+        there, value = name.isNotNull(), F.coalesce(F.trim(F.col("responses")[name]), F.lit(""))
+    bad = value == ""
+    if pattern:
+        bad = bad | (~value.rlike(f"^(?:{pattern})$") if valid_pattern(rows, pattern) else F.lit(True))
+    if pattern is None:
+        bad = there & bad
     flags = F.array_compact(F.array(F.when(share >= HIGH_NR, "HIGH_NR"), F.when(bad, "BAD_CANDIDATE")))
     return rows.withColumn("nr_count", nr).withColumn("nr_percent", share).withColumn("qc_flags", flags)
 
 
+def valid_pattern(rows: DataFrame, pattern: str) -> bool:
+    """Whether the executors' regular expressions accept the pattern."""
+    try:
+        rows.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(f"^(?:{pattern})$")
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def first_per(rows: DataFrame, key: str, *order) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("\x00r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("`\x00r` = 1").drop("\x00r")

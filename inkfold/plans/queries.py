@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import decode, files, grade, measure, report
 from ..sources import roster
 from .adapters import SCHEMES, bubbles, judged, key, pixels, positions, responses, sheets, strips, table  # noqa: F401
-from .spec import FIELD_TYPES
+from .spec import FIELD_TYPES, Template
 
 QUERIES, SQL = {}, {}
 
@@ -96,9 +96,9 @@ def marked_bubbles(spark, d):
     return measure.marked(strips(spark, d)).select("sheet", "strip", "opt", F.round("m", 4).alias("m"))
 
 
-@query(LOC + " SELECT sheet, CAST(sum(CAST(floor(thr * 100 + 0.5) AS BIGINT)) // count(*) AS BIGINT) / 100.0::DOUBLE AS avg_thr FROM loc GROUP BY sheet")
+@query(LOC + " SELECT sheet, ((2 * sum(CAST(round(thr * 1000000) AS HUGEINT)) + 10000 * count(*)) // (20000 * count(*)))::BIGINT / 100.0::DOUBLE AS avg_thr FROM loc GROUP BY sheet")
 def sheet_threshold_avg(spark, d):
-    return strips(spark, d).groupBy("sheet").agg((F.expr("sum(cast(floor(thr * 100 + 0.5) as bigint)) div count(1)") / 100.0).alias("avg_thr"))
+    return measure.sheet_average(strips(spark, d))
 
 
 FLAT = (
@@ -126,6 +126,30 @@ def multi_marked_sheets(spark, d):
     return r.groupBy("sheet").agg(F.bool_or("multi").alias("multi"), F.sum(F.col("multi").cast("long")).alias("n_multi"))
 
 
+# Rolls are digits, questions have own values from right to left; both come from a template.
+TEMPLATE = {
+    "pageDimensions": [3000, 3000], "bubbleDimensions": [20, 20],
+    "fieldBlocks": {
+        "Roll": {"fieldType": "QTYPE_INT", "origin": [10, 10], "fieldLabels": ["roll1..3"], "labelsGap": 30, "bubblesGap": 30},
+        "Own": {"bubbleValues": list("7654321"), "direction": "horizontal", "emptyValue": "-", "origin": [500, 10], "fieldLabels": ["q1..17"], "labelsGap": 30, "bubblesGap": 30},
+    },
+}
+
+
+@query(
+    RESP
+    + """ SELECT r.sheet, CASE WHEN r.pos <= 3 THEN 'roll' || r.pos ELSE 'q' || (r.pos - 3) END AS label,
+CASE WHEN r.pos <= 3 THEN coalesce(d.digits, '') WHEN r.response = 'NR' THEN '-' WHEN r.multi THEN 'MR(' || reverse(translate(substr(r.response, 4, length(r.response) - 4), 'ABCDEFG', '7654321')) || ')' ELSE translate(r.response, 'ABCDEFG', '7654321') END AS response,
+r.pos > 3 AND r.multi AS multi
+FROM r LEFT JOIN (SELECT sheet, strip, string_agg((opt - 1)::VARCHAR, '' ORDER BY opt) AS digits FROM mk GROUP BY ALL) d ON r.sheet = d.sheet AND r.strip = d.strip WHERE r.pos <= 20"""
+)
+def template_responses(spark, d):
+    label = F.when(F.col("pos") <= 3, F.concat(F.lit("roll"), F.col("pos").cast("string"))).otherwise(F.concat(F.lit("q"), (F.col("pos") - 3).cast("string")))
+    s = strips(spark, d).join(positions(spark, d).where("pos <= 20").select("sheet", "strip", label.alias("own")), ["sheet", "strip"])
+    s = s.select("sheet", F.col("own").alias("strip"), "thr", F.expr("transform(b, x -> struct(x.m as m, x.opt - 1 as opt))").alias("b"))
+    return decode.template_responses(s, Template(TEMPLATE).value_table(spark))
+
+
 @query(LOC + " SELECT s.sheet, s.strip, coalesce(string_agg(substr('ABCDEFG', opt, 1), '' ORDER BY opt), '') AS response FROM sstd s LEFT JOIN mk ON s.sheet = mk.sheet AND s.strip = mk.strip GROUP BY ALL")
 def strip_concat(spark, d):
     return decode.strip_concat(strips(spark, d))

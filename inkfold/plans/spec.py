@@ -12,6 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.pixels import REGISTRY
+
 # The built-in field types.
 FIELD_TYPES = {
     "QTYPE_INT": {"bubbleValues": ["0", "1", "2", "3", "4", "5", "6", "7", "8", "9"], "direction": "vertical"},
@@ -125,6 +127,9 @@ class Template:
             raise SpecError("Some columns are missing in the field blocks for the given output columns")
         self.uncovered = sorted(known - set(self.output_columns), key=natural_key)
         self.pre_processors = t["preProcessors"]
+        unknown = [p.get("name") for p in self.pre_processors if p.get("name") not in REGISTRY]
+        if unknown:
+            raise SpecError(f"Unknown preprocessors in '{path}': {unknown}")
 
     @staticmethod
     def _filled(block: dict, t: dict) -> dict:
@@ -167,6 +172,13 @@ class Template:
     def bubble_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.bubbles, "block string, label string, field_type string, opt int, value string, x int, y int, width int, height int")
 
+    def value_table(self, spark: SparkSession) -> DataFrame:
+        """``label, values, empty``: what the options of each label stand for, and what an unmarked strip gives."""
+        values: dict[str, list[str]] = {}
+        for _, label, _, _, value, *_ in self.bubbles:
+            values.setdefault(label, []).append(str(value))
+        return spark.createDataFrame([(k, v, self.empty_by_label[k]) for k, v in values.items()], "label string, values array<string>, empty string")
+
     def custom_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(f, name, i) for name, fields in self.custom.items() for i, f in enumerate(fields)], "label string, out_label string, pos int")
 

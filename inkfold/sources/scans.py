@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,29 @@ def gray(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return page[..., 0] if channels == 1 else np.rint(page[..., :3].astype(float) @ [0.114, 0.587, 0.299]).astype(np.uint8)
 
 
-def measure_scans(scans: DataFrame, template, width: int | None = None, height: int | None = None) -> DataFrame:
+def load_markers(spark: SparkSession, chain: list[dict], folder: str, width: int) -> list[dict]:
+    """The chain with the markers that it names by ``relativePath`` below ``folder``: read, scaled to the page's processing width, blurred, stretched and, unless told not to, without their erosion."""
+    out = []
+    for step in chain:
+        options = dict(step.get("options", {}))
+        if step["name"] == "CropOnMarkers" and "marker" not in options:
+            name = options.get("relativePath", "omr_marker.jpg")
+            try:
+                found = read_scans(spark, f"{folder}/{name}").where("image is not null").take(1)  # one small file
+            except AnalysisException:  # no such path
+                found = []
+            if not found:
+                raise FileNotFoundError(f"Marker not found at path provided in template: {name}")
+            marker = gray(bytes(found[0].image), found[0].height, found[0].width, found[0].nChannels)
+            options["marker"] = pixels.prepared_marker(marker, int(width / int(options["sheetToMarkerWidthRatio"])) if "sheetToMarkerWidthRatio" in options else None, options.get("apply_erode_subtract", True)).tolist()
+        out.append({**step, "options": options})
+    return out
+
+
+def measure_scans(scans: DataFrame, template, width: int | None = None, height: int | None = None, chain: list[dict] | None = None) -> DataFrame:
     """``sheet (path), strip (label), opt, m`` per bubble; pages that cannot be read or prepared give one row with null ``strip``."""
     width, height = width or template.page[0], height or template.page[1]
-    spec = json.dumps({"chain": template.pre_processors, "bubbles": [(b[1], b[3], b[5], b[6], b[7], b[8]) for b in template.bubbles], "page": template.page})
+    spec = json.dumps({"chain": template.pre_processors if chain is None else chain, "bubbles": [(b[1], b[3], b[5], b[6], b[7], b[8]) for b in template.bubbles], "page": template.page})
     schema = pa.schema([("sheet", pa.string()), ("strip", pa.string()), ("opt", pa.int32()), ("m", pa.float64())])
 
     def run(batches):

@@ -1,10 +1,11 @@
 """Synthetic sheets from drawing to responses, pixel operations, streaming."""
 
 import numpy as np
+import pytest
 
 from inkfold.functions import pixels
 from inkfold.operators import decode, measure
-from inkfold.plans import spec
+from inkfold.plans import engine, spec
 from inkfold.sources import scans
 from inkfold.streaming.scans import grade_stream
 
@@ -75,3 +76,63 @@ def test_stream(spark, tmp_path):
     grade_stream(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {r.strip: r.response for r in got.collect()} == {1: "A", 2: "B", 3: "C", 4: "D"}
+
+
+ENGINE = {
+    "pageDimensions": [300, 400], "bubbleDimensions": [14, 14], "emptyValue": "NR", "customLabels": {"Roll": ["roll1..3"]},
+    "fieldBlocks": {
+        "Roll": {"fieldType": "QTYPE_INT", "origin": [10, 10], "fieldLabels": ["roll1..3"], "labelsGap": 30, "bubblesGap": 30, "emptyValue": ""},
+        "Right": {"fieldType": "QTYPE_MCQ4_RTL", "origin": [120, 10], "fieldLabels": ["q1..4"], "labelsGap": 30, "bubblesGap": 40},
+        "Own": {"bubbleValues": ["yes", "no", "maybe"], "direction": "horizontal", "origin": [120, 200], "fieldLabels": ["Q5", "x6"], "labelsGap": 30, "bubblesGap": 40},
+    },
+}
+
+
+def test_template_to_graded_rows(spark, tmp_path):
+    t = spec.Template(ENGINE)
+    document = {
+        "source_type": "custom",
+        "options": {"questions_in_order": ["q1..4", "Q5"], "answers_in_order": ["A", "B", ["C", "D"], "D", "maybe"], "should_explain_scoring": True},
+        "marking_schemes": {"DEFAULT": {"correct": "3", "incorrect": "-1", "unmarked": "0"}},
+    }
+    sheets = {
+        "a": {"roll1": "9", "roll2": "0", "roll3": "4", "q1": "A", "q2": "B", "q3": "D", "q4": "A", "Q5": ["maybe"], "x6": ["yes", "no"]},
+        "b": {"roll1": "17", "roll2": "", "roll3": "8", "q1": "AC", "q2": "", "Q5": ["no"]},
+    }
+    for name, marks in sheets.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "scan.png").write_bytes(scans.png(scans.drawn(t, marks)))
+    (tmp_path / "a" / "bad.png").write_bytes(b"no image")
+    config = {"dimensions": {"processing_width": 300, "processing_height": 400}, "outputs": {"filter_out_multimarked_files": True}}
+    got = engine.graded(scans.read_scans(spark, str(tmp_path)), t, spec.Evaluation(document, empty="NR"), config)
+    assert got.rows.columns == ["file_id", "input_path", "output_path", "route", "score", "Q5", "Roll", "q1", "q2", "q3", "q4", "x6"]
+    rows = {"/".join(r.input_path.split("/")[-2:]): r for r in got.rows.collect()}
+    a, b, bad = (rows[x] for x in ("a/scan.png", "b/scan.png", "a/bad.png"))
+    assert (a.route, a.score, a.Roll, a.q1, a.q2, a.q3, a.q4, a.Q5, a.x6) == ("results", "11.0", "904", "A", "B", "D", "A", "maybe", "yesno")
+    assert (b.route, b.score, b.Roll, b.q1, b.q2, b.Q5, b.x6) == ("multimarked", "NA", "178", "MR(AC)", "NR", "no", "NR")
+    assert (bad.route, bad.score, bad.Roll, bad.output_path) == ("errors", "NA", "", "outputs/Manual/ErrorFiles/bad.png")
+    told = [(r.question, r.verdict, r.delta, r.score) for r in got.explanation.where("sheet like '%a/scan.png'").orderBy("pos").collect()]
+    assert told == [("q1", "Correct", "3.0", "3.0"), ("q2", "Correct", "3.0", "6.0"), ("q3", "Correct-D", "3.0", "9.0"), ("q4", "Incorrect", "-1.0", "8.0"), ("Q5", "Correct", "3.0", "11.0")]
+    plain = engine.graded(scans.read_scans(spark, str(tmp_path)), t, config={"dimensions": config["dimensions"]}).rows
+    assert {r.score for r in plain.where("route = 'results'").collect()} == {"0"} and plain.where("route = 'multimarked'").count() == 0
+    scans.write_results(got.rows, str(tmp_path / "out"))
+    again = scans.read_records(spark, str(tmp_path / "out"))
+    assert again.count() == 3 and {r.score for r in again.collect()} == {"11.0", "NA"}
+
+
+def test_marker_files(spark, tmp_path):
+    marker = np.kron(np.array([[0, 255, 0], [255, 0, 255], [0, 255, 0]], np.uint8), np.ones((12, 12), np.uint8))
+    (tmp_path / "omr.png").write_bytes(scans.png(marker))
+    chain = [{"name": "CropOnMarkers", "options": {"relativePath": "omr.png", "sheetToMarkerWidthRatio": 10}}]
+    ready = scans.load_markers(spark, chain, str(tmp_path), 300)[0]["options"]["marker"]
+    assert len(ready[0]) == 30 and np.array(ready).max() > 100 and "marker" not in chain[0]["options"]
+    with pytest.raises(FileNotFoundError):
+        scans.load_markers(spark, [{"name": "CropOnMarkers", "options": {"relativePath": "gone.png"}}], str(tmp_path), 300)
+    with pytest.raises(spec.SpecError):
+        spec.Template({**TEMPLATE, "preProcessors": [{"name": "Nothing", "options": {}}]})
+
+
+def test_erosion():
+    page = np.full((9, 9), 200, np.uint8)
+    page[4, 4] = 10
+    assert (pixels.eroded(page, 3, 1) == 10).sum() == 9 and (pixels.eroded(page, 5, 5) == 10).all()

@@ -164,3 +164,21 @@ def test_roster(spark, tmp_path):
     assert [r.error is None for r in rows] == [True, False] and rows[0].student_name == "Ann"
     with pytest.raises(ValueError):
         roster.checked(roster.read_roster(spark, str(p)), strict=True)
+
+
+def test_rows_without_default_scheme_and_bad_patterns(spark):
+    judged = spark.createDataFrame([("s", 1, "q1", "A", "correct", "X", None), ("s", 2, "q2", "B", "correct", "DEFAULT", None)], "sheet string, pos int, label string, response string, verdict string, section string, weight double")
+    schemes = spark.createDataFrame([("X", 2.0, -1.0, 0.0)], "section string, correct double, incorrect double, unmarked double")
+    assert [r.delta for r in grade.scored(judged, schemes).orderBy("pos").collect()] == [2.0, None]
+    rows = spark.createDataFrame([({"q1": "NR", "candidate_number": "12"},), ({"q1": "A", "CandidateNumber": " "},), ({"q1": "A"},)], "responses map<string,string>")
+    flags = lambda pattern: [r.qc_flags for r in report.qc_flags(rows, pattern).collect()]
+    assert flags(None) == [["HIGH_NR"], ["BAD_CANDIDATE"], []]
+    assert flags("[0-9]+") == [["HIGH_NR"], ["BAD_CANDIDATE"], ["BAD_CANDIDATE"]]
+    assert flags("(") == [["HIGH_NR", "BAD_CANDIDATE"], ["BAD_CANDIDATE"], ["BAD_CANDIDATE"]]
+
+
+def test_equal_names_of_two_folders(spark):
+    got = files.nearest_config(spark.createDataFrame([("a/x", "s.png"), ("b", "s.png")], "dir string, file string"), spark.createDataFrame([("a",), ("b",)], "config_dir string"))
+    assert sorted((r.dir, r.config_dir) for r in got.collect()) == [("a/x", "a"), ("b", "b")]
+    listing = spark.createDataFrame([("z.PNG",), ("a.jpg",), ("b.txt",)], "path string")
+    assert [r.path for r in files.listed(listing, [".png", "jpg"]).collect()] == ["a.jpg", "z.PNG"]
