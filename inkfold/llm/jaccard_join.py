@@ -23,6 +23,16 @@ from .common import Scratch, flat, parallelism, rows_out, text_slices
 from .graph import Forest, components
 from .shingles import MULTIPLIERS, U64, fingerprint, mix, shingle_sets
 
+# The contract, all pairs and all strings, for tables that DuckDB holds.
+SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT id, len(g) AS n FROM s),
+t AS (SELECT id, unnest(g) AS g FROM s),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT id, id AS other FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT d.doc_id, n.n AS n_shingles, coalesce(min(o.doc_id), d.doc_id) AS component_id FROM d JOIN n ON n.id = d.id JOIN r ON r.id = d.id JOIN d o ON o.id = r.other GROUP BY d.id, d.doc_id, n.n"""
 RATIO = 1.5  # of a size band's ends
 LEAF, FAN = 16, 8
 

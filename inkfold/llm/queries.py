@@ -41,9 +41,13 @@ def op9_rans(spark, sf_dir):
 
     return token_output(table(spark, sf_dir, "documents"), TOKENIZER_FILE)
 
+
 #: Target shares of tokens by quality.
 WEIGHTS = {"high": 0.9, "low": 0.1}
 
+#: Those of the query of its own: far from what the documents hold.
+TARGETS = {"high": 0.6, "low": 0.4}
+
 
 def quality_domains(spark, sf_dir):
     """``doc_id, domain`` of the labelled table."""
@@ -77,7 +81,7 @@ def op4_toxicity(spark, sf_dir):
 def op10_mixture(spark, sf_dir):
     from .mixture import mixture
 
-    return mixture(table(spark, sf_dir, "documents"), quality_domains(spark, sf_dir), WEIGHTS)
+    return mixture(table(spark, sf_dir, "documents"), quality_domains(spark, sf_dir), TARGETS)
 
 
 def queries():
@@ -85,6 +89,6 @@ def queries():
 
 
 def oracle_sql():
-    from . import warc
+    from . import jaccard_join, suffix_dedup, warc
 
-    return {"op1_warc": warc.SQL}
+    return {"op1_warc": warc.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op8_jaccard_join": jaccard_join.SQL}

@@ -22,6 +22,19 @@ from pyspark.sql import functions as F
 from .common import Scratch, flat, parallelism, rows_out, text_slices
 from .shingles import U64, mix
 
+# The contract, all pairs and all strings, for tables that DuckDB holds.
+SQL = r"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT id, doc_id, octet_length(b) AS n, hex(b) AS x FROM d),
+w AS (SELECT id, i, md5(substr(x, 2 * i + 1, 400)) AS k FROM h, range(0, greatest(n - 199, 0)) t(i)),
+again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+s AS (SELECT id, i, i + 200 AS e FROM w SEMI JOIN again USING (k)),
+m AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+g AS (SELECT *, sum((reach IS NULL OR i > reach)::INT) OVER (PARTITION BY id ORDER BY i) AS run FROM m),
+u AS (SELECT id, run, min(i) AS a, max(e) AS z FROM g GROUP BY ALL),
+keep AS (SELECT id, coalesce(lag(z) OVER o, 0) AS a, a AS z FROM u WINDOW o AS (PARTITION BY id ORDER BY a) UNION ALL SELECT h.id, coalesce(max(u.z), 0), any_value(h.n) FROM h LEFT JOIN u ON u.id = h.id GROUP BY h.id)
+SELECT h.doc_id, h.n AS n_bytes, h.n - sum(k.z - k.a)::BIGINT AS n_removed, count(*) - 1 AS n_spans,
+sha256(unhex(string_agg(substr(h.x, 2 * k.a + 1, 2 * (k.z - k.a)), '' ORDER BY k.a))) AS kept_sha256
+FROM h JOIN keep k ON k.id = h.id GROUP BY h.id, h.doc_id, h.n"""
 ROOT = 0x9E3779B97F4A7C15
 ROOT_INVERSE = pow(ROOT, -1, 1 << 64)
 RUN = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("whole", "<u8"), ("left", "<u4"), ("right", "<u4"), ("start", "<u4"), ("more", "u1"), ("at", "u1")])
