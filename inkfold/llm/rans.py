@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, open_fs, partition_id, remembered, rows_out, text_slices, written
+from .common import Scratch, flat, give_back, open_fs, partition_id, remembered, rows_out, text_slices, written
 
 MAGIC = b"RANSTOK1"
 SCALE_BITS = 20
@@ -209,7 +209,7 @@ class WordCache:
     text of an added token, go to the library whole. Beyond ``most`` words, those that are not in the present texts are forgotten.
     """
 
-    def __init__(self, tokenizer_file: str, dtype: str, most: int = 500_000):
+    def __init__(self, tokenizer_file: str, dtype: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.code, self.most = Tokenizer.from_file(tokenizer_file), {"<u2": "H", "<u4": "I"}[dtype], most
@@ -284,19 +284,26 @@ def word_cache(tokenizer_file: str, dtype: str) -> WordCache:
     return remembered(("tokens", tokenizer_file, dtype), lambda: WordCache(tokenizer_file, dtype))
 
 
-def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str) -> DataFrame:
-    """``doc_id, ids`` (binary, of little-endian ``dtype``), the end id included; a null text counts as empty."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str, vocab: int) -> DataFrame:
+    """``doc_id, ids, counts``: ids (binary, of little-endian ``dtype``) with the end id; a null text counts as empty.
+
+    Each task ends with a row without ids: how often it wrote each id, packed as pairs of integers.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        words, end = word_cache(tokenizer_file, dtype), np.array([end_id], dtype).tobytes()
+        words, end, seen = word_cache(tokenizer_file, dtype), np.array([end_id], dtype).tobytes(), np.zeros(vocab, np.int64)
         for batch in batches:
             for a, b in text_slices(batch, "text", 1 << 20):
                 part = batch.slice(a, b - a)
-                found = words.encode([t or "" for t in part.column("text").to_pylist()])
-                yield rows_out(schema, {"doc_id": part.column("doc_id").to_pylist(), "ids": [x + end for x in found]})
+                found = [x + end for x in words.encode([t or "" for t in part.column("text").to_pylist()])]
+                seen += np.bincount(np.frombuffer(b"".join(found), dtype), minlength=vocab)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary()), pa.nulls(b - a, pa.binary())], schema=schema)
+        some = np.flatnonzero(seen)
+        yield rows_out(schema, {"doc_id": [None], "ids": [None], "counts": [np.stack([some, seen[some]], 1).astype("<i8").tobytes()]})
+        give_back()
 
-    return flat(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ids binary")
+    return flat(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def write_dataset(tokens: DataFrame, folder: str, scratch: Scratch, dtype: str, vocab: int, tokens_per_file: int = 8_000_000) -> tuple[DataFrame, Callable[[], Table]]:
@@ -304,14 +311,13 @@ def write_dataset(tokens: DataFrame, folder: str, scratch: Scratch, dtype: str,
     tokens = scratch.save(tokens, "tokens")
 
     def count(batches):
-        seen = np.zeros(vocab, np.int64)
         for batch in batches:
-            seen += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=vocab)
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some], pa.int64())], ["id", "n"])
+            for packed in batch.column(0):
+                pairs = np.frombuffer(packed.as_buffer(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["id", "n"])
 
     counts = np.zeros(vocab, np.int64)
-    for r in tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():  # one row an id of the vocabulary at most
+    for r in tokens.where("counts is not null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():  # one row an id of the vocabulary at most
         counts[r.id] = r.n
     total, table_path = int(counts.sum()), f"{folder}/table.bin"
     freq = Table.of_counts(counts).freq.astype("<u4").tobytes()
@@ -337,7 +343,7 @@ def write_dataset(tokens: DataFrame, folder: str, scratch: Scratch, dtype: str,
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([path]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], ["file", "path", "n_docs", "n_tokens"])
 
     files = max(1, -(-total // tokens_per_file))
-    ordered = tokens.repartitionByRange(files, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = tokens.where("ids is not null").select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     manifest = scratch.save(ordered.mapInArrow(encode, "file long, path string, n_docs long, n_tokens long"), "manifest")
     scratch.drop("tokens")
     return manifest, load
@@ -378,5 +384,5 @@ def token_output(docs: DataFrame, tokenizer_file: str, end_id: int = 2, tokens_p
     scratch = Scratch(docs.sparkSession, "rans")
     vocab = max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1)
     dtype = "<u2" if vocab <= 1 << 16 else "<u4"
-    manifest, load = write_dataset(tokenize(docs, tokenizer_file, end_id, dtype), scratch.sub("files"), scratch, dtype, vocab, tokens_per_file)
+    manifest, load = write_dataset(tokenize(docs, tokenizer_file, end_id, dtype, vocab), scratch.sub("files"), scratch, dtype, vocab, tokens_per_file)
     return read_dataset(manifest, load)
