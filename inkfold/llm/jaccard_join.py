@@ -63,7 +63,7 @@ class Bands:
 class Frequent:
     """A bit table of frequent shingles; some others pass as well, the same for every set, which loses nothing."""
 
-    def __init__(self, hashes: np.ndarray, bits: int = 22):
+    def __init__(self, hashes: np.ndarray, bits: int = 23):
         self.table, self.mask = np.zeros(1 << bits, bool), U64((1 << bits) - 1)
         self.table[hashes & self.mask] = True
 
@@ -117,26 +117,28 @@ def meeting_keys(sets: list[np.ndarray], nodes: np.ndarray, bands: Bands, freque
     return np.concatenate(out_keys), np.concatenate(out_nodes)
 
 
-def frequent_shingles(docs: DataFrame, sized: DataFrame, k: int, sample_rows: int, sample_bytes: int = 48 << 20, longest: int = 20_000) -> bytes:
-    """Hashes of the shingles that two sets of a sample hold: ``sample_rows`` distinct sets and ``sample_bytes`` at most, the first by a hash.
+def frequent_shingles(docs: DataFrame, sized: DataFrame, k: int, share: int, least_rows: int, most_rows: int, most: int = 1 << 20, longest: int = 20_000) -> bytes:
+    """Hashes of the shingles that two sets of a sample hold: one distinct set of ``share``, in these bounds, the first by a hash.
 
-    They only steer which segments are weak; whatever they are, no link is lost.
+    They only steer which segments are weak; whatever they are, no link is lost. At most ``most`` hashes come back, the most frequent.
     """
-    chosen = sized.where(f"node is not null and n_shingles <= {longest}").groupBy("node").agg(F.min("row").alias("of")).orderBy(F.xxhash64("node")).limit(sample_rows).select("of")
+    nodes = sized.where(f"node is not null and n_shingles <= {longest}").groupBy("node").agg(F.min("row").alias("of"))
+    rows = min(max(least_rows, nodes.count() // share), most_rows)
+    chosen = nodes.orderBy(F.xxhash64("node")).limit(rows).select("of")  # 8 bytes a row, most_rows at most
 
     def shingled(batches):
         for batch in batches:
             for a, b in text_slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in shingle_sets(batch.column("text")[a:b].to_pylist(), k)], pa.binary())], ["hashes"])
+                sets = shingle_sets(batch.column("text")[a:b].to_pylist(), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["hash"])
+
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], ["hashes"])
 
-    found = docs.join(F.broadcast(chosen), F.col("row") == F.col("of"), "left_semi").select("text").mapInArrow(shingled, "hashes binary")  # sample_rows hashes at most
-    held, size = [], 0
-    for r in found.distinct().limit(sample_rows).toLocalIterator():
-        held.append(np.frombuffer(r.hashes, U64))
-        if (size := size + len(r.hashes)) > sample_bytes:
-            break
-    hashes, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, int))
-    return hashes[n > 1].tobytes()
+    found = docs.join(F.broadcast(chosen), F.col("row") == F.col("of"), "left_semi").dropDuplicates(["row"]).select("text").mapInArrow(shingled, "hash long")
+    often = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "hash").limit(most).select("hash")
+    return b"".join(bytes(r.hashes) for r in often.mapInArrow(packed, "hashes binary").toLocalIterator())
 
 
 def star_edges(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -353,7 +355,7 @@ def large_links(large: DataFrame, scratch: Scratch, percent: int, chunk_bytes: i
     return seen.where("pivot is not null and pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(met)
 
 
-def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_rows: int, sample_rows: int = 4_000) -> DataFrame:
+def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_rows: int, sample: tuple[int, int, int] = (12, 4_000, 64_000)) -> DataFrame:
     """``doc_id, row, n_shingles, class`` for every row of docs: ``row`` is a hash of id and text, ``class`` null for texts without words."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -370,7 +372,7 @@ def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_r
 
     d = scratch.save(docs.mapInArrow(sizes, "doc_id long, row long, n_shingles long, node long"), "sizes")
     bands = Bands(percent, int(d.agg(F.max("n_shingles")).first()[0] or 1))
-    blocks = components(block_edges(docs, k, bands, frequent_shingles(docs, d, k, sample_rows)), scratch, "blocks")  # node, component
+    blocks = components(block_edges(docs, k, bands, frequent_shingles(docs, d, k, *sample)), scratch, "blocks")  # node, component
     shown = d.where("node is not null").groupBy("node").agg(F.min("row").alias("shown"), F.first("n_shingles").alias("n"))
     members = blocks.join(shown, "node").select("node", F.col("component").alias("block"), "shown", "n")
     weight = members.groupBy("block").agg(F.sum(F.col("n") * 8).alias("bytes"))
