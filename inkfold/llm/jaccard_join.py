@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, parallelism, rows_out, text_slices
+from .common import Scratch, flat, give_back, parallelism, rows_out, text_slices
 from .graph import Forest, components
 from .shingles import MULTIPLIERS, U64, fingerprint, mix, shingle_sets
 
@@ -175,6 +175,7 @@ def block_edges(docs: DataFrame, k: int, bands: Bands, frequent: bytes) -> DataF
                         found["nodes"].append(nodes[start:end].tobytes())
                     start = end
                 yield rows_out(schema, found)
+        give_back()
 
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -369,6 +370,7 @@ def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_r
                 marks = fingerprint(sets)
                 own = [batch.column(c)[a:b] for c in ("doc_id", "row")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array([int(m) if len(s) else None for m, s in zip(marks, sets, strict=True)], pa.int64())], schema=schema)
+        give_back()
 
     d = scratch.save(docs.mapInArrow(sizes, "doc_id long, row long, n_shingles long, node long"), "sizes")
     bands = Bands(percent, int(d.agg(F.max("n_shingles")).first()[0] or 1))

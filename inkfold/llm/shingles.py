@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """xxHash64 of words, remembered; beyond ``most`` words, those that the present texts lack are forgotten."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.known = most, {}
 
     def of(self, texts: list[list[bytes]]) -> np.ndarray:
