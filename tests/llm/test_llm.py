@@ -201,6 +201,17 @@ def test_toxicity_held_out(spark):
     held = [r for r in got if r.held_out and r.doc_id < 700]
     assert sum(r.predicted == (r.doc_id % 5 == 0) for r in held) / len(held) > 0.95
     assert toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == len(rows)
+    assert toxicity.toxicity(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
+def test_toxicity_of_awkward_texts():
+    rng = random.Random(6)
+    model = toxicity.fit([(prose(40, rng) + (" plokkig vrabbix" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(300)])
+    scorer = toxicity.Scorer(model)
+    long = " ".join(prose(50, rng) for _ in range(2000))
+    found = scorer([None, "", "!?", "x" * 100_000, long, long])
+    assert all(0 <= x <= 1 for x in found) and found[0] == found[1] == found[2] and found[4] == found[5]
+    assert scorer([]) == [] and toxicity.windows("x" * 100) == toxicity.windows(" ".join(["x" * 48] * 2 + ["x" * 4]))
 
 
 # --- 5 --------------------------------------------------------------------------------------------------------------
