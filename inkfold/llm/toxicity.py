@@ -208,6 +208,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
-    """Per row of docs: ``doc_id, held_out, score, predicted`` (1 where score >= cut). Repeated rows stay; a null doc_id is not held out."""
+    """Per row of docs: ``doc_id, held_out, score, predicted`` (1 where score >= cut). Repeated rows stay; a null doc_id is not held out.
+
+    An empty table gives no rows; columns of other names are ignored. A very long text is scored whole; its windows bound the memory of a task from below.
+    """
     scored = score(flat(docs, "doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
