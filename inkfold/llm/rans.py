@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,88 +201,100 @@ def read_file(path: str, table: Table) -> Iterator[tuple[int | None, np.ndarray]
             pieces, held = [ids[need:]], held - need
 
 
-class WordCache:
+# White space that texts may hold other than single spaces and line feeds between words.
+ODD = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def runs(text: str, most: int):
+    """A regular text in runs of about ``most`` characters, cut at single spaces (which are left out)."""
+    start = 0
+    while len(text) - start > most:
+        end = text.rfind(" ", start, start + most)
+        end = end if end > start else text.find(" ", start + most)
+        if end < 0:
+            break
+        yield text[start:end]
+        start = end + 1
+    yield text[start:]
+
+
+class Words:
     """Byte-level BPE through the tokenizers library, text cut where its pattern always cuts.
 
     Around a single line feed, and before a single space, between characters that are not white space a new piece always
-    starts, so the words of regular lines can be encoded apart and remembered. Texts with other white space, or with the
-    text of an added token, go to the library whole. Beyond ``most`` words, those that are not in the present texts are forgotten.
+    starts, so the words of regular texts can be encoded apart: Arrow finds the distinct words of a slice, the library encodes each of
+    them once, and Arrow puts the ids in their places. Texts with other white space, or with the text of an added token, go to the
+    library whole. Nothing is kept between slices.
     """
 
-    def __init__(self, tokenizer_file: str, dtype: str, most: int = 250_000):
+    def __init__(self, tokenizer_file: str, dtype: str, most: int = 16 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.code, self.most = Tokenizer.from_file(tokenizer_file), {"<u2": "H", "<u4": "I"}[dtype], most
+        self.tokenizer, self.dtype, self.most = Tokenizer.from_file(tokenizer_file), np.dtype(dtype), most
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}  # words after a space; with a line feed before them, those at the start of a line
-        self.feed = self._ids(["\n"])[0]
-        self.feed_id = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?")), strict=True))
+        self.together = 1 if any(a.split() != [a] for a in self.added) else 1000  # no added token may arise between two words
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # how byte-level BPE writes a space
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word_ids(self, words: list[str], before: str) -> list[bytes]:
-        """Ids of words, a thousand to a string: a piece that starts with the space (or a line feed of its own) starts the next word."""
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _word_ids(self, words: pa.Array, before: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of words, many to a string, and how many each has; ``before`` is a space, or empty where words start with a line feed."""
+        ids, sizes = [], []
+        for start in range(0, len(words), self.together):
+            some = words.slice(start, self.together).to_pylist()
+            found = self._ids(before + before.join(some))
+            at = np.flatnonzero(self.spaced[found] if before else found == self.feed)
+            if len(at) == len(some):
+                sizes.append(np.diff(at, append=len(found)))
+            else:
+                each = [self._ids(before + w) for w in some]
+                found = np.concatenate(each)
+                sizes.append(np.array([len(x) for x in each]))
+            ids.append(found)
+        return ids, sizes
+
+    def _regular(self, texts: pa.Array, head: bool) -> list[bytes]:
+        """Ids of texts without odd white space: whole ones (``head``), or runs that follow a space."""
+        texts = pc.replace_substring(texts, "\n", " \n")
+        lists = pc.split_pattern(pc.binary_join_element_wise("\n", texts, "") if head else texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        starts = pc.starts_with(coded.dictionary, "\n").to_numpy(zero_copy_only=False)
+        order = np.argsort(starts, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        n = len(order) - int(starts.sum())
+        words = coded.dictionary.take(pa.array(order))
+        plain, first = self._word_ids(words.slice(0, n), " "), self._word_ids(words.slice(n), "")
+        width = self.dtype.itemsize
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(plain[1] + first[1]))]) * width
+        binary = pa.Array.from_buffers(pa.large_binary(), len(order), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(np.concatenate(plain[0] + first[0]))])
+        taken = binary.take(pa.array(place[coded.indices.to_numpy()]))
+        ends = np.frombuffer(taken.buffers()[1], "<i8", len(taken) + 1, 8 * taken.offset)
+        bounds, data = ends[lists.offsets.to_numpy()].tolist(), memoryview(taken.buffers()[2])
+        skip = width if head else 0  # the line feed put before a text
+        return [bytes(data[i + skip : j]) for i, j in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; no nulls."""
+        sizes = pc.binary_length(texts)
+        odd = pc.or_(pc.equal(sizes, 0), pc.match_substring_regex(texts, ODD))
+        for a in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, a))
+        whole = pc.invert(pc.or_(odd, pc.greater(sizes, self.most)))
+        found = iter(self._regular(texts.filter(whole), True) if pc.any(whole).as_py() else [])
         out = []
-        for start in range(0, len(words), 1000):
-            some = words[start : start + 1000]
-            text = "".join([before + w for w in some]) if before else "\n" + "\n".join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-            at = np.flatnonzero(self.spaced[ids] if before else ids == self.feed_id)
-            if len(at) != len(some):
-                out += self._ids([before + w for w in some])
-                continue
-            coded, width = ids.astype(self.code).tobytes(), array(self.code).itemsize
-            ends = [*(at[1:] * width).tolist(), len(coded)]
-            starts = ((at + (not before)) * width).tolist()
-            out += [coded[i:j] for i, j in zip(starts, ends, strict=True)]
+        for i, (strange, short) in enumerate(zip(odd.to_pylist(), whole.to_pylist(), strict=True)):
+            if short:
+                out.append(next(found))
+            elif strange:
+                out.append(self._ids(texts[i].as_py()).tobytes())
+            else:
+                out.append(b"".join(self._regular(pa.array([run], texts.type), not k)[0] for k, run in enumerate(runs(texts[i].as_py(), self.most))))
         return out
 
-    def _learn(self, words: set[str], before: str) -> dict[str, bytes]:
-        """Ids of words after a space (``before``), or at the start of a line."""
-        ended = [w for w in words if w[-1] in self.marks and w[-2:-1].isalnum()]  # a mark after a letter or digit is a piece of its own
-        plain = list(words.difference(ended) | {w[:-1] for w in ended})
-        found = dict(zip(plain, self._word_ids(plain, before), strict=True))
-        found.update((w, found[w[:-1]] + self.marks[w[-1]]) for w in ended)
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """One look-up a word: what is not known is noted, learned for all texts at once and filled in."""
-        todo, new, get = [], set(), self.known.get
-        for text in texts:
-            if len(text.split()) != text.count(" ") + text.count("\n") + 1 or not text or any(a in text for a in self.added):
-                todo.append(None)
-                continue
-            words = f"\n{text}".replace("\n", " \n")[1:].split(" ")
-            ids = list(map(get, words))
-            gaps = [i for i, x in enumerate(ids) if x is None]
-            new.update([words[i] for i in gaps])
-            todo.append((ids, gaps, words))
-        if len(self.known) + len(new) > self.most:
-            here = {w for x in todo if x for w in x[2]}
-            self.known = {w: v for w, v in self.known.items() if w in here}
-        known, starts = self.known, {w for w in new if w[0] == "\n"}
-        known.update(self._learn(new - starts, " "))
-        known.update(("\n" + w, self.feed + v) for w, v in self._learn({w[1:] for w in starts}, "").items())
-        out, skip = [], len(self.feed)
-        for text, x in zip(texts, todo, strict=True):
-            if x is None:
-                out.append(self._ids([text])[0])
-                continue
-            ids, gaps, words = x
-            for i in gaps:
-                ids[i] = known[words[i]]
-            out.append(b"".join(ids)[skip:])
-        return out
-
-
-def word_cache(tokenizer_file: str, dtype: str) -> WordCache:
-    """One for all tasks of a Python worker."""
-    return remembered(("tokens", tokenizer_file, dtype), lambda: WordCache(tokenizer_file, dtype))
-
 
 def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str, vocab: int) -> DataFrame:
     """``doc_id, ids, counts``: ids (binary, of little-endian ``dtype``) with the end id; a null text counts as empty.
@@ -292,11 +304,11 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str, voca
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        words, end, seen = word_cache(tokenizer_file, dtype), np.array([end_id], dtype).tobytes(), np.zeros(vocab, np.int64)
+        words, end, seen = remembered(("tokens", tokenizer_file, dtype), lambda: Words(tokenizer_file, dtype)), np.array([end_id], dtype).tobytes(), np.zeros(vocab, np.int64)
         for batch in batches:
-            for a, b in text_slices(batch, "text", 1 << 20):
+            for a, b in text_slices(batch, "text", words.most):
                 part = batch.slice(a, b - a)
-                found = [x + end for x in words.encode([t or "" for t in part.column("text").to_pylist()])]
+                found = [x + end for x in words.encode(part.column("text").fill_null(""))]
                 seen += np.bincount(np.frombuffer(b"".join(found), dtype), minlength=vocab)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary()), pa.nulls(b - a, pa.binary())], schema=schema)
         some = np.flatnonzero(seen)
