@@ -227,7 +227,7 @@ class Words:
     library whole. Nothing is kept between slices.
     """
 
-    def __init__(self, tokenizer_file: str, dtype: str, most: int = 16 << 20):
+    def __init__(self, tokenizer_file: str, dtype: str, most: int = 4 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.most = Tokenizer.from_file(tokenizer_file), np.dtype(dtype), most
