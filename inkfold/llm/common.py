@@ -84,12 +84,18 @@ _HELD: dict = {}
 def remembered(kind, make):
     """What all tasks of a Python worker share. Asking for another kind frees it, so that the memories of stages never add up."""
     if kind not in _HELD:
-        _HELD.clear()
-        give_back()
+        forget()
         _HELD[kind] = make()
     return _HELD[kind]
 
 
+def forget() -> None:
+    """Free what another stage of this Python worker remembers."""
+    if _HELD:
+        _HELD.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python's garbage, Arrow's pool and, where the C library can, its heap."""
     gc.collect()

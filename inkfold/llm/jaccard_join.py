@@ -129,7 +129,7 @@ def frequent_shingles(docs: DataFrame, sized: DataFrame, k: int, share: int, lea
     def shingled(batches):
         for batch in batches:
             for a, b in text_slices(batch, "text"):
-                sets = shingle_sets(batch.column("text")[a:b].to_pylist(), k)
+                sets = shingle_sets(batch.column("text")[a:b], k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["hash"])
 
     def packed(batches):
@@ -161,7 +161,7 @@ def block_edges(docs: DataFrame, k: int, bands: Bands, frequent: bytes) -> DataF
         common = Frequent(np.frombuffer(frequent, U64))
         for batch in batches:
             for a, b in text_slices(batch, "text"):
-                sets = shingle_sets(batch.column("text")[a:b].to_pylist(), k)
+                sets = shingle_sets(batch.column("text")[a:b], k)
                 keys, nodes = meeting_keys(sets, fingerprint(sets), bands, common)
                 bins = (keys % U64(parts)).astype(np.uint16)
                 order = np.argsort(bins, kind="stable")
@@ -366,7 +366,7 @@ def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_r
     def sizes(batches):
         for batch in batches:
             for a, b in text_slices(batch, "text"):
-                sets = shingle_sets(batch.column("text")[a:b].to_pylist(), k)
+                sets = shingle_sets(batch.column("text")[a:b], k)
                 marks = fingerprint(sets)
                 own = [batch.column(c)[a:b] for c in ("doc_id", "row")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array([int(m) if len(s) else None for m, s in zip(marks, sets, strict=True)], pa.int64())], schema=schema)
@@ -387,7 +387,7 @@ def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_r
         for batch in batches:
             for a, b in text_slices(batch, "text"):
                 part = batch.slice(a, b - a)
-                sets = shingle_sets(part.column("text").to_pylist(), k)
+                sets = shingle_sets(part.column("text"), k)
                 found = {name: [] for name in out.names}
                 for s, own, node, block in zip(sets, fingerprint(sets).tolist(), part.column("node").to_pylist(), part.column("block").to_pylist(), strict=True):
                     if own == node:  # else another text of the same hash

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from .common import remembered
+from .common import forget
 
 U64 = np.uint64
 MULTIPLIERS = [U64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -21,33 +22,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes:
-    """xxHash64 of words, remembered; beyond ``most`` words, those that the present texts lack are forgotten."""
-
-    def __init__(self, most: int = 200_000):
-        self.most, self.known = most, {}
-
-    def of(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Hashes of the words of all texts, one after the other."""
-        here: set[bytes] = set()
-        here.update(*texts)
-        if len(self.known) + len(here) > self.most:
-            self.known = {w: self.known[w] for w in here if w in self.known}
-        digest = xxhash.xxh64_intdigest
-        for w in here.difference(self.known):  # a dict's keys() would be walked whole
-            self.known[w] = digest(w)
-        at = self.known.__getitem__
-        return np.fromiter((h for ws in texts for h in map(at, ws)), U64, sum(map(len, texts)))
-
-
-def word_hashes() -> WordHashes:
-    """One for all tasks of a Python worker."""
-    return remembered("words", WordHashes)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """ASCII letters lower-cased, split at ASCII white space."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+INSIDE = np.ones(256, bool)
+INSIDE[[9, 10, 11, 12, 13, 32]] = False
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+LONGEST = 512  # bytes of words that are hashed eight at a time; longer ones are hashed alone
+
+
+def word_hashes(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and how many words each text has.
+
+    Words are runs without ASCII white space, ASCII letters lower-cased. They are hashed where they lie in the texts' buffer:
+    the length first, then eight bytes of every word in a step.
+    """
+    forget()
+    texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()).fill_null("")
+    edges = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, "<i8")
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[edges[0] : edges[-1]] if edges[-1] > edges[0] else np.zeros(0, np.uint8)
+    edges = edges - edges[0]
+    if not len(raw):
+        return np.zeros(0, U64), np.zeros(len(texts), np.int64)
+    inside = INSIDE[raw]
+    start, end, cuts = inside.copy(), inside.copy(), edges[(edges > 0) & (edges < len(raw))]
+    start[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    start[cuts], end[cuts - 1] = inside[cuts], inside[cuts - 1]
+    at, sizes = np.flatnonzero(start), np.flatnonzero(end) + 1
+    counts = np.diff(np.searchsorted(at, edges))
+    sizes -= at
+    low = np.zeros(len(raw) + 8, np.uint8)
+    np.take(LOWER, raw, out=low[: len(raw)])
+    eights = np.ndarray(len(raw) + 1, "<u8", low, strides=(1,))
+    h = mix(sizes.astype(U64) * MULTIPLIERS[2])
+    h = mix(h ^ (eights[at] & MASKS[np.minimum(sizes, 8)]))
+    rest = np.flatnonzero((sizes > 8) & (sizes <= LONGEST))
+    done = 8
+    while len(rest):
+        h[rest] = mix(h[rest] ^ (eights[at[rest] + done] & MASKS[np.minimum(sizes[rest] - done, 8)]))
+        done += 8
+        rest = rest[sizes[rest] > done]
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        h[i] = xxhash.xxh64_intdigest(low[at[i] : at[i] + sizes[i]].tobytes())
+    return h, counts
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -61,17 +78,24 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array | list[str | None], k: int) -> list[np.ndarray]:
     """Sorted distinct k-word shingle hashes of each text; with fewer words, one for the whole sequence; without words, none."""
-    split = [words_of(t) for t in texts]
-    h, out, at = word_hashes().of(split), [], 0
-    for ws in split:
-        n = len(ws)
-        own, at = h[at : at + n], at + n
-        out.append(np.unique(window_hashes(own, min(k, n)) + U64(0 if n >= k else n)) if n else np.zeros(0, U64))
+    h, counts = word_hashes(texts)
+    windows, out, at = window_hashes(h, k), [], 0
+    for n in counts.tolist():
+        if n >= k:
+            out.append(np.unique(windows[at : at + n - k + 1]))
+        else:
+            out.append(window_hashes(h[at : at + n], n) + U64(n) if n else np.zeros(0, U64))
+        at += n
     return out
 
 
 def fingerprint(sets: list[np.ndarray]) -> np.ndarray:
     """A 64-bit fingerprint of each set (int64)."""
-    return np.array([int(mix(np.array([mix(s * MULTIPLIERS[4]).sum(dtype=U64) + U64(len(s))], U64))[0]) for s in sets], U64).view(np.int64)
+    if not sets:
+        return np.zeros(0, np.int64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(np.concatenate(sets) * MULTIPLIERS[4]), dtype=U64)])  # sums wrap around, and so do their differences
+    ends = np.cumsum(sizes)
+    return mix(sums[ends] - sums[ends - sizes] + sizes.astype(U64)).view(np.int64)
