@@ -39,7 +39,7 @@ def op8_jaccard_join(spark, sf_dir):
 def op9_rans(spark, sf_dir):
     from .rans import token_output
 
-    return token_output(table(spark, sf_dir, "documents"), TOKENIZER_FILE)
+    return token_output(table(spark, sf_dir, "documents"), TOKENIZER_FILE, slice_bytes=16 << 20)
 
 
 #: Target shares of tokens by quality.

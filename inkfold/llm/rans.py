@@ -296,7 +296,7 @@ class Words:
         return out
 
 
-def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str, vocab: int) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str, vocab: int, slice_bytes: int) -> DataFrame:
     """``doc_id, ids, counts``: ids (binary, of little-endian ``dtype``) with the end id; a null text counts as empty.
 
     Each task ends with a row without ids: how often it wrote each id, packed as pairs of integers.
@@ -304,7 +304,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str, voca
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        words, end, seen = remembered(("tokens", tokenizer_file, dtype), lambda: Words(tokenizer_file, dtype)), np.array([end_id], dtype).tobytes(), np.zeros(vocab, np.int64)
+        words, end, seen = remembered(("tokens", tokenizer_file, dtype, slice_bytes), lambda: Words(tokenizer_file, dtype, slice_bytes)), np.array([end_id], dtype).tobytes(), np.zeros(vocab, np.int64)
         for batch in batches:
             for a, b in text_slices(batch, "text", words.most):
                 part = batch.slice(a, b - a)
@@ -385,16 +385,18 @@ def read_dataset(manifest: DataFrame, load: Callable[[], Table]) -> DataFrame:
     return tasks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, tokenizer_file: str, end_id: int = 2, tokens_per_file: int = 8_000_000) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_file: str, end_id: int = 2, tokens_per_file: int = 8_000_000, slice_bytes: int = 4 << 20) -> DataFrame:
     """Encode documents to token ids, write rANS files, read them back.
 
     Null texts count as empty; null doc_ids come first; repeated rows stay, in the order of their ids; an empty
-    table gives one empty file and no rows. Other columns are ignored.
+    table gives one empty file and no rows. Other columns are ignored. ``slice_bytes`` of text are encoded at a time: more repeats of a
+    word are met in larger slices, smaller ones take less memory; a longer text is cut at spaces into runs of that size, unless it holds
+    odd white space, then the library gets it whole.
     """
     from tokenizers import Tokenizer
 
     scratch = Scratch(docs.sparkSession, "rans")
     vocab = max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1)
     dtype = "<u2" if vocab <= 1 << 16 else "<u4"
-    manifest, load = write_dataset(tokenize(docs, tokenizer_file, end_id, dtype, vocab), scratch.sub("files"), scratch, dtype, vocab, tokens_per_file)
+    manifest, load = write_dataset(tokenize(docs, tokenizer_file, end_id, dtype, vocab, slice_bytes), scratch.sub("files"), scratch, dtype, vocab, tokens_per_file)
     return read_dataset(manifest, load)

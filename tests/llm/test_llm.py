@@ -434,3 +434,34 @@ def test_mixture(spark):
     counts = more.groupBy("doc_id").agg(F.count("*").alias("n")).toPandas().set_index("doc_id").n
     assert more.columns == docs.columns and len(counts) == 403 and counts.min() == 1 and counts.loc[[i for i in range(0, 400, 4)]].mean() > 2
     assert mixture.mixture(docs.limit(0), labels, {"prose": 1.0}).count() == 0
+
+
+def test_words_encoded_apart():
+    """Texts of all kinds of white space, words cut at runs of a few characters: the ids of the library."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, words, draw = Tokenizer.from_file(TOKENIZER_FILE), rans.Words(TOKENIZER_FILE, "<u2"), random.Random(1)
+    bits = ["a", "b.", "don't", "'s", "x'll", "123", "\u00e9", "\u65e5\u672c", "\u0120", "|", "...", " ", " ", "\n", "  ", "\t", "\x1c", "\x85", "\u200b", "<|endoftext|>"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(0, 12))) for _ in range(3000)] + ["a b\nc " * 50 + "d"]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert words.encode(pa.array(texts)) == want
+    words.most = 7
+    assert words.encode(pa.array(texts)) == want
+
+
+def test_word_hashes():
+    """Equal words and only they have equal hashes: words of one byte to many hundred, nulls, empty texts, slices."""
+    import pyarrow as pa
+    from inkfold.llm import shingles
+
+    texts = ["ignored", None, "", " \t", "A b a", "\u00c9 \u00e9 x\u00a0y", "w" * 8 + " " + "w" * 9, "y" * 600 + "\n" + "y" * 601 + " Y" + "y" * 599]
+    h, counts = shingles.word_hashes(pa.array(texts).slice(1))
+    split = [(t or "").encode().lower().split() for t in texts[1:]]
+    assert counts.tolist() == [len(x) for x in split]
+    flat = [w for x in split for w in x]
+    assert len(set(zip(flat, h.tolist(), strict=True))) == len(set(flat)) == len(set(h.tolist()))
+    assert [len(s) for s in shingles.shingle_sets(["a b", "b a", "a a a a a a", None], 4)] == [1, 1, 1, 0]
+    assert shingles.fingerprint([]).tolist() == []
