@@ -84,11 +84,17 @@ def op10_mixture(spark, sf_dir):
     return mixture(table(spark, sf_dir, "documents"), quality_domains(spark, sf_dir), TARGETS)
 
 
+def op11_release(spark, sf_dir):
+    from .release import replay
+
+    return replay(table(spark, sf_dir, "conversations"))
+
+
 def queries():
-    return {"op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_decontaminate": op6_decontaminate, "op7_substring_dedup": op7_substring_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans, "op10_mixture": op10_mixture}
+    return {"op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_decontaminate": op6_decontaminate, "op7_substring_dedup": op7_substring_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans, "op10_mixture": op10_mixture, "op11_release": op11_release}
 
 
 def oracle_sql():
-    from . import jaccard_join, suffix_dedup, warc
+    from . import jaccard_join, release, suffix_dedup, warc
 
-    return {"op1_warc": warc.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op8_jaccard_join": jaccard_join.SQL}
+    return {"op1_warc": warc.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op8_jaccard_join": jaccard_join.SQL, "op11_release": release.SQL}
