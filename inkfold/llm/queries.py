@@ -90,11 +90,17 @@ def op11_release(spark, sf_dir):
     return replay(table(spark, sf_dir, "conversations"))
 
 
+def op12_manifest(spark, sf_dir):
+    from .manifest import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_decontaminate": op6_decontaminate, "op7_substring_dedup": op7_substring_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans, "op10_mixture": op10_mixture, "op11_release": op11_release}
+    return {"op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_decontaminate": op6_decontaminate, "op7_substring_dedup": op7_substring_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans, "op10_mixture": op10_mixture, "op11_release": op11_release, "op12_manifest": op12_manifest}
 
 
 def oracle_sql():
-    from . import jaccard_join, release, suffix_dedup, warc
+    from . import jaccard_join, manifest, release, suffix_dedup, warc
 
-    return {"op1_warc": warc.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op8_jaccard_join": jaccard_join.SQL, "op11_release": release.SQL}
+    return {"op1_warc": warc.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op8_jaccard_join": jaccard_join.SQL, "op11_release": release.SQL, "op12_manifest": manifest.SQL}
