@@ -96,8 +96,14 @@ def op12_manifest(spark, sf_dir):
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark, sf_dir):
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {"op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_decontaminate": op6_decontaminate, "op7_substring_dedup": op7_substring_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans, "op10_mixture": op10_mixture, "op11_release": op11_release, "op12_manifest": op12_manifest}
+    return {"op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_ann": op5_ann, "op6_decontaminate": op6_decontaminate, "op7_substring_dedup": op7_substring_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_rans": op9_rans, "op10_mixture": op10_mixture, "op11_release": op11_release, "op12_manifest": op12_manifest, "op13_quality": op13_quality}
 
 
 def oracle_sql():
