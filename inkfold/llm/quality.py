@@ -147,13 +147,13 @@ def fit(p: np.ndarray, u: np.ndarray) -> dict:
 
 
 def scores(model: dict, x: np.ndarray) -> np.ndarray:
+    """Row by row, so that a score does not depend on what shares its batch."""
     if "nets" not in model:
         return np.full(len(x), model["base"])
     x = np.clip((x - np.array(model["centre"])) / np.array(model["spread"]), -8, 8)
-    total = np.zeros(len(x))
-    for a, b, c, d in model["nets"]:
-        total += np.maximum(x @ np.array(a) + np.array(b), 0) @ np.array(c) + d[0]
-    return sigmoid(total / len(model["nets"]))
+    nets = [tuple(map(np.array, net)) for net in model["nets"]]
+    total = np.array([sum(float(np.maximum(row @ a + b, 0) @ c + d[0]) for a, b, c, d in nets) for row in x])
+    return np.round(sigmoid(total / len(nets)), 9)
 
 
 def free_name(taken: list[str], name: str) -> str:
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     packed = json.dumps(model)
 
     def run(batches):
-        own = json.loads(packed)
+        own = {k: np.array(v) if k != "nets" else [tuple(map(np.array, net)) for net in v] for k, v in json.loads(packed).items()}
         for batch in batches:
             for a, b in text_slices(batch, "text"):
                 part = batch.slice(a, b - a)
