@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import accumulated, numbered
+
 
 def sanitised(name: str) -> Column:
     """The base name with other characters than letters, digits, dot, underscore and dash as ``_``, trimmed of dots and underscores; null if nothing is left."""
@@ -13,10 +15,20 @@ def sanitised(name: str) -> Column:
 
 
 def deduplicated(files: DataFrame, name: str, *order) -> DataFrame:
-    """A repeated name gets ``_1``, ``_2`` ... before its suffix, in the order of arrival."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
+    """``unique_name``: a repeated name gets ``_1``, ``_2`` ... before its suffix, in the order of arrival; numbers that other files' real names hold are passed over.
+
+    Names are numbered over many tasks, however often one occurs. With ``t`` the i-th number taken, the n-th free one is n plus how many ``t - i + 1`` are
+    at most n; both kinds of rows are counted in one order.
+    """
+    base = numbered(files, list(order), [name], "\x01n").withColumn("\x01n", F.col("\x01n") - 1)
+    taken = F.regexp_extract(name, r"^(.*)_([1-9]\d{0,8})((?:\.[^.]*)?)$", 2)
+    real = files.select(name).distinct().where(taken != "").select(F.regexp_replace(name, r"^(.*)_([1-9]\d{0,8})((?:\.[^.]*)?)$", "$1$3").alias(name), taken.cast("long").alias("\x01t"))
+    held = numbered(real, ["\x01t"], [name], "\x01i").select(F.col(name), (F.col("\x01t") - F.col("\x01i") + 1).alias("\x01n"), F.lit(0).alias("\x01k"))
+    rows = base.withColumn("\x01k", F.lit(1)).unionByName(held, allowMissingColumns=True)
+    counted = accumulated(rows, ["\x01n", "\x01k"], [name], sums={"\x01c": 1 - F.col("\x01k").cast("long")}).where("`\x01k` = 1")
     stem, suffix = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    return files.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), suffix)))
+    free = (F.col("\x01n") + F.col("\x01c")).cast("string")
+    return counted.withColumn("unique_name", F.when(F.col("\x01n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), free, suffix))).drop("\x01n", "\x01k", "\x01c")
 
 
 def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
@@ -36,6 +48,11 @@ def listed(files: DataFrame, suffixes: list[str]) -> DataFrame:
     return files.where(F.lower(F.substring_index("path", ".", -1)).isin([x.lower().lstrip(".") for x in suffixes])).orderBy("path")
 
 
+def without(files: DataFrame, path: str, excluded: DataFrame) -> DataFrame:
+    """The files whose path is not among those of ``excluded``."""
+    return files.join(excluded.select(path), path, "left_anti")
+
+
 def natural_key(label: str) -> list[Column]:
     """Sort by prefix, then number, then the label itself (ties have no order of their own)."""
     return [F.regexp_extract(label, r"^([^0-9]*)", 1), F.expr(f"coalesce(try_cast(regexp_extract({label}, '([0-9]+)', 1) as bigint), 0)"), F.col(label)]

@@ -66,6 +66,14 @@ def sheet_scores(judged: DataFrame) -> DataFrame:
     return judged.groupBy("sheet").agg(F.expr(fold).alias("score"))
 
 
-def missing_questions(responses: DataFrame, key: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Questions of the key that a sheet has no response for."""
-    return sheets.select("sheet").distinct().join(F.broadcast(key.select("label"))).join(responses, ["sheet", "label"], "left_anti")
+def missing_questions(responses: DataFrame, asked: list[str], sheets: DataFrame) -> DataFrame:
+    """``sheet, label``: questions of a key (a specification's, hence few) that a sheet has no response for."""
+    found = responses.groupBy("sheet").agg(F.collect_set(F.when(F.col("label").isin(asked), F.col("label"))).alias("found"))
+    key = F.array(*[F.lit(q) for q in asked])
+    every = sheets.select("sheet").distinct().join(found, "sheet", "left")
+    return every.select("sheet", F.explode(F.array_except(key, F.coalesce("found", F.expr("cast(array() as array<string>)")))).alias("label"))
+
+
+def extra_questions(responses: DataFrame, asked: list[str]) -> DataFrame:
+    """``sheet, label``: answered labels that start with a small q and are not in the key; a warning, not an error."""
+    return responses.where(F.col("label").startswith("q") & ~F.col("label").isin(asked)).select("sheet", "label")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_JUMP, MIN_GAP, SURPLUS, WHITE, BLACK = 25, 30, 5, 200.0, 100.0
@@ -63,3 +63,41 @@ def sheet_average(strips: DataFrame) -> DataFrame:
 def marked(strips: DataFrame) -> DataFrame:
     """Bubbles darker than their strip's threshold: ``sheet, strip, opt, m, thr``."""
     return strips.select("sheet", "strip", "thr", F.expr("inline(filter(b, x -> thr > x.m))")).select("sheet", "strip", "opt", "m", "thr")
+
+
+def integral(pixels: DataFrame) -> DataFrame:
+    """``sheet, x, y, total`` of dense pages ``sheet, x, y, px``: the sum of all pixels up to x and y, by one pass along rows and one along columns.
+
+    Both passes share the exchange by sheet; a page bounds what a task sorts.
+    """
+    row = Window.partitionBy("sheet", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    column = Window.partitionBy("sheet", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    laid = pixels.repartition("sheet").select("sheet", "x", "y", F.sum(F.col("px").cast("long")).over(row).alias("along"))
+    return laid.select("sheet", "x", "y", F.sum("along").over(column).alias("total"))
+
+
+def rectangle_means(pixels: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """``sheet, id, m``: the mean of each rectangle ``sheet, id, x, y, w, h`` of dense pages, whatever its area, from four corners of the integral image.
+
+    Rectangles are cut at the page; those outside of it are left out.
+    """
+    page = pixels.groupBy("sheet").agg(F.max("x").alias("xm"), F.max("y").alias("ym"))
+    cut = rectangles.join(page, "sheet").select(
+        "sheet", "id", (F.greatest("x", F.lit(0)) - 1).alias("x0"), (F.greatest("y", F.lit(0)) - 1).alias("y0"), F.least(F.expr("x + w - 1"), "xm").alias("x1"), F.least(F.expr("y + h - 1"), "ym").alias("y1")
+    )
+    cut = cut.where("x1 > x0 and y1 > y0").withColumn("n", F.expr("(x1 - x0) * (y1 - y0)"))
+    corners = cut.select("sheet", "id", "n", F.expr("inline(array(struct(x1 as x, y1 as y, 1L as sign), struct(x0, y1, -1L), struct(x1, y0, -1L), struct(x0, y0, 1L)))")).where("x >= 0 and y >= 0")
+    found = corners.join(integral(pixels), ["sheet", "x", "y"])
+    return found.groupBy("sheet", "id", "n").agg(F.sum(F.col("sign") * F.col("total")).alias("s")).select("sheet", "id", (F.col("s") * F.lit(1.0) / F.col("n")).alias("m"))
+
+
+def sparse_rectangle_means(pixels: DataFrame, rectangles: DataFrame, tile: int = 16) -> DataFrame:
+    """``sheet, id, n, m`` of the pixels there are in each rectangle, for pages with gaps or several values at a place.
+
+    A range join by tiles: a rectangle goes to the tiles it touches, a pixel to its own, so they meet by equal keys. Rectangles without pixels are left out.
+    """
+    tiles = lambda a, n: F.explode(F.expr(f"sequence(cast(floor({a} / {tile}) as bigint), cast(floor(({a} + {n} - 1) / {tile}) as bigint))"))
+    spread = rectangles.where("w > 0 and h > 0").select("*", tiles("x", "w").alias("tx")).select("*", tiles("y", "h").alias("ty"))
+    placed = pixels.select("sheet", F.col("x").alias("px_x"), F.col("y").alias("px_y"), "px", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
+    inside = spread.join(placed, ["sheet", "tx", "ty"]).where("px_x >= x and px_x < x + w and px_y >= y and px_y < y + h")
+    return inside.groupBy("sheet", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("px").alias("s")).select("sheet", "id", "n", (F.col("s") * F.lit(1.0) / F.col("n")).alias("m"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HIGH_NR = 0.7
@@ -81,3 +81,70 @@ def erasure_risk(answers: DataFrame, fixed: bool = False) -> DataFrame:
 def first_n(rows: DataFrame, key: str, n: int, *order) -> DataFrame:
     """The first n rows of each key; every task keeps n of a key at most before the exchange."""
     return rows.withColumn("\x00r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(f"`\x00r` <= {n}").drop("\x00r")
+
+
+def merged(parts: list[DataFrame], *index) -> DataFrame:
+    """The rows of all workers with ``idx``, their place by ``index`` from 1: range partitioned, so no task sorts them all.
+
+    The columns are those of the first part that has rows; others' further columns go, missing ones are null.
+    """
+    from .order import numbered
+
+    header = next((p.columns for p in parts if not p.isEmpty()), parts[0].columns)
+    shaped = [p.select(*[F.col(f"`{c}`") if c in p.columns else F.lit(None).cast("string").alias(c) for c in header]) for p in parts]
+    every = shaped[0]
+    for p in shaped[1:]:
+        every = every.unionByName(p)
+    return numbered(every, list(index), name="idx")
+
+
+def oldest_first(files: DataFrame, *order) -> DataFrame:
+    """Files with ``place`` from 1, oldest first, without one task that sorts them all."""
+    from .order import numbered
+
+    return numbered(files, list(order))
+
+
+def run_stats(rows: DataFrame, ts: str, failed: Column) -> DataFrame:
+    """One row: sheets processed, failed, done, whole seconds from the first to the last, and sheets a minute."""
+    seconds = F.unix_timestamp(F.date_trunc("second", F.max(ts))) - F.unix_timestamp(F.date_trunc("second", F.min(ts)))
+    bad = F.coalesce(failed, F.lit(False)).cast("long")
+    a = rows.agg(F.count(F.lit(1)).alias("processed"), F.coalesce(F.sum(bad), F.lit(0)).alias("failed"), F.coalesce(F.sum(1 - bad), F.lit(0)).alias("done"), seconds.alias("elapsed"))
+    return a.withColumn("per_minute", F.round(F.col("processed") * 60.0 / F.greatest(F.lit(1), "elapsed"), 6))
+
+
+def batch_outcome(rows: DataFrame, batch: str, failed: Column) -> DataFrame:
+    """``outcome`` of each batch: failed if all its sheets are, done with errors if some are."""
+    bad = F.sum(F.coalesce(failed, F.lit(False)).cast("int"))
+    return rows.groupBy(batch).agg(F.when(bad == F.count(F.lit(1)), "failed").when(bad > 0, "done with errors").otherwise("done").alias("outcome"))
+
+
+def milestones(rows: DataFrame, batch: str, *order) -> DataFrame:
+    """The rows that complete another tenth of their batch, with ``percent`` (the highest reached); batches of any size are numbered over many tasks."""
+    from .order import numbered
+
+    sizes = rows.groupBy(F.col(batch).alias("\x00b")).agg(F.count(F.lit(1)).alias("\x00n"))
+    placed = numbered(rows, list(order), [batch], "\x00rn").join(sizes, F.col(batch).eqNullSafe(F.col("\x00b")))
+    step = F.expr("(10 * `\x00rn`) div `\x00n`")
+    return placed.withColumn("percent", step * 10).where(step > F.expr("(10 * (`\x00rn` - 1)) div `\x00n`")).drop("\x00rn", "\x00n", "\x00b")
+
+
+def latest_processed(rows: DataFrame, batch: str, index: str, *columns: str) -> DataFrame:
+    """Of each batch the largest index, and other columns of that row."""
+    return rows.groupBy(batch).agg(F.max(index).alias("latest_id"), *[F.max_by(c, index).alias(c) for c in columns])
+
+
+def preview(rows: DataFrame, *order, n: int = 100) -> DataFrame:
+    """The first rows: a report of at most n."""
+    return rows.orderBy(*order).limit(n)
+
+
+def name_search(files: DataFrame, name: str, text: str) -> DataFrame:
+    """Files whose name contains the text, in either case."""
+    return files.where(F.lower(name).contains(text.lower()))
+
+
+def newest_batches(rows: DataFrame, batch: str, ts: str, n: int = 50) -> DataFrame:
+    """The n newest batches with ``created`` and ``place``; every task keeps n at most."""
+    top = rows.groupBy(batch).agg(F.max(ts).alias("created")).orderBy(F.desc("created"), batch).limit(n)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created"), batch)))

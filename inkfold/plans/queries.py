@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import decode, files, grade, measure, report
+from ..operators import decode, files, geometry, grade, lifecycle, measure, report, specs
 from ..sources import roster
 from .adapters import SCHEMES, bubbles, judged, key, pixels, positions, responses, sheets, strips, table  # noqa: F401
 from .spec import FIELD_TYPES, Template
@@ -131,7 +131,7 @@ TEMPLATE = {
     "pageDimensions": [3000, 3000], "bubbleDimensions": [20, 20],
     "fieldBlocks": {
         "Roll": {"fieldType": "QTYPE_INT", "origin": [10, 10], "fieldLabels": ["roll1..3"], "labelsGap": 30, "bubblesGap": 30},
-        "Own": {"bubbleValues": list("7654321"), "direction": "horizontal", "emptyValue": "-", "origin": [500, 10], "fieldLabels": ["q1..17"], "labelsGap": 30, "bubblesGap": 30},
+        "Own": {"bubbleValues": list("7654321"), "direction": "horizontal", "emptyValue": "-", "origin": [500, 10], "fieldLabels": ["q1..57"], "labelsGap": 30, "bubblesGap": 30},
     },
 }
 
@@ -141,11 +141,11 @@ TEMPLATE = {
     + """ SELECT r.sheet, CASE WHEN r.pos <= 3 THEN 'roll' || r.pos ELSE 'q' || (r.pos - 3) END AS label,
 CASE WHEN r.pos <= 3 THEN coalesce(d.digits, '') WHEN r.response = 'NR' THEN '-' WHEN r.multi THEN 'MR(' || reverse(translate(substr(r.response, 4, length(r.response) - 4), 'ABCDEFG', '7654321')) || ')' ELSE translate(r.response, 'ABCDEFG', '7654321') END AS response,
 r.pos > 3 AND r.multi AS multi
-FROM r LEFT JOIN (SELECT sheet, strip, string_agg((opt - 1)::VARCHAR, '' ORDER BY opt) AS digits FROM mk GROUP BY ALL) d ON r.sheet = d.sheet AND r.strip = d.strip WHERE r.pos <= 20"""
+FROM r LEFT JOIN (SELECT sheet, strip, string_agg((opt - 1)::VARCHAR, '' ORDER BY opt) AS digits FROM mk GROUP BY ALL) d ON r.sheet = d.sheet AND r.strip = d.strip"""
 )
 def template_responses(spark, d):
     label = F.when(F.col("pos") <= 3, F.concat(F.lit("roll"), F.col("pos").cast("string"))).otherwise(F.concat(F.lit("q"), (F.col("pos") - 3).cast("string")))
-    s = strips(spark, d).join(positions(spark, d).where("pos <= 20").select("sheet", "strip", label.alias("own")), ["sheet", "strip"])
+    s = strips(spark, d).join(positions(spark, d).select("sheet", "strip", label.alias("own")), ["sheet", "strip"])
     s = s.select("sheet", F.col("own").alias("strip"), "thr", F.expr("transform(b, x -> struct(x.m as m, x.opt - 1 as opt))").alias("b"))
     return decode.template_responses(s, Template(TEMPLATE).value_table(spark))
 
@@ -161,17 +161,24 @@ def digit_concat(spark, d):
     return decode.concatenated(responses(spark, d).select("sheet", "label", "response"), custom)
 
 
-@query(RESP + " SELECT sheet, " + ", ".join(f"max(CASE WHEN pos = {i} THEN response END) AS q{i}" for i in range(1, 6)) + " FROM r WHERE pos <= 5 GROUP BY sheet")
+@query(RESP + " SELECT sheet, " + ", ".join(f"max(CASE WHEN pos = {i} THEN response END) AS q{i}" for i in range(1, 61)) + " FROM r GROUP BY sheet")
 def wide_responses(spark, d):
-    r = responses(spark, d).where("pos <= 5")
-    return decode.wide(r, [f"q{i}" for i in range(1, 6)])
+    return decode.wide(responses(spark, d), [f"q{i}" for i in range(1, 61)])
 
 
 # --- grading --------------------------------------------------------------------------------------------------------
-@query("SELECT c_custkey AS sheet, 'q' || i AS label FROM customer, range(1, 4) t(i) WHERE i > (SELECT count(DISTINCT l_orderkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey)")
+KEYED = [f"q{i}" for i in range(1, 13)]
+
+
+@query("SELECT c_custkey AS sheet, 'q' || i AS label FROM customer, range(1, 13) t(i) WHERE i > (SELECT count(DISTINCT l_orderkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey)")
 def missing_questions(spark, d):
-    k = spark.createDataFrame([("q1",), ("q2",), ("q3",)], "label string")
-    return grade.missing_questions(positions(spark, d).select("sheet", "label"), k, table(spark, d, "customer").withColumnRenamed("c_custkey", "sheet")).select("sheet", "label")
+    every = table(spark, d, "customer").select(F.col("c_custkey").alias("sheet"))
+    return grade.missing_questions(positions(spark, d).select("sheet", "label"), KEYED, every)
+
+
+@query(RESP + " SELECT sheet, label FROM r WHERE pos > 12")
+def extra_questions(spark, d):
+    return grade.extra_questions(positions(spark, d).select("sheet", "label"), KEYED)
 
 
 @query(RESP + " SELECT sheet, label, response, verdict FROM v")
@@ -241,16 +248,13 @@ def route_sheets(spark, d):
 
 @query("SELECT count(*) AS processed, sum((event_type = 'error')::INT)::BIGINT AS failed, sum((event_type <> 'error')::INT)::BIGINT AS done, CAST(date_diff('second', min(ts), max(ts)) AS BIGINT) AS elapsed, round(count(*) * 60.0 / greatest(1, date_diff('second', min(ts), max(ts))), 6) AS per_minute FROM events")
 def run_stats(spark, d):
-    e = table(spark, d, "events")
-    seconds = F.unix_timestamp(F.date_trunc("second", F.max("ts"))) - F.unix_timestamp(F.date_trunc("second", F.min("ts")))
-    a = e.agg(F.count(F.lit(1)).alias("processed"), F.sum((F.col("event_type") == "error").cast("long")).alias("failed"), F.sum((F.col("event_type") != "error").cast("long")).alias("done"), seconds.alias("elapsed"))
-    return a.withColumn("per_minute", F.round(F.col("processed") * 60.0 / F.greatest(F.lit(1), "elapsed"), 6))
+    return report.run_stats(table(spark, d, "events"), "ts", F.col("event_type") == "error")
 
 
-@query("SELECT event_id, user_id % 4 AS worker, CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS INT) AS idx FROM events")
+@query("SELECT event_id, user_id % 4 AS worker, event_type, row_number() OVER (ORDER BY event_id) AS idx FROM events")
 def merge_ordered(spark, d):
-    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 4).alias("worker"))
-    return e.withColumn("idx", F.row_number().over(Window.partitionBy("worker").orderBy("event_id")))
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 4).alias("worker"), "event_type")
+    return report.merged([e.where(F.col("worker") == w) for w in range(4)], "event_id").select("event_id", "worker", "event_type", "idx")
 
 
 @query(
@@ -280,8 +284,7 @@ def results_union(spark, d):
 
 @query("SELECT user_id, CASE WHEN sum((event_type <> 'error')::INT) = 0 THEN 'failed' WHEN sum((event_type = 'error')::INT) > 0 THEN 'done with errors' ELSE 'done' END AS outcome FROM events GROUP BY user_id")
 def batch_outcome(spark, d):
-    failed, ok = F.sum((F.col("event_type") == "error").cast("int")), F.sum((F.col("event_type") != "error").cast("int"))
-    return table(spark, d, "events").groupBy("user_id").agg(F.when(ok == 0, "failed").when(failed > 0, "done with errors").otherwise("done").alias("outcome"))
+    return report.batch_outcome(table(spark, d, "events"), "user_id", F.col("event_type") == "error")
 
 
 @query(
@@ -300,15 +303,13 @@ def progress_eta(spark, d):
 SELECT user_id, CAST((10 * rn) // n AS BIGINT) * 10 AS percent, min(event_id) AS event_id FROM r WHERE (10 * rn) // n > (10 * (rn - 1)) // n GROUP BY ALL"""
 )
 def milestones(spark, d):
-    w = Window.partitionBy("user_id")
-    e = table(spark, d, "events").select("event_id", "user_id", "ts").withColumn("rn", F.row_number().over(w.orderBy("ts", "event_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    e = e.withColumn("step", F.expr("(10 * rn) div n")).where("step > (10 * (rn - 1)) div n")
-    return e.select("user_id", (F.col("step") * 10).alias("percent"), "event_id")
+    e = table(spark, d, "events").select("event_id", "user_id", "ts")
+    return report.milestones(e, "user_id", "ts", "event_id").select("user_id", "percent", "event_id")
 
 
 @query("SELECT user_id, max(event_id) AS latest_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def latest_processed(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("latest_id"), F.max_by("event_type", "event_id").alias("event_type"))
+    return report.latest_processed(table(spark, d, "events"), "user_id", "event_id", "event_type")
 
 
 RISK = """CASE WHEN length(response) > 1 AND len(list_distinct(regexp_extract_all(t, '[A-Z]'))) > 1
@@ -327,34 +328,39 @@ def erasure_risk_fixed(spark, d):
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
 def preview_rows(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey").limit(100)
+    return report.preview(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
 
 
 @query("SELECT page_id, url FROM pages WHERE contains(lower(url), lower('E'))")
 def name_search(spark, d):
-    return table(spark, d, "pages").select("page_id", "url").where(F.lower("url").contains("e"))
+    return report.name_search(table(spark, d, "pages").select("page_id", "url"), "url", "E")
 
 
 @query("SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS created, CAST(row_number() OVER (ORDER BY max(ts) DESC, user_id) AS INT) AS place FROM events GROUP BY user_id QUALIFY place <= 50")
 def newest_batches(spark, d):
-    b = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("t")).orderBy(F.desc("t"), "user_id").limit(50)
-    return b.withColumn("place", F.row_number().over(Window.orderBy(F.desc("t"), "user_id"))).select("user_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("created"), "place")
+    return report.newest_batches(table(spark, d, "events"), "user_id", "ts").withColumn("created", F.date_format("created", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("SELECT user_id, arg_max(CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' ELSE 'failed' END, event_id) AS status, arg_max(CASE WHEN event_type = 'error' THEN event_id END, event_id) AS last_error FROM events GROUP BY user_id")
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'done' WHEN 'purchase' THEN 'cancelled' ELSE 'failed' END AS step,
+  CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'e' || event_id END AS err FROM events),
+s AS (SELECT user_id, 0::BIGINT AS rn, 'created' AS status, NULL::VARCHAR AS last_error, 0::BIGINT AS rejected FROM e GROUP BY user_id
+  UNION ALL SELECT user_id, rn, CASE WHEN ok THEN step ELSE status END, CASE WHEN ok AND (err IS NOT NULL OR step = 'failed') THEN err WHEN ok AND step IN ('queued', 'running', 'done') THEN NULL ELSE last_error END, rejected + CASE WHEN ok THEN 0 ELSE 1 END
+  FROM (SELECT e.user_id, e.rn, s.status, s.last_error, s.rejected, e.step, e.err, (s.status || '>' || e.step) IN ('created>queued', 'queued>running', 'queued>cancelled', 'running>done', 'running>failed', 'running>cancelled', 'done>queued', 'failed>queued', 'cancelled>queued') AS ok FROM s JOIN e ON s.user_id = e.user_id AND e.rn = s.rn + 1))
+SELECT user_id, arg_max(status, rn) AS status, CASE WHEN max(rn) = arg_max(rn, rn) THEN max(struct_pack(rn := rn, x := last_error)).x END AS last_error, max(rejected) AS rejected FROM s GROUP BY user_id"""
+)
 def status_fold(spark, d):
-    status = F.expr("case event_type when 'signup' then 'created' when 'view' then 'queued' when 'click' then 'running' when 'purchase' then 'done' else 'failed' end")
-    e = table(spark, d, "events")
-    return e.groupBy("user_id").agg(F.max_by(status, "event_id").alias("status"), F.max(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("last_error"))
+    status = F.expr("case event_type when 'signup' then 'queued' when 'view' then 'running' when 'click' then 'done' when 'purchase' then 'cancelled' else 'failed' end")
+    e = table(spark, d, "events").select("user_id", "event_id", status.alias("status"), F.when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), F.concat(F.lit("e"), "event_id")).alias("error"))
+    return lifecycle.folded(e, "user_id", ["event_id"])
 
 
 # --- specifications -------------------------------------------------------------------------------------------------
-@query("SELECT p_partkey, 'q' || CAST(i AS VARCHAR) AS label FROM (SELECT p_partkey, unnest(range(p_size, p_size + 1 + p_partkey % 5)) AS i FROM part)")
+@query("SELECT p_partkey, 'q' || CAST(i AS VARCHAR) AS label FROM (SELECT p_partkey, unnest(range(p_size, p_size + 2 + p_partkey % 5)) AS i FROM part WHERE p_partkey % 7 <> 0) UNION ALL SELECT p_partkey, 'Roll' || p_size FROM part WHERE p_partkey % 7 = 0")
 def range_expand(spark, d):
-    text = F.concat(F.lit("q"), F.col("p_size").cast("string"), F.lit(".."), (F.col("p_size") + F.col("p_partkey") % 5).cast("string"))
-    p = table(spark, d, "part").select("p_partkey", text.alias("t"))
-    a, b = (F.regexp_extract("t", r"^([^.\d]+)(\d+)\.{2,3}(\d+)$", i).cast("int") for i in (2, 3))
-    return p.select("p_partkey", F.explode(F.sequence(a, b)).alias("i"), F.regexp_extract("t", r"^([^.\d]+)", 1).alias("s")).select("p_partkey", F.concat("s", F.col("i").cast("string")).alias("label"))
+    text = F.concat(F.lit("q"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "..").otherwise("..."), (F.col("p_size") + 1 + F.col("p_partkey") % 5).cast("string"))
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("Roll"), "p_size")).otherwise(text).alias("t"))
+    return p.select("p_partkey", F.explode(specs.expanded("t")).alias("label"))
 
 
 TYPES = ", ".join(f"('{t}', '{''.join(v['bubbleValues'])}', '{v['direction']}')" for t, v in FIELD_TYPES.items())
@@ -368,19 +374,29 @@ def field_types(spark, d):
 
 
 @query(
-    """SELECT p_partkey, i::INT AS label_no, v AS value, CAST(p_size + 41 * (k - 1) AS INT) AS x, CAST(10 + 52 * (i - 1) AS INT) AS y
+    """SELECT p_partkey, 'q' || i AS label, v AS value,
+  CAST(round_even(list_reduce(list_prepend(p_size + 0.5::DOUBLE, repeat([CASE WHEN p_partkey % 2 = 0 THEN 41.1::DOUBLE ELSE 52.25::DOUBLE END], CASE WHEN p_partkey % 2 = 0 THEN k - 1 ELSE i - 1 END)), lambda a, b: a + b), 0) AS INT) AS x,
+  CAST(round_even(list_reduce(list_prepend(10::DOUBLE, repeat([CASE WHEN p_partkey % 2 = 0 THEN 52.25::DOUBLE ELSE 41.1::DOUBLE END], CASE WHEN p_partkey % 2 = 0 THEN i - 1 ELSE k - 1 END)), lambda a, b: a + b), 0) AS INT) AS y
 FROM part, range(1, 6) t(i), (SELECT unnest(['A','B','C','D']) AS v, unnest([1, 2, 3, 4]) AS k)"""
 )
 def bubble_grid(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_size", F.posexplode(F.expr("sequence(1, 5)")).alias("row", "label_no"))
-    p = p.select("*", F.posexplode(F.expr("array('A','B','C','D')")).alias("column", "value"))
-    return p.select("p_partkey", "label_no", "value", (F.col("p_size") + 41 * F.col("column")).cast("int").alias("x"), (10 + 52 * F.col("row")).cast("int").alias("y"))
+    p = table(spark, d, "part").select(
+        "p_partkey", F.expr("transform(sequence(1, 5), i -> concat('q', i))").alias("labels"), F.expr("array('A', 'B', 'C', 'D')").alias("values"),
+        F.when(F.col("p_partkey") % 2 == 0, "horizontal").otherwise("vertical").alias("direction"), (F.col("p_size") + 0.5).alias("x0"), F.lit(10).alias("y0"), F.expr("cast(41.1 as double)").alias("bubbles_gap"), F.expr("52.25d").alias("labels_gap"),
+    )
+    return specs.grid(p).select("p_partkey", "label", "value", "x", "y")
 
 
-@query("SELECT p_partkey, CAST(trunc(41.5 * (p_size - 1) + 30) AS INT) AS width, CAST(trunc(52.25 * (1 + p_partkey % 9 - 1) + 30) AS INT) AS height, trunc(41.5 * (p_size - 1) + 30) + 100 >= 1500 AS overflows FROM part")
+@query(
+    """SELECT p_partkey, width, height, width + 100 >= 1500 OR height + 50 >= 1800 AS overflows FROM (
+  SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN trunc(41.5 * (p_size - 1) + 30) ELSE trunc(52.25 * (p_partkey % 9) + 30) END::INT AS width,
+    CASE WHEN p_partkey % 2 = 0 THEN trunc(52.25 * (p_partkey % 9) + 20) ELSE trunc(41.5 * (p_size - 1) + 20) END::INT AS height FROM part)"""
+)
 def block_dimensions(spark, d):
-    w, h = F.expr("cast(41.5d * (p_size - 1) + 30 as int)"), F.expr("cast(52.25d * (p_partkey % 9) + 30 as int)")
-    return table(spark, d, "part").select("p_partkey", w.alias("width"), h.alias("height"), (w + 100 >= 1500).alias("overflows"))
+    p = table(spark, d, "part").select("p_partkey", "p_size", (1 + F.col("p_partkey") % 9).alias("n_labels"), F.when(F.col("p_partkey") % 2 == 0, "horizontal").otherwise("vertical").alias("direction"))
+    w, h = specs.block_size("n_labels", "p_size", "41.5d", "52.25d", "30", "20", "direction")
+    p = p.select("p_partkey", w.alias("width"), h.alias("height"))
+    return p.withColumn("overflows", specs.overflows(F.lit(100), F.lit(50), F.col("width"), F.col("height"), F.lit(1500), F.lit(1800)))
 
 
 @query("SELECT label, CAST(row_number() OVER (ORDER BY p, n, label) AS INT) AS place FROM (SELECT DISTINCT p_brand AS label, regexp_extract(p_brand, '^([^0-9]*)', 1) AS p, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS n FROM part)")
@@ -391,29 +407,27 @@ def natural_sort_labels(spark, d):
 
 @query("SELECT p_name AS label, count(DISTINCT p_brand) AS blocks FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1")
 def overlap_check(spark, d):
-    p = table(spark, d, "part")
-    return p.groupBy(F.col("p_name").alias("label")).agg(F.count_distinct("p_brand").alias("blocks")).where("blocks > 1")
+    return specs.overlapping(table(spark, d, "part"), "p_name", "p_brand")
 
 
 @query("SELECT p_brand AS label FROM part WHERE p_size < 10 GROUP BY p_brand EXCEPT SELECT p_brand FROM part WHERE p_size > 49")
 def missing_labels(spark, d):
-    p = table(spark, d, "part")
-    return p.where("p_size < 10").select(F.col("p_brand").alias("label")).distinct().join(p.where("p_size > 49").select(F.col("p_brand").alias("label")), "label", "left_anti")
+    p = table(spark, d, "part").select("p_size", F.col("p_brand").alias("label"))
+    return specs.missing(p.where("p_size < 10"), p.where("p_size > 49"))
 
 
 @query("SELECT l.l_orderkey, l.l_linenumber, coalesce(s.section, 'DEFAULT') AS section, count(*) AS n FROM lineitem l JOIN orders o ON o_orderkey = l_orderkey LEFT JOIN (VALUES ('1-URGENT'), ('2-HIGH')) s(section) ON s.section = o_orderpriority GROUP BY ALL")
 def question_sections(spark, d):
-    s = F.broadcast(spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "section string"))
-    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("section") == F.col("o_orderpriority"), "left")
-    return j.groupBy("l_orderkey", "l_linenumber", F.coalesce("section", F.lit("DEFAULT")).alias("section")).agg(F.count(F.lit(1)).alias("n"))
+    known = spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "section string")
+    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return specs.sections(j, "o_orderpriority", known).groupBy("l_orderkey", "l_linenumber", "section").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- pixel arithmetic -----------------------------------------------------------------------------------------------
 @query("SELECT l_orderkey, l_linenumber, q, CAST(CASE WHEN x <= 0 THEN 0 WHEN x >= 1 THEN 255 ELSE floor(pow(x, 1.0 / 0.8) * 255) END AS INT) AS level FROM (SELECT l_orderkey, l_linenumber, l_quantity AS q, ((255 - 5 * l_quantity) / 255.0 - 0.1) / (0.9 - 0.1) AS x FROM lineitem)")
 def levels_lut(spark, d):
-    x = F.expr("((255d - 5 * l_quantity) / 255d - 0.1d) / (0.9d - 0.1d)")
-    level = F.when(x <= 0, 0).when(x >= 1, 255).otherwise(F.floor(F.pow(x, F.lit(1 / 0.8)) * 255))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), level.cast("int").alias("level"))
+    line = table(spark, d, "lineitem")
+    return line.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), geometry.level(255 - 5 * F.col("l_quantity"), 0.1, 0.9, 0.8).alias("level"))
 
 
 @query(
@@ -421,40 +435,37 @@ def levels_lut(spark, d):
 FROM (SELECT l_orderkey AS sheet, l_linenumber AS scale, min(l_quantity) AS worst FROM lineitem GROUP BY ALL)) WHERE r = 1"""
 )
 def best_scale(spark, d):
-    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("scale")).agg(F.min("l_quantity").alias("worst"))
-    return report.first_per(s, "sheet", F.desc("worst"), F.desc("scale"))
+    return geometry.best_scale(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("scale"), F.col("l_quantity").alias("score")))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity / 50 AS t, m AS anchor, l_quantity / 50 >= 0.3 AND abs(m - l_quantity / 50) < 0.41 AS accepted FROM (SELECT *, max(l_quantity) OVER (PARTITION BY l_orderkey) / 50 AS m FROM lineitem)")
 def corner_accept(spark, d):
-    w = Window.partitionBy("l_orderkey")
-    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("t"), (F.max("l_quantity").over(w) / 50).alias("anchor"))
-    return line.withColumn("accepted", (F.col("t") >= 0.3) & (F.abs(F.col("anchor") - F.col("t")) < 0.41))
+    c = geometry.accepted_corners(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sheet"), "l_linenumber", (F.col("l_quantity") / 50).alias("score")))
+    return c.select(F.col("sheet").alias("l_orderkey"), "l_linenumber", F.col("score").alias("t"), "anchor", "accepted")
 
 
 @query("SELECT p_partkey, greatest(0, p_size * 10 - 20)::INT AS x0, least(515, p_size * 10 + 120)::INT AS x1, greatest(0, p_size - 20)::INT AS y0, least(666, p_size + 320)::INT AS y1 FROM part")
 def window_clip(spark, d):
-    return table(spark, d, "part").selectExpr("p_partkey", "cast(greatest(0, p_size * 10 - 20) as int) AS x0", "cast(least(515, p_size * 10 + 120) as int) AS x1", "cast(greatest(0, p_size - 20) as int) AS y0", "cast(least(666, p_size + 320) as int) AS y1")
+    x, y = F.col("p_size") * 10, F.col("p_size")
+    x0, x1, y0, y1 = geometry.clipped(x, x + 100, y, y + 300, F.lit(515), F.lit(666), padding=F.lit(20))
+    return table(spark, d, "part").select("p_partkey", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
 
 
-@query("SELECT p_partkey, CAST(floor(w * s) AS INT) AS fit_w, CAST(floor(h * s) AS INT) AS fit_h FROM (SELECT *, least(1.0::DOUBLE, 666.0::DOUBLE / w, 820.0::DOUBLE / h) AS s FROM (SELECT p_partkey, p_size * 50 AS w, 400 + p_size * 20 AS h FROM part))")
+@query("SELECT p_partkey, CAST(floor(w * s) AS INT) AS fit_w, CAST(floor(h * s) AS INT) AS fit_h FROM (SELECT *, least(1.0::DOUBLE, 666.0::DOUBLE / w, 820.0::DOUBLE / h) AS s FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 400 + p_size * 20 ELSE p_size * 50 END AS w, CASE WHEN p_partkey % 2 = 1 THEN p_size * 50 ELSE 400 + p_size * 20 END AS h FROM part))")
 def fit_dimensions(spark, d):
-    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 50).alias("w"), (400 + F.col("p_size") * 20).alias("h"))
-    p = p.withColumn("s", F.least(F.lit(1.0), F.lit(666.0) / F.col("w"), F.lit(820.0) / F.col("h")))
-    return p.select("p_partkey", F.floor(F.col("w") * F.col("s")).cast("int").alias("fit_w"), F.floor(F.col("h") * F.col("s")).cast("int").alias("fit_h"))
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 50).alias("w"), (400 + F.col("p_size") * 20).alias("h"), (F.col("p_partkey") % 4 * 90).alias("turn"))
+    w, h = geometry.fitted(F.col("w"), F.col("h"), 666, 820, F.col("turn"))
+    return p.select("p_partkey", w.alias("fit_w"), h.alias("fit_h"))
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE r <= floor(n * 0.15)")
 def top_matches(spark, d):
-    w = Window.partitionBy("o_custkey")
-    o = table(spark, d, "orders").withColumn("r", F.row_number().over(w.orderBy("o_totalprice", "o_orderkey"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return o.where(F.col("r") <= F.floor(F.col("n") * F.lit(0.15).cast("decimal(3,2)"))).select("o_custkey", "o_orderkey")
+    return geometry.best_share(table(spark, d, "orders"), "o_custkey", 15, "o_totalprice", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
 @query("SELECT o_custkey, o_orderkey, CAST(r AS INT) AS place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 5")
 def largest_contours(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, d, "orders").withColumn("place", F.row_number().over(w)).where("place <= 5").select("o_custkey", "o_orderkey", "place")
+    return geometry.largest(table(spark, d, "orders"), "o_custkey", 5, F.desc("o_totalprice"), "o_orderkey").select("o_custkey", "o_orderkey", "place")
 
 
 # --- files ----------------------------------------------------------------------------------------------------------
@@ -475,7 +486,7 @@ def nearest_config(spark, d):
 @query("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 10 = 0)")
 def exclude_files(spark, d):
     p = table(spark, d, "pages").select("page_id", "url")
-    return p.join(p.where("page_id % 10 = 0").select("url"), "url", "left_anti").select("page_id", "url")
+    return files.without(p, "url", p.where("page_id % 10 = 0")).select("page_id", "url")
 
 
 SAFE = "nullif(trim(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[^A-Za-z0-9._-]+', '_', 'g'), '._'), '')"
@@ -487,10 +498,13 @@ def sanitise_names(spark, d):
 
 
 @query(
-    "SELECT doc_id, CASE WHEN k = 0 THEN source || '.png' ELSE source || '_' || k || '.png' END AS unique_name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)"
+    """WITH d AS (SELECT doc_id, source || CASE WHEN doc_id % 7 = 0 THEN '_' || (1 + doc_id % 5) ELSE '' END AS stem FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY doc_id) - 1 AS k FROM d),
+t AS (SELECT regexp_replace(stem, '_[0-9]+$', '') AS stem, list(regexp_extract(stem, '_([0-9]+)$', 1)::BIGINT) AS taken FROM (SELECT DISTINCT stem FROM d) WHERE regexp_matches(stem, '_[0-9]+$') GROUP BY ALL)
+SELECT doc_id, n.stem || CASE WHEN k > 0 THEN '_' || list_filter(range(1, k + 100), lambda x: NOT list_contains(coalesce(taken, []), x))[k] ELSE '' END || '.png' AS unique_name FROM n LEFT JOIN t ON n.stem = t.stem"""
 )
 def dedupe_names(spark, d):
-    n = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit(".png")).alias("name"))
+    n = table(spark, d, "documents").select("doc_id", F.expr("concat(source, case when doc_id % 7 = 0 then concat('_', 1 + doc_id % 5) else '' end, '.png')").alias("name"))
     return files.deduplicated(n, "name", "doc_id").select("doc_id", "unique_name")
 
 
@@ -500,15 +514,16 @@ def latest_file(spark, d):
     return files.latest(e).select("path", F.date_format("mtime", "yyyy-MM-dd HH:mm:ss").alias("mtime"))
 
 
-@query("SELECT event_id, CAST(row_number() OVER (ORDER BY ts, event_id) AS INT) AS place FROM events WHERE event_type = 'error' AND user_id % 10 <> 3")
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM events WHERE event_type = 'error' AND user_id % 10 <> 3")
 def errors_oldest_first(spark, d):
     e = table(spark, d, "events").where("event_type = 'error' and user_id % 10 <> 3").select("event_id", "ts")
-    return e.withColumn("place", F.row_number().over(Window.orderBy("ts", "event_id"))).select("event_id", "place")
+    return report.oldest_first(e, "ts", "event_id").select("event_id", "place")
 
 
-@query("SELECT source, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE lang IN ('en', 'de') GROUP BY source")
+@query("SELECT path FROM (SELECT 'in/scan' || page_id || ['.png', '.JPG', '.txt', '.Jpeg', ''][1 + page_id % 5] AS path FROM pages) WHERE regexp_matches(lower(path), '[.](png|jpg|jpeg)$')")
 def list_files(spark, d):
-    return table(spark, d, "documents").where(F.col("lang").isin("en", "de")).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+    p = table(spark, d, "pages").select(F.concat_ws("/", F.lit("in"), F.concat(F.lit("scan"), "page_id", F.expr("get(array('.png', '.JPG', '.txt', '.Jpeg', ''), cast(page_id % 5 as int))"))).alias("path"))
+    return files.listed(p, [".png", ".jpg", ".jpeg"])
 
 
 # --- rosters --------------------------------------------------------------------------------------------------------

@@ -23,8 +23,8 @@ def read_scans(spark: SparkSession, root: str, excluded: list[str] = ()) -> Data
     path = F.col("image.origin")
     out = df.select(path.alias("path"), F.regexp_replace(path, "/[^/]*$", "").alias("dir"), F.element_at(F.split(path, "/"), -1).alias("file"), "image.height", "image.width", "image.nChannels", F.col("image.data").alias("image"))
     if excluded:
-        gone = spark.createDataFrame([(x,) for x in excluded], "gone string")
-        out = out.join(F.broadcast(gone), F.col("path").endswith(F.concat(F.lit("/"), "gone")), "left_anti")
+        gone = spark.createDataFrame([(x.rpartition("/")[2], "/" + x.lstrip("/")) for x in excluded], "file string, gone string")  # a specification's files, hence few
+        out = out.join(F.broadcast(gone).alias("g"), (out["file"] == F.col("g.file")) & out["path"].endswith(F.col("g.gone")), "left_anti")
     return out.withColumn("image", F.when(F.col("height") > 0, F.col("image")))
 
 
