@@ -15,7 +15,7 @@ def _value(option: str, values: str, first: int) -> str:
     return f"get({values}, cast({option} as int) - {first})"
 
 
-def question_text(empty: Column, delta: float, values: str, first: int) -> tuple[Column, Column]:
+def question_text(empty: Column, delta: float | str, values: str, first: int) -> tuple[Column, Column]:
     """Of a strip ``b`` (bubbles by darkness) with ``thr``: the response of a question, and whether it is multi-marked."""
     marked = "filter(b, y -> thr > y.m)"
     equal = f"filter({marked}, y -> y.m - {marked}[0].m <= {delta} * 255.0)"

@@ -43,6 +43,18 @@ def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
     return j.withColumn("\x00r", F.row_number().over(w)).where("`\x00r` = 1").drop("\x00r")
 
 
+def nearest_specs(dirs: DataFrame, specs: DataFrame, kinds: list[str]) -> DataFrame:
+    """Of each ``dir`` the deepest ``spec_dir`` of every kind (``spec_dir, kind``) that is an ancestor or itself; null where there is none.
+
+    A directory is exploded into its ancestors once for all kinds, and meets the specifications by equal keys.
+    """
+    parts = F.split("dir", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
+    met = dirs.select("dir").distinct().withColumn("spec_dir", above).join(specs, "spec_dir", "left")
+    one = lambda k: F.max_by(F.when(F.col("kind") == k, F.col("spec_dir")), F.when(F.col("kind") == k, F.length("spec_dir")))
+    return met.groupBy("dir").agg(*[one(k).alias(k) for k in kinds])
+
+
 def listed(files: DataFrame, suffixes: list[str]) -> DataFrame:
     """The files whose name ends with one of the suffixes, in either case, by path."""
     return files.where(F.lower(F.substring_index("path", ".", -1)).isin([x.lower().lstrip(".") for x in suffixes])).orderBy("path")

@@ -21,7 +21,7 @@ def verdicts(responses: DataFrame, key: DataFrame, empty: str = "NR") -> DataFra
     return verdict_columns(responses.join(F.broadcast(key), "label"), empty)  # a key is a specification's, hence small
 
 
-def verdict_columns(joined: DataFrame, empty: str = "NR") -> DataFrame:
+def verdict_columns(joined: DataFrame, empty: str | Column = "NR") -> DataFrame:
     """Adds ``verdict, weight``. Empty is tested before membership; of repeated answers the last weight counts."""
     at = F.expr("size(answers) - array_position(reverse(answers), response)")  # of the last equal answer
     member = F.array_contains("answers", F.col("response"))
@@ -39,7 +39,11 @@ def scored(judged: DataFrame, schemes: DataFrame) -> DataFrame:
     """Adds ``delta``: an answer's own weight, else what the section (or DEFAULT) gives the verdict's kind; null where neither is given."""
     s = F.broadcast(schemes)  # marking schemes are a specification's, hence few
     default = F.broadcast(schemes.where("section = 'DEFAULT'").select(*[F.col(c).alias(f"d_{c}") for c in ("correct", "incorrect", "unmarked")]))
-    j = judged.join(s, "section", "left").join(default, F.lit(True), "left")  # one row at most
+    return with_delta(judged.join(s, "section", "left").join(default, F.lit(True), "left"))  # one row at most
+
+
+def with_delta(j: DataFrame) -> DataFrame:
+    """Adds ``delta`` from ``verdict, weight``, the section's ``correct, incorrect, unmarked`` and, where those are null, the same with ``d_``."""
     value = lambda c: F.coalesce(c, f"d_{c}")
     kind = F.substring_index("verdict", "-", 1)
     delta = F.when(kind == "unmarked", value("unmarked")).when(kind == "incorrect", value("incorrect")).otherwise(F.coalesce("weight", value("correct")))

@@ -18,19 +18,21 @@ def jumps(values: str, lag: int) -> Column:
     return F.expr(f"case when size({values}) > {lag} then transform(sequence(0, size({values}) - {lag} - 1), i -> {values}[i + {lag}] - {values}[i]) end")
 
 
-def jump_threshold(values: str, lag: int, default: float = WHITE, least: float = MIN_JUMP) -> Column:
+def jump_threshold(values: str, lag: int, default: float | Column = WHITE, least: float | Column = MIN_JUMP) -> Column:
     """The middle of the first largest jump in a sorted array, if over ``least``, else the default."""
     j = jumps(values, lag)
     top = F.array_max(j)
     return F.when(top > least, F.get(F.col(values), (F.array_position(j, top) - 1).cast("int")) + top / 2).otherwise(F.lit(default))
 
 
-def measured(bubbles: DataFrame, page_type: str = "white", min_jump: float = MIN_JUMP) -> DataFrame:
+def measured(bubbles: DataFrame, page_type: str | Column = "white", min_jump: float | Column = MIN_JUMP, carry: list[str] = ()) -> DataFrame:
     """A row per sheet: global and deviation thresholds, and ``strips`` (bubbles by intensity, deviation, size, range, mean).
 
-    The parameters are a configuration's threshold_params. Without a clear jump the threshold is that of the page type.
+    The parameters are a configuration's threshold_params. Without a clear jump the threshold is that of the page type. Where sheets differ in
+    configuration, the parameters are columns of the bubbles (the page type as a threshold); ``carry`` names them and what else is one value a sheet.
     """
-    default = BLACK if page_type == "black" else WHITE
+    default = page_type if isinstance(page_type, Column) else BLACK if page_type == "black" else WHITE
+    kept = [F.first(c).alias(c) for c in carry]
     strip = bubbles.repartition("sheet").groupBy("sheet", "strip").agg(
         F.array_sort(F.collect_list(F.struct("m", "opt"))).alias("b"),
         F.round(F.stddev_pop("m"), 2).alias("sd"),
@@ -38,19 +40,21 @@ def measured(bubbles: DataFrame, page_type: str = "white", min_jump: float = MIN
         F.min("m").alias("mn"),
         F.max("m").alias("mx"),
         F.avg("m").alias("av"),
+        *kept,
     )
-    sheet = strip.groupBy("sheet").agg(F.collect_list(F.struct("strip", "b", "sd", "n", "mn", "mx", "av")).alias("strips"))
+    sheet = strip.groupBy("sheet").agg(F.collect_list(F.struct("strip", "b", "sd", "n", "mn", "mx", "av")).alias("strips"), *kept)
     sheet = sheet.withColumn("all_m", F.expr("sort_array(flatten(transform(strips, s -> s.b.m)))")).withColumn("all_sd", F.expr("sort_array(strips.sd)"))
-    return sheet.select("sheet", "strips", jump_threshold("all_m", 4, default, min_jump).alias("global_thr"), jump_threshold("all_sd", 2, default, min_jump).alias("std_thr"))
+    return sheet.select("sheet", "strips", jump_threshold("all_m", 4, default, min_jump).alias("global_thr"), jump_threshold("all_sd", 2, default, min_jump).alias("std_thr"), *carry)
 
 
-def local_thresholds(sheets: DataFrame, min_gap: float = MIN_GAP, min_jump: float = MIN_JUMP, surplus: float = SURPLUS) -> DataFrame:
+def local_thresholds(sheets: DataFrame, min_gap: float | Column = MIN_GAP, min_jump: float | Column = MIN_JUMP, surplus: float | Column = SURPLUS, carry: list[str] = ()) -> DataFrame:
     """A row per strip with its threshold ``thr``: by the largest jump if clear, the mean or the sheet's threshold if not."""
-    s = sheets.select("sheet", "global_thr", "std_thr", F.expr("inline(strips)")).withColumn("q", F.col("b.m"))
+    s = sheets.select("sheet", "global_thr", "std_thr", *carry, F.expr("inline(strips)")).withColumn("q", F.col("b.m"))
     top = F.array_max(jumps("q", 2))
     few = F.when(F.col("mx") - F.col("mn") < min_gap, F.col("global_thr")).otherwise(F.col("av"))
-    vague = (F.greatest(top, F.lit(float(min_jump))) < min_jump + surplus) & (F.col("sd") < F.col("std_thr"))
-    thr = F.when(F.col("n") < 3, few).when(vague, F.col("global_thr")).otherwise(jump_threshold("q", 2, 255.0, min_jump))
+    jump = F.lit(min_jump).cast("double")
+    vague = (F.greatest(top, jump) < jump + surplus) & (F.col("sd") < F.col("std_thr"))
+    thr = F.when(F.col("n") < 3, few).when(vague, F.col("global_thr")).otherwise(jump_threshold("q", 2, 255.0, jump))
     return s.withColumn("thr", thr).drop("q")
 
 

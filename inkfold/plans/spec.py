@@ -103,6 +103,8 @@ def checked_config(own: dict) -> dict:
         bad.append("PAGE_TYPE_FOR_THRESHOLD")
     if bad:
         raise SpecError(f"Provided config JSON is Invalid: {bad}")
+    if out["alignment_params"]["auto_align"]:
+        raise SpecError("alignment_params.auto_align is not supported for scans: blocks are read where the template puts them")
     return out
 
 

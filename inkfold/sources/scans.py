@@ -52,19 +52,31 @@ def load_markers(spark: SparkSession, chain: list[dict], folder: str, width: int
     return out
 
 
+def page_spec(template, width: int, height: int, chain: list[dict] | None = None) -> dict:
+    """What a task needs of a template: the chain of preprocessors, the processing size, the page and its bubbles."""
+    return {"chain": template.pre_processors if chain is None else chain, "bubbles": [(b[1], b[3], b[5], b[6], b[7], b[8]) for b in template.bubbles], "page": template.page, "size": [width, height]}
+
+
 def measure_scans(scans: DataFrame, template, width: int | None = None, height: int | None = None, chain: list[dict] | None = None) -> DataFrame:
     """``sheet (path), strip (label), opt, m`` per bubble; pages that cannot be read or prepared give one row with null ``strip``."""
-    width, height = width or template.page[0], height or template.page[1]
-    spec = json.dumps({"chain": template.pre_processors if chain is None else chain, "bubbles": [(b[1], b[3], b[5], b[6], b[7], b[8]) for b in template.bubbles], "page": template.page})
+    spec = page_spec(template, width or template.page[0], height or template.page[1], chain)
+    return measure_tree(scans.withColumn("template", F.lit("")), {"": spec})
+
+
+def measure_tree(scans: DataFrame, specs: dict[str, dict]) -> DataFrame:
+    """The same for scans whose column ``template`` names one of several specifications: one pass over the images, whatever the number of templates."""
+    packed = json.dumps(specs)
     schema = pa.schema([("sheet", pa.string()), ("strip", pa.string()), ("opt", pa.int32()), ("m", pa.float64())])
 
     def run(batches):
-        s = json.loads(spec)
-        labels, opts, x, y, w, h = (list(v) for v in zip(*s["bubbles"], strict=True))
-        box = [np.array(v) for v in (x, y, w, h)]
+        every = {}
+        for name, s in json.loads(packed).items():
+            labels, opts, x, y, w, h = (list(v) for v in zip(*s["bubbles"], strict=True))
+            every[name] = s, labels, opts, [np.array(v) for v in (x, y, w, h)]
         for batch in batches:
-            for path, hh, ww, channels, data in zip(*(batch.column(c).to_pylist() for c in ("path", "height", "width", "nChannels", "image")), strict=True):
-                page = None if data is None else pixels.preprocessed(gray(data, hh, ww, channels), s["chain"], width, height)
+            for path, name, hh, ww, channels, data in zip(*(batch.column(c).to_pylist() for c in ("path", "template", "height", "width", "nChannels", "image")), strict=True):
+                s, labels, opts, box = every[name]
+                page = None if data is None else pixels.preprocessed(gray(data, hh, ww, channels), s["chain"], *s["size"])
                 if page is None:
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None], pa.string()), pa.array([None], pa.int32()), pa.array([None], pa.float64())], schema=schema)
                     continue
@@ -72,7 +84,7 @@ def measure_scans(scans: DataFrame, template, width: int | None = None, height:
                 m = pixels.rectangle_means(page, *box)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(m)), pa.array(labels), pa.array(opts, pa.int32()), pa.array(m)], schema=schema)
 
-    return scans.select("path", "height", "width", "nChannels", "image").mapInArrow(run, "sheet string, strip string, opt int, m double")
+    return scans.select("path", "template", "height", "width", "nChannels", "image").mapInArrow(run, "sheet string, strip string, opt int, m double")
 
 
 def png(page: np.ndarray) -> bytes:
