@@ -85,18 +85,17 @@ def completed_corners(corners: DataFrame) -> DataFrame:
 
     ``rx, ry`` are the reference places. With two or more missing, ``complete`` is false and the arrays stay.
     """
-    at = lambda x, y, i: f"named_struct('x', cast({x}[{i}] as double), 'y', cast({y}[{i}] as double))"
-    out = corners.withColumn("gap", F.expr("filter(sequence(0, 3), i -> x[i] is null or y[i] is null)"))
-    others = "filter(sequence(0, 3), i -> i <> gap[0])"
-    known = out.withColumn("k", F.when(F.size("gap") == 1, F.expr(others)))
+    at = lambda x, y, i: f"named_struct('x', cast(get({x}, {i}) as double), 'y', cast(get({y}, {i}) as double))"
+    out = corners.withColumn("\x01gap", F.expr("filter(sequence(0, 3), i -> x[i] is null or y[i] is null)"))
+    known = out.withColumn("\x01k", F.when(F.size("\x01gap") == 1, F.expr("filter(sequence(0, 3), i -> i <> `\x01gap`[0])")))
     for i in range(3):
-        known = known.withColumn(f"s{i}", F.expr(at("rx", "ry", f"k[{i}]"))).withColumn(f"t{i}", F.expr(at("x", "y", f"k[{i}]")))
-    known = known.withColumn("m", F.expr(at("rx", "ry", "gap[0]")))
-    fx, fy = fourth_corner(["s0", "s1", "s2"], ["t0", "t1", "t2"], "m")
-    known = known.withColumn("fx", fx).withColumn("fy", fy)
-    fill = lambda a, f: F.expr(f"transform({a}, (v, i) -> if(k is not null and i = gap[0], {f}, cast(v as double)))")
-    done = F.expr("size(gap) = 0 or (size(gap) = 1 and fx is not null)")
-    return known.select(*[c for c in corners.columns if c not in ("x", "y")], fill("x", "fx").alias("x"), fill("y", "fy").alias("y"), done.alias("complete"))
+        known = known.withColumn(f"\x01s{i}", F.expr(at("rx", "ry", f"get(`\x01k`, {i})"))).withColumn(f"\x01t{i}", F.expr(at("x", "y", f"get(`\x01k`, {i})")))
+    known = known.withColumn("\x01m", F.expr(at("rx", "ry", "get(`\x01gap`, 0)")))
+    fx, fy = fourth_corner([f"`\x01s{i}`" for i in range(3)], [f"`\x01t{i}`" for i in range(3)], "`\x01m`")
+    known = known.withColumn("\x01fx", fx).withColumn("\x01fy", fy)
+    fill = lambda a, f: F.expr(f"transform({a}, (v, i) -> if(`\x01k` is not null and i = `\x01gap`[0], `{f}`, cast(v as double)))")
+    done = F.expr("size(`\x01gap`) = 0 or (size(`\x01gap`) = 1 and `\x01fx` is not null)")
+    return known.select(*[c for c in corners.columns if c not in ("x", "y")], fill("x", "\x01fx").alias("x"), fill("y", "\x01fy").alias("y"), done.alias("complete"))
 
 
 def square_map(p: str) -> dict[str, str]:

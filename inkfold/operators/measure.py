@@ -90,7 +90,7 @@ def rectangle_means(pixels: DataFrame, rectangles: DataFrame) -> DataFrame:
         "sheet", "id", (F.greatest("x", F.lit(0)) - 1).alias("x0"), (F.greatest("y", F.lit(0)) - 1).alias("y0"), F.least(F.expr("x + w - 1"), "xm").alias("x1"), F.least(F.expr("y + h - 1"), "ym").alias("y1")
     )
     cut = cut.where("x1 > x0 and y1 > y0").withColumn("n", F.expr("(x1 - x0) * (y1 - y0)"))
-    corners = cut.select("sheet", "id", "n", F.expr("inline(array(struct(x1 as x, y1 as y, 1L as sign), struct(x0, y1, -1L), struct(x1, y0, -1L), struct(x0, y0, 1L)))")).where("x >= 0 and y >= 0")
+    corners = cut.select("sheet", "id", "n", F.expr("inline(array(struct(x1 as x, y1 as y, 1L as sign), struct(x0 as x, y1 as y, -1L as sign), struct(x1 as x, y0 as y, -1L as sign), struct(x0 as x, y0 as y, 1L as sign)))")).where("x >= 0 and y >= 0")
     found = corners.join(integral(pixels), ["sheet", "x", "y"])
     return found.groupBy("sheet", "id", "n").agg(F.sum(F.col("sign") * F.col("total")).alias("s")).select("sheet", "id", (F.col("s") * F.lit(1.0) / F.col("n")).alias("m"))
 

@@ -40,6 +40,22 @@ def qc_flags(rows: DataFrame, pattern: str | None, empty: str = "NR") -> DataFra
     return rows.withColumn("nr_count", nr).withColumn("nr_percent", share).withColumn("qc_flags", flags)
 
 
+def qc_by_header(rows: DataFrame, header: str, pattern: str | None, empty: str = "NR") -> DataFrame:
+    """The same checks of ``record map<string,string>`` by the columns of a file's ``header``: a question that the record lacks counts as read."""
+    asked = f"filter({header}, c -> lower(c) rlike '^q[0-9]+')"
+    nr = F.expr(f"size(filter({asked}, c -> coalesce(trim(record[c]), '') = '{empty}'))")
+    share = nr / F.greatest(F.lit(1), F.size(F.expr(asked)))
+    name = F.coalesce(*[F.when(F.map_contains_key("record", c), F.lit(c)) for c in CANDIDATE])
+    value = F.coalesce(F.trim(F.col("record")[name]), F.lit(""))
+    bad = value == ""
+    if pattern:
+        bad = bad | (~value.rlike(f"^(?:{pattern})$") if valid_pattern(rows, pattern) else F.lit(True))
+    else:
+        bad = name.isNotNull() & bad
+    flags = F.array_compact(F.array(F.when(share >= HIGH_NR, "HIGH_NR"), F.when(bad, "BAD_CANDIDATE")))
+    return rows.withColumn("nr_count", nr).withColumn("nr_percent", share).withColumn("qc_flags", flags)
+
+
 def valid_pattern(rows: DataFrame, pattern: str) -> bool:
     """Whether the executors' regular expressions accept the pattern."""
     try:

@@ -104,15 +104,3 @@ def drawn(template, marks: dict[str, str], ink: int = 40, paper: int = 235, fain
     for _, label, _, _, value, x, y, w, h in template.bubbles:
         page[y : y + h, x : x + w] = ink if value in marks.get(label, "") else faint
     return page
-
-
-def write_results(rows: DataFrame, folder: str) -> None:
-    """Result rows (all strings) as quoted CSV with a header, a folder for each route and exam."""
-    rows.select([F.col(c).cast("string").alias(c) for c in rows.columns]).write.mode("append").option("quoteAll", True).option("header", True).option("emptyValue", "").partitionBy("route").csv(folder)
-
-
-def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Result CSVs again: empty strings stay empty strings, blank rows go."""
-    df = spark.read.option("header", True).option("nullValue", "\x00").option("emptyValue", "").csv(folder)
-    text = [c for c, t in df.dtypes if t == "string"]
-    return df.where(F.concat(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in text]) != "")

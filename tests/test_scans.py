@@ -6,7 +6,7 @@ import pytest
 from inkfold.functions import pixels
 from inkfold.operators import decode, measure
 from inkfold.plans import engine, spec
-from inkfold.sources import scans
+from inkfold.sources import results, scans
 from inkfold.streaming.scans import grade_stream
 
 TEMPLATE = {
@@ -115,9 +115,13 @@ def test_template_to_graded_rows(spark, tmp_path):
     assert told == [("q1", "Correct", "3.0", "3.0"), ("q2", "Correct", "3.0", "6.0"), ("q3", "Correct-D", "3.0", "9.0"), ("q4", "Incorrect", "-1.0", "8.0"), ("Q5", "Correct", "3.0", "11.0")]
     plain = engine.graded(scans.read_scans(spark, str(tmp_path)), t, config={"dimensions": config["dimensions"]}).rows
     assert {r.score for r in plain.where("route = 'results'").collect()} == {"0"} and plain.where("route = 'multimarked'").count() == 0
-    scans.write_results(got.rows, str(tmp_path / "out"))
-    again = scans.read_records(spark, str(tmp_path / "out"))
-    assert again.count() == 3 and {r.score for r in again.collect()} == {"11.0", "NA"}
+    for _ in range(2):  # a retried run leaves no doubled row
+        results.write_run(got.rows, str(tmp_path / "out"), "one")
+        results.write_explanations(got.explanation, str(tmp_path / "told"), "one")
+    again = results.read_records(spark, str(tmp_path / "out")).collect()
+    assert len(again) == 3 and {r.record["score"] for r in again} == {"11.0", "NA"}
+    written = results.read_records(spark, str(tmp_path / "told")).collect()
+    assert len(written) == got.explanation.count() and {r.record["verdict"] for r in written} >= {"Correct", "Correct-D", "Incorrect"}
 
 
 def test_marker_files(spark, tmp_path):
