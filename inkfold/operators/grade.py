@@ -81,3 +81,25 @@ def missing_questions(responses: DataFrame, asked: list[str], sheets: DataFrame)
 def extra_questions(responses: DataFrame, asked: list[str]) -> DataFrame:
     """``sheet, label``: answered labels that start with a small q and are not in the key; a warning, not an error."""
     return responses.where(F.col("label").startswith("q") & ~F.col("label").isin(asked)).select("sheet", "label")
+
+
+def key_from_sheets(responses: DataFrame, key_sheets: DataFrame, empty: str = "", questions: list[str] | None = None, sections: dict[str, str] | None = None) -> DataFrame:
+    """``exam, label, pos, section, answer_type, answers, weights``: answer keys read from the responses of marked sheets ``exam, sheet``, within the same plan.
+
+    With ``questions`` the key has those, in order, and one that is blank stops the run; without, all that are not blank, in the order of
+    their text. Blank is what contains the empty value, or nothing where that is empty. A key sheet without responses stops the run.
+    """
+    read = key_sheets.select("exam", "sheet").join(responses.select("sheet", "label", "response"), "sheet", "left")
+    unread = F.raise_error(F.concat(F.lit("Could not read answer key from image "), F.col("sheet").cast("string"))).cast("string")
+    read = read.withColumn("label", F.coalesce("label", unread))
+    blank = F.length("response") == 0 if empty == "" else F.contains("response", F.lit(empty))
+    if questions:
+        place = F.array_position(F.array(*[F.lit(q) for q in questions]), F.col("label"))
+        stop = F.raise_error(F.concat(F.lit("Found empty answers in file '"), F.col("sheet").cast("string"), F.lit("'. Please check your template again in the --setLayout mode."))).cast("string")
+        asked = read.withColumn("pos", place.cast("int")).where("pos > 0").withColumn("response", F.when(blank, stop).otherwise(F.col("response")))
+    else:
+        asked = read.where(~blank).withColumn("pos", F.row_number().over(Window.partitionBy("exam").orderBy("label")))  # a template's labels are few
+    section = F.lit("DEFAULT")
+    for label, name in (sections or {}).items():
+        section = F.when(F.col("label") == label, F.lit(name)).otherwise(section)
+    return asked.select("exam", "label", "pos", section.alias("section"), F.lit("standard").alias("answer_type"), F.array("response").alias("answers"), F.lit(None).cast("array<double>").alias("weights"))

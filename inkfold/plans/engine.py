@@ -51,7 +51,14 @@ def graded(scans: DataFrame, template: Template, evaluation: Evaluation | None =
     if evaluation:
         if missing := [q for q in evaluation.questions if q not in {*template.custom, *template.labels}]:
             raise SpecError(f"Missing questions in the responses: {missing}")
-        judged = grade.scored(grade.verdicts(joined, evaluation.key_table(spark), template.empty), evaluation.scheme_table(spark))
+        key = evaluation.key_table(spark)
+        if evaluation.key_image:  # the key is one of the sheets, and is graded as well
+            image = evaluation.key_image.lstrip("./")
+            of = scans.where((F.col("file") == image.rpartition("/")[2]) & F.col("path").endswith(f"/{image}")).select(F.lit("").alias("exam"), F.col("path").alias("sheet"))
+            if of.isEmpty():
+                raise SpecError(f"Answer key image not found at '{evaluation.key_image}'")
+            key = grade.key_from_sheets(joined, of, template.empty, evaluation.asked, evaluation.section_of).drop("exam")
+        judged = grade.scored(grade.verdicts(joined, key, template.empty), evaluation.scheme_table(spark))
         scores = grade.sheet_scores(judged)
         explained = grade.explanation_text(judged) if evaluation.explain else None
     every = scans.select(F.col("path").alias("sheet"), "file").join(wide, "sheet", "left")

@@ -221,12 +221,17 @@ class Evaluation:
 
     def __init__(self, document: dict, folder: str | Path = ".", responses_of_key: dict[str, str] | None = None, empty: str = "", filter_multi: bool = False):
         o = document["options"]
+        self.key_image = self.asked = None
         if document.get("source_type") == "csv":
             path = Path(folder) / o["answer_key_csv_path"]
             if path.exists():
                 with path.open(newline="") as f:
                     rows = [r for r in csv.reader(f) if r]
                 self.questions, answers = [r[0] for r in rows], [parse_answer(r[1]) for r in rows]
+            elif responses_of_key is None and o.get("answer_key_image_path"):  # read from that sheet, within the plan that reads all sheets
+                self.key_image = o["answer_key_image_path"]
+                self.asked = parse_fields("questions_in_order", o["questions_in_order"]) if "questions_in_order" in o else None
+                self.questions, answers = self.asked or [], [""] * len(self.asked or [])
             elif responses_of_key is None:
                 raise SpecError(f"Answer key csv not found at '{path}'")
             else:
@@ -251,7 +256,8 @@ class Evaluation:
                     raise SpecError(f"Section '{name}' has overlapping question(s) with other sections")
                 section_of[q] = name
         missing = sorted(set(section_of) - set(self.questions), key=natural_key)
-        if missing:
+        self.section_of = section_of
+        if missing and not (self.key_image and self.asked is None):
             raise SpecError(f"Some questions are missing in the answer key for the given marking scheme: {missing}")
         self.warnings = [f"Found positive marks({i}) for incorrect answer in the schema '{n}'. For Bonus sections, add a prefix 'BONUS_' to them." for n, _, i, _ in self.schemes if i > 0 and not n.startswith("BONUS")]
         self.key = []

@@ -140,3 +140,22 @@ def test_erosion():
     page = np.full((9, 9), 200, np.uint8)
     page[4, 4] = 10
     assert (pixels.eroded(page, 3, 1) == 10).sum() == 9 and (pixels.eroded(page, 5, 5) == 10).all()
+
+
+def test_key_from_a_sheet(spark, tmp_path):
+    t = spec.Template(ENGINE)
+    marked = {"roll1": "1", "roll2": "2", "roll3": "3", "q1": "A", "q2": "B", "q3": "C", "q4": "D", "Q5": ["no"], "x6": ["yes"]}
+    for name, marks in {"key": marked, "a": marked | {"q2": "A", "q4": ""}}.items():
+        (tmp_path / f"{name}.png").write_bytes(scans.png(scans.drawn(t, marks)))
+    document = {"source_type": "csv", "options": {"answer_key_csv_path": "none.csv", "answer_key_image_path": "key.png", "questions_in_order": ["q1..4"]}, "marking_schemes": {"DEFAULT": {"correct": 4, "incorrect": -1, "unmarked": 0}, "X": {"questions": ["q1"], "marking": {"correct": 10, "incorrect": 0, "unmarked": 0}}}}
+    config = {"dimensions": {"processing_width": 300, "processing_height": 400}}
+    grades = lambda d: {r.file_id: r.score for r in engine.graded(scans.read_scans(spark, str(tmp_path)), t, spec.Evaluation(d, tmp_path, empty="NR"), config).rows.collect()}
+    assert grades(document) == {"key.png": "22.0", "a.png": "13.0"}
+    free = {**document, "options": {k: v for k, v in document["options"].items() if k != "questions_in_order"}, "marking_schemes": {"DEFAULT": document["marking_schemes"]["DEFAULT"]}}
+    assert grades(free) == {"key.png": "28.0", "a.png": "19.0"}  # Q5, Roll, q1 to q4, x6
+    (tmp_path / "key.png").write_bytes(scans.png(scans.drawn(t, marked | {"q3": ""})))
+    with pytest.raises(Exception, match="Found empty answers in file"):
+        grades(document)
+    (tmp_path / "key.png").unlink()
+    with pytest.raises(spec.SpecError):
+        grades(document)
