@@ -120,6 +120,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
+def level(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component below 1: exact, and its squares neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
+
+
 def vectors_of(column: pa.ChunkedArray) -> np.ndarray:
     values = column.combine_chunks()
     values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
@@ -130,7 +135,8 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5, shard_rows: int = 409
     """``query_id, rank, vec_id, score``: for each vec_id divisible by ``every`` the k nearest found by cosine, ties to the smaller vec_id.
 
     Null, empty and zero vectors and those with null or non-finite components take no part; nor do null ids. Vectors
-    of different dimensions never meet. A row repeated with its id counts once; a query never finds its own id.
+    of different dimensions never meet. A row repeated with its id counts once; a query never finds its own id. An empty table gives no
+    rows, other columns are ignored, and vectors of any magnitude are measured.
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "ann")
@@ -173,6 +179,7 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5, shard_rows: int = 409
         ids, edges = get("ids", np.int64).reshape(len(x), -1), get("edges", np.int32).reshape(len(x), -1)
         found, _ = closest(unit(x).astype(np.float32), edges, unit(want).astype(np.float32), max(2 * beam, 4 * k), get("starts", np.int32))
         out = {f.name: [] for f in OUT}
+        x, want = level(x), level(want)
         norms = np.sqrt((x * x).sum(1))
         for query, of, w, near in zip(q.column("query_id").to_pylist(), q.column("of").to_pylist(), want, found, strict=True):
             near = np.sort(near[near >= 0])

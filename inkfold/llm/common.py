@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -16,24 +15,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (local tests) a temporary folder is set up.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext.getCheckpointDir()
-        root = found or tempfile.mkdtemp(prefix="inkfold-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder."""
+    root = store.shared_root(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    return root
 
 
 class Scratch:

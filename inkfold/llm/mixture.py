@@ -54,6 +54,8 @@ class Model:
     weights: np.ndarray
     ridge: float = 1e-3
     residuals: list[list[float]] = field(default_factory=list)
+    least: float = 0.0  # bounds that the rates are projected onto
+    most: float = math.inf
 
     def posteriors(self, x: np.ndarray) -> np.ndarray:
         return softmax(((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1])
@@ -64,18 +66,18 @@ class Model:
         w = y = np.ones(len(p))
         momentum = 1.0
         for r in self.residuals:
-            new = np.maximum(0, y - step * (p @ np.array(r) + self.ridge * (y - 1)))
+            new = np.clip(y - step * (p @ np.array(r) + self.ridge * (y - 1)), self.least, self.most)
             following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-            y, w, momentum = np.maximum(0, new + (momentum - 1) / following * (new - w)), new, following
+            y, w, momentum = np.clip(new + (momentum - 1) / following * (new - w), self.least, self.most), new, following
         return y if ahead else w
 
     def packed(self) -> str:
-        return json.dumps({"domains": self.domains, "mean": self.mean.tolist(), "scale": self.scale.tolist(), "weights": self.weights.tolist(), "ridge": self.ridge, "residuals": self.residuals})
+        return json.dumps({"domains": self.domains, "mean": self.mean.tolist(), "scale": self.scale.tolist(), "weights": self.weights.tolist(), "ridge": self.ridge, "residuals": self.residuals, "least": self.least, "most": self.most})
 
     @classmethod
     def unpacked(cls, text: str) -> Model:
         d = json.loads(text)
-        return cls(d["domains"], *(np.array(d[k]) for k in ("mean", "scale", "weights")), d["ridge"], d["residuals"])
+        return cls(d["domains"], *(np.array(d[k]) for k in ("mean", "scale", "weights")), d["ridge"], d["residuals"], d["least"], d["most"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, sample_bytes: int = 16 << 20, rounds: int = 300) -> Model:
@@ -145,8 +147,12 @@ def totals(table: DataFrame, model: Model) -> np.ndarray:
     return out
 
 
-def fit(table: DataFrame, model: Model, weights: dict[str, float], only_more: bool = False, rounds: int = 60, tolerance: float = 1e-4) -> Model:
-    """Add steps until the shares change by less than the tolerance. Targets sum to the tokens there are, or, with ``only_more``, to so many that no domain must shrink."""
+def fit(table: DataFrame, model: Model, weights: dict[str, float], only_more: bool = False, rounds: int = 60, tolerance: float = 1e-4, most: float = 4.0) -> Model:
+    """Add steps until the shares change by less than the tolerance.
+
+    Targets sum to the tokens there are. With ``only_more`` they sum to so many that no domain must shrink, ``most`` times the tokens at most, and every rate
+    is projected onto 1 to ``most``; targets further away are approached as far as that allows.
+    """
     start = totals(table, model)
     total = start.sum()
     if total <= 0 or len(model.domains) < 2:
@@ -154,6 +160,9 @@ def fit(table: DataFrame, model: Model, weights: dict[str, float], only_more: bo
     share = np.array([weights.get(d, 0.0) for d in model.domains])
     share = share / share.sum() if share.sum() > 0 else start / total
     target = share * (max([1.0, *(start[share > 0] / total / share[share > 0])]) if only_more else 1.0)
+    if only_more:
+        model.least, model.most = 1.0, most
+        target = target * min(1.0, most / max(target.sum(), 1e-12))
     found = start
     for _ in range(rounds):
         residual = found / total - target
@@ -169,7 +178,7 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> Da
     """``doc_id, n_tokens, rate, p_<domain>...`` for every row of docs; labels: ``doc_id, domain``.
 
     Null and empty texts have no tokens and the rate that their posteriors give. Repeated rows get equal rates. Targets of
-    domains without labels cannot be met and are left out.
+    domains without labels cannot be met and are left out. Long texts count by all their words; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mixture")
     model = train(docs, labels)
@@ -187,14 +196,15 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> Da
     return table.mapInArrow(run, ", ".join(["doc_id long", "n_tokens long", "rate double", *(f"`{n}` double" for n in names)]))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int = 11) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int = 11, most: float = 4.0) -> DataFrame:
     """docs with each row as often as its rate says: the whole part, and once more with the chance of the fraction, by a hash of the row.
 
-    Domains only grow towards their target weights here, so every row stays at least once.
+    Domains only grow towards their target weights here, so every row stays at least once, and none comes more than ``most`` times (rounded up).
+    Null and empty texts and repeated rows fare like others; long texts count by all their words; an empty table stays empty; columns of any name stay.
     """
     scratch = Scratch(docs.sparkSession, "mixed")
     model = train(docs, labels)
-    packed = fit(scratch.save(members(docs, model), "members"), model, weights, only_more=True).packed()
+    packed = fit(scratch.save(members(docs, model), "members"), model, weights, only_more=True, most=most).packed()
     keyed = docs.withColumn("\x00u", (F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))).cast("double"))
     schema = T.StructType(docs.schema.fields)
 
@@ -204,7 +214,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], seed: i
             for a, b in text_slices(batch, "text"):
                 part = batch.slice(a, b - a)
                 x, _ = features(part.column("text").to_pylist())
-                rate = np.maximum(1.0, m.rates(m.posteriors(x)))
+                rate = m.rates(m.posteriors(x))
                 copies = np.floor(rate + part.column(part.num_columns - 1).to_numpy()).astype(np.int64)
                 where = pa.array(np.repeat(np.arange(len(copies)), copies))
                 yield pa.RecordBatch.from_arrays([c.take(where) for c in part.columns[:-1]], part.schema.names[:-1])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import os
-
-import public_tokenizers
 from pyspark.sql import functions as F
 
 from .common import table
 
-TOKENIZER_FILE = os.environ.get("INKFOLD_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
+
+def tokenizer_file() -> str:
+    """The vocabulary of the token output."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op5_ann(spark, sf_dir):
@@ -39,7 +41,7 @@ def op8_jaccard_join(spark, sf_dir):
 def op9_rans(spark, sf_dir):
     from .rans import token_output
 
-    return token_output(table(spark, sf_dir, "documents"), TOKENIZER_FILE, slice_bytes=16 << 20)
+    return token_output(table(spark, sf_dir, "documents"), tokenizer_file(), slice_bytes=16 << 20)
 
 
 #: Target shares of tokens by quality.

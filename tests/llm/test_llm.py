@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkfold.llm import ann, decontaminate, graph, jaccard_join, line_dedup, mixture, queries, rans, substring_dedup, suffix_dedup, toxicity, warc
 from inkfold.llm.common import Scratch
-from inkfold.llm.queries import TOKENIZER_FILE
+from inkfold.llm.queries import tokenizer_file
 
 RNG = random.Random(4)
 VOCABULARY = ["".join(RNG.choices("abcdeghimnorstu", k=RNG.randint(2, 8))) for _ in range(400)]
@@ -409,15 +409,15 @@ def test_rans_block(n):
 def test_token_output(spark):
     from tokenizers import Tokenizer
 
-    tokenizer, start, want = Tokenizer.from_file(TOKENIZER_FILE), 0, []
+    tokenizer, start, want = Tokenizer.from_file(tokenizer_file()), 0, []
     docs = documents(spark)
     for r in sorted(docs.collect(), key=lambda r: -1 if r.doc_id is None else r.doc_id):
         ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    got = rans.token_output(docs, TOKENIZER_FILE, tokens_per_file=3000).collect()
+    got = rans.token_output(docs, tokenizer_file(), tokens_per_file=3000).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
-    assert rans.token_output(empty(spark), TOKENIZER_FILE).count() == 0
+    assert rans.token_output(empty(spark), tokenizer_file()).count() == 0
 
 
 # --- 10 -------------------------------------------------------------------------------------------------------------
@@ -443,7 +443,7 @@ def test_words_encoded_apart():
     import pyarrow as pa
     from tokenizers import Tokenizer
 
-    tokenizer, words, draw = Tokenizer.from_file(TOKENIZER_FILE), rans.Words(TOKENIZER_FILE, "<u2"), random.Random(1)
+    tokenizer, words, draw = Tokenizer.from_file(tokenizer_file()), rans.Words(tokenizer_file(), "<u2"), random.Random(1)
     bits = ["a", "b.", "don't", "'s", "x'll", "123", "\u00e9", "\u65e5\u672c", "\u0120", "|", "...", " ", " ", "\n", "  ", "\t", "\x1c", "\x85", "\u200b", "<|endoftext|>"]
     texts = ["".join(draw.choice(bits) for _ in range(draw.randint(0, 12))) for _ in range(3000)] + ["a b\nc " * 50 + "d"]
     want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]

@@ -4,7 +4,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
-from inkfold.llm.queries import TOKENIZER_FILE
+from inkfold.llm.queries import tokenizer_file
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def test_stages(spark, tmp_path):
         seen.append(len(now))
         ids = now
     assert seen[0] > 150 and seen[3] == seen[2]
-    tokenizer, start, want = Tokenizer.from_file(TOKENIZER_FILE), 0, []
+    tokenizer, start, want = Tokenizer.from_file(tokenizer_file()), 0, []
     for r in docs.orderBy("doc_id", "text").collect():
         x = np.array([*tokenizer.encode(r.text, add_special_tokens=False).ids, 2], "<u4")
         want.append((r.doc_id, start, len(x), zlib.crc32(x.tobytes())))
