@@ -463,11 +463,6 @@ def top_matches(spark, d):
     return geometry.best_share(table(spark, d, "orders"), "o_custkey", 15, "o_totalprice", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@query("SELECT o_custkey, o_orderkey, CAST(r AS INT) AS place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 5")
-def largest_contours(spark, d):
-    return geometry.largest(table(spark, d, "orders"), "o_custkey", 5, F.desc("o_totalprice"), "o_orderkey").select("o_custkey", "o_orderkey", "place")
-
-
 # --- files ----------------------------------------------------------------------------------------------------------
 PAGES = "SELECT page_id, 'in/r' || (page_id % 5) || '/n' || (page_id % 7) || CASE WHEN page_id % 3 = 0 THEN '/deep/er' ELSE '' END AS dir FROM pages"
 CONFIGS = [("in", "base"), ("in/r1", "one"), ("in/r2", "two"), ("in/r1/n3", "one-three"), ("in/r4/n2/deep", "deep")]
