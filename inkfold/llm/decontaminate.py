@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat, remembered, rows_out, text_slices
+from .common import flat, remembered, rows_out, text_slices, tidy
 from .shingles import U64, mix, window_hashes
 
 import xxhash  # isort: skip
@@ -251,7 +251,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, reca
                                 found[name].append(v)
                     yield rows_out(out, found)
 
-        return docs.mapInArrow(run, "doc_id long, item_id long, distance int, n_words int, first_word long, end_word long")
+        return docs.mapInArrow(tidy(run), "doc_id long, item_id long, distance int, n_words int, first_word long, end_word long")
 
     parts = [search(b) for b in blocks_of(benchmark, share, recall, least_words, block_bytes)]
     found = parts[0]
@@ -272,5 +272,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, r
                     part = batch.slice(a, b - a)
                     yield part.filter(pa.array([not found for found in matcher.scan(part.column("text").to_pylist())], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tidy(run), schema)
     return docs

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, flat, remembered, text_slices
+from .common import Scratch, flat, remembered, text_slices, tidy
 
 N_FEATURES = 256 + 7
 
@@ -123,7 +123,7 @@ def members(docs: DataFrame, model: Model) -> DataFrame:
                 x, n = features(batch.column("text")[a:b].to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(n), pa.array(m.posteriors(x).tolist(), pa.list_(pa.float64()))], schema=schema)
 
-    return flat(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
+    return flat(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, p array<double>")
 
 
 def matrix(column: pa.Array, k: int) -> np.ndarray:
@@ -142,7 +142,7 @@ def totals(table: DataFrame, model: Model) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(total)], ["k", "total"])
 
     out = np.zeros(k)
-    for r in table.mapInArrow(run, "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect():  # a row for each domain
+    for r in table.mapInArrow(tidy(run), "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect():  # a row for each domain
         out[r.k] = r.total
     return out
 
@@ -193,7 +193,7 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> Da
             p = matrix(batch.column("p"), k)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(m.rates(p)), *(pa.array(np.ascontiguousarray(c)) for c in p.T)], ["doc_id", "n_tokens", "rate", *names])
 
-    return table.mapInArrow(run, ", ".join(["doc_id long", "n_tokens long", "rate double", *(f"`{n}` double" for n in names)]))
+    return table.mapInArrow(tidy(run), ", ".join(["doc_id long", "n_tokens long", "rate double", *(f"`{n}` double" for n in names)]))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int = 11, most: float = 4.0) -> DataFrame:
@@ -219,4 +219,4 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], seed: i
                 where = pa.array(np.repeat(np.arange(len(copies)), copies))
                 yield pa.RecordBatch.from_arrays([c.take(where) for c in part.columns[:-1]], part.schema.names[:-1])
 
-    return keyed.mapInArrow(run, schema)
+    return keyed.mapInArrow(tidy(run), schema)

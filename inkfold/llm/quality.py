@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat, text_slices
+from .common import flat, text_slices, tidy
 from .toxicity import held_out
 
 BLOCK_WORDS, BLOCK_BYTES = 64, 512
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4_000) -> dict:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("positive"), part.column("unlabelled"), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "positive", "unlabelled", "x"])
 
     rows = sampled(docs, labels, sample_rows).select(F.col("doc_id").cast("string").alias("doc_id"), "positive", "unlabelled", "text")
-    found = rows.mapInArrow(run, schema).toArrow().sort_by("doc_id")  # at most 2 * sample_rows rows of SIZE floats
+    found = rows.mapInArrow(tidy(run), schema).toArrow().sort_by("doc_id")  # at most 2 * sample_rows rows of SIZE floats
     x = np.array(found["x"].to_pylist(), np.float32).reshape(-1, SIZE)
     flags = {c: found[c].to_numpy().astype(bool) for c in ("positive", "unlabelled")}
     order = np.argsort([zlib.crc32(i.encode()) for i in found["doc_id"].to_pylist()], kind="stable")
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 x = np.array([features(t) for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(own, x), pa.float64())], [*keep, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:

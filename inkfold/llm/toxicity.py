@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, remembered, text_slices
+from .common import flat, remembered, text_slices, tidy
 
 WORD = re.compile(r"\w{1,48}")
 WINDOW, STEP = 4, 2  # words of a window, words from one to the next
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 found = scorer(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*keep, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
