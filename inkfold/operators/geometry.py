@@ -36,11 +36,23 @@ def clipped(x0: Column, x1: Column, y0: Column, y1: Column, width: Column, heigh
 
 
 def fitted(width: Column, height: Column, box_width: float, box_height: float, rotation: Column | None = None) -> tuple[Column, Column]:
-    """The size of a page scaled down into the box; never up. Turned by 90 or 270 degrees, its sides are swapped first."""
+    """The size of a page scaled down into the box, rounded half to even; never up, a pixel at least. Turned by 90 or 270 degrees, its sides are swapped first."""
     turned = F.lit(False) if rotation is None else (rotation % 180) == 90
     w, h = F.when(turned, height).otherwise(width), F.when(turned, width).otherwise(height)
     s = F.least(F.lit(1.0), F.lit(float(box_width)) / w, F.lit(float(box_height)) / h)
-    return F.floor(w * s).cast("int"), F.floor(h * s).cast("int")
+    return F.greatest(F.lit(1), F.bround(w * s).cast("int")), F.greatest(F.lit(1), F.bround(h * s).cast("int"))
+
+
+def page_dimensions(scans: DataFrame, display: tuple[int, int], processing: tuple[int, int]) -> DataFrame:
+    """``scans`` (``width, height, rotation``, and ``page_width, page_height`` where a template places its blocks between markers, else null) with display and processing sizes.
+
+    Both boxes are filled without scaling up; between markers the template's own page is the processing size.
+    """
+    dw, dh = fitted(F.col("width"), F.col("height"), *display, F.col("rotation"))
+    pw, ph = fitted(F.col("width"), F.col("height"), *processing, F.col("rotation"))
+    own = (F.col("page_width") > 0) & (F.col("page_height") > 0)
+    sizes = {"display_width": dw, "display_height": dh, "processing_width": F.when(own, F.col("page_width")).otherwise(pw), "processing_height": F.when(own, F.col("page_height")).otherwise(ph)}
+    return scans.withColumns(sizes)
 
 
 def best_share(rows: DataFrame, group: str, percent: int, *order) -> DataFrame:

@@ -451,11 +451,19 @@ def window_clip(spark, d):
     return table(spark, d, "part").select("p_partkey", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
 
 
-@query("SELECT p_partkey, CAST(floor(w * s) AS INT) AS fit_w, CAST(floor(h * s) AS INT) AS fit_h FROM (SELECT *, least(1.0::DOUBLE, 666.0::DOUBLE / w, 820.0::DOUBLE / h) AS s FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 400 + p_size * 20 ELSE p_size * 50 END AS w, CASE WHEN p_partkey % 2 = 1 THEN p_size * 50 ELSE 400 + p_size * 20 END AS h FROM part))")
+@query(
+    """WITH p AS (SELECT p_partkey, p_partkey % 4 * 90 AS turn, p_size * 50 AS w0, 400 + p_size * 20 AS h0, CASE WHEN p_partkey % 3 = 0 THEN 300 + p_size END AS pw, CASE WHEN p_partkey % 3 = 0 THEN 500 END AS ph FROM part),
+t AS (SELECT *, CASE WHEN turn IN (90, 270) THEN h0 ELSE w0 END AS w, CASE WHEN turn IN (90, 270) THEN w0 ELSE h0 END AS h FROM p),
+s AS (SELECT *, least(1.0::DOUBLE, 1640.0::DOUBLE / w, 2480.0::DOUBLE / h) AS d, least(1.0::DOUBLE, 666.0::DOUBLE / w, 820.0::DOUBLE / h) AS r FROM t)
+SELECT p_partkey, CAST(greatest(1, round_even(w * d, 0)) AS INT) AS display_width, CAST(greatest(1, round_even(h * d, 0)) AS INT) AS display_height,
+  CAST(coalesce(pw, greatest(1, round_even(w * r, 0))) AS INT) AS processing_width, CAST(coalesce(ph, greatest(1, round_even(h * r, 0))) AS INT) AS processing_height FROM s"""
+)
 def fit_dimensions(spark, d):
-    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 50).alias("w"), (400 + F.col("p_size") * 20).alias("h"), (F.col("p_partkey") % 4 * 90).alias("turn"))
-    w, h = geometry.fitted(F.col("w"), F.col("h"), 666, 820, F.col("turn"))
-    return p.select("p_partkey", w.alias("fit_w"), h.alias("fit_h"))
+    marked = F.col("p_partkey") % 3 == 0
+    p = table(spark, d, "part").select(
+        "p_partkey", (F.col("p_size") * 50).alias("width"), (400 + F.col("p_size") * 20).alias("height"), (F.col("p_partkey") % 4 * 90).alias("rotation"), F.when(marked, 300 + F.col("p_size")).alias("page_width"), F.when(marked, 500).alias("page_height")
+    )
+    return geometry.page_dimensions(p, (1640, 2480), (666, 820)).select("p_partkey", "display_width", "display_height", "processing_width", "processing_height")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE r <= floor(n * 0.15)")

@@ -108,6 +108,21 @@ def checked_config(own: dict) -> dict:
     return out
 
 
+# What a batch run sets for markers that a template looks for in windows of its own.
+RUNTIME_MARKERS = {"markerSearchPadding": 20, "fallbackToExpandedMarkerCorners": True, "max_matching_variation": 0.5}
+
+
+def with_runtime_defaults(document: dict) -> dict:
+    """A template with the marker defaults of batch runs; what it sets itself stays, and the document given is not changed."""
+    out = copy.deepcopy(document)
+    for p in out.get("preProcessors") or []:
+        if p.get("name") == "CropOnMarkers":
+            options = p["options"] = p["options"] if isinstance(p.get("options"), dict) else {}
+            if "markerCorners" in options:
+                p["options"] = RUNTIME_MARKERS | options
+    return out
+
+
 class Template:
     """A compiled template: ``bubbles`` rows, labels, custom labels, output columns."""
 

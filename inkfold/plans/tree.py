@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decode, files, grade, measure, report
+from ..operators.lifecycle import ROTATIONS
 from ..sources.scans import load_markers, measure_tree, page_spec, read_scans
 from ..sources.store import saved
 from .engine import FOLDERS
-from .spec import Evaluation, SpecError, Template, checked_config
+from .spec import Evaluation, SpecError, Template, checked_config, with_runtime_defaults
 
 KINDS = ["template", "config", "evaluation"]
 # What of a template's configuration its sheets carry through the thresholds.
@@ -95,8 +96,8 @@ class SpecTree:
         return spark.createDataFrame([(d, *s) for d, e in self.evaluations.items() for s in e.schemes], "evaluation string, section string, correct double, incorrect double, unmarked double")
 
 
-def read_tree(spark: SparkSession, root: str) -> SpecTree:
-    """The documents below a folder of any file system that Spark reads; directories are named relative to the root, which is ``.``."""
+def read_tree(spark: SparkSession, root: str, batch: bool = False) -> SpecTree:
+    """The documents below a folder of any file system that Spark reads; directories are named relative to the root, which is ``.``. A batch run sets its marker defaults."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{template,config,evaluation}.json").load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath()
@@ -108,6 +109,8 @@ def read_tree(spark: SparkSession, root: str) -> SpecTree:
         except json.JSONDecodeError as e:
             raise SpecError(f"Error when loading json file at: '{r.path}'\n{e}") from e
         documents.setdefault(relative(folder, base), {})[name.removesuffix(".json")] = document
+    if batch:
+        documents = {d: {k: with_runtime_defaults(x) if k == "template" else x for k, x in some.items()} for d, some in documents.items()}
     return SpecTree(documents, root)
 
 
@@ -184,12 +187,15 @@ def graded_tree(bubbles: DataFrame, sheets: DataFrame, tree: SpecTree, out: str
     return routed.select("sheet", "dir", "template", "evaluation", "route", "score", place.alias("output_path"), F.coalesce("responses", none).alias("responses"))
 
 
-def grade_folder(spark: SparkSession, root: str, out: str = "outputs") -> DataFrame:
+def grade_folder(spark: SparkSession, root: str, out: str = "outputs", rotation: int = 0, batch: bool = False) -> DataFrame:
     """``graded_tree`` of the images below a folder, by the documents found in it. Markers and reference images that templates name are no sheets.
 
+    Pages are turned by ``rotation`` degrees. A batch run also fits each page into the processing box by its own proportions, and sets its marker defaults.
     The responses of all bubbles are measured in one pass over the images; that pass is written below the shared folder, as routing reads it twice.
     """
-    tree = read_tree(spark, root)
+    if rotation not in ROTATIONS:
+        raise SpecError(f"Invalid rotation {rotation!r}; allowed: {ROTATIONS}")
+    tree = read_tree(spark, root, batch)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
     scans = read_scans(spark, root)
@@ -204,6 +210,6 @@ def grade_folder(spark: SparkSession, root: str, out: str = "outputs") -> DataFr
     for d, t in tree.templates.items():
         size = tree.config_of(d)["dimensions"]
         w, h = size["processing_width"], size["processing_height"]
-        specs[d] = page_spec(t, w, h, load_markers(spark, t.pre_processors, f"{root}/{d}", w))
+        specs[d] = page_spec(t, w, h, load_markers(spark, t.pre_processors, f"{root}/{d}", w), rotation, fit=batch)
     seen = saved(measure_tree(scans.join(F.broadcast(near), "dir"), specs), "bubbles")
     return graded_tree(seen.where("strip is not null"), sheets, tree, out)

@@ -52,9 +52,15 @@ def load_markers(spark: SparkSession, chain: list[dict], folder: str, width: int
     return out
 
 
-def page_spec(template, width: int, height: int, chain: list[dict] | None = None) -> dict:
-    """What a task needs of a template: the chain of preprocessors, the processing size, the page and its bubbles."""
-    return {"chain": template.pre_processors if chain is None else chain, "bubbles": [(b[1], b[3], b[5], b[6], b[7], b[8]) for b in template.bubbles], "page": template.page, "size": [width, height]}
+def page_spec(template, width: int, height: int, chain: list[dict] | None = None, turn: int = 0, fit: bool = False) -> dict:
+    """What a task needs of a template: the chain of preprocessors, the processing size, the page and its bubbles.
+
+    Pages are turned clockwise by ``turn`` degrees first. With ``fit`` the processing size is a box that each page is scaled down into, unless markers
+    place the template, whose page then is the size.
+    """
+    if fit and any(p["name"] == "CropOnMarkers" for p in template.pre_processors):
+        width, height, fit = *template.page, False
+    return {"chain": template.pre_processors if chain is None else chain, "bubbles": [(b[1], b[3], b[5], b[6], b[7], b[8]) for b in template.bubbles], "page": template.page, "size": [width, height], "turn": turn, "fit": fit}
 
 
 def measure_scans(scans: DataFrame, template, width: int | None = None, height: int | None = None, chain: list[dict] | None = None) -> DataFrame:
@@ -76,7 +82,13 @@ def measure_tree(scans: DataFrame, specs: dict[str, dict]) -> DataFrame:
         for batch in batches:
             for path, name, hh, ww, channels, data in zip(*(batch.column(c).to_pylist() for c in ("path", "template", "height", "width", "nChannels", "image")), strict=True):
                 s, labels, opts, box = every[name]
-                page = None if data is None else pixels.preprocessed(gray(data, hh, ww, channels), s["chain"], *s["size"])
+                page = None if data is None else pixels.rotated(gray(data, hh, ww, channels), s["turn"])
+                if page is not None:
+                    size = s["size"]
+                    if s["fit"]:
+                        share = min(1.0, size[0] / page.shape[1], size[1] / page.shape[0])
+                        size = [max(1, round(page.shape[1] * share)), max(1, round(page.shape[0] * share))]
+                    page = pixels.preprocessed(page, s["chain"], *size)
                 if page is None:
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None], pa.string()), pa.array([None], pa.int32()), pa.array([None], pa.float64())], schema=schema)
                     continue

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 
 from inkfold.plans import spec, tree
@@ -75,3 +76,18 @@ def test_tree_errors(spark):
 def test_nearest_on_the_driver():
     known = {"a": 1, "a/b/c": 2}
     assert [tree.nearest(x, known) for x in ("a/b", "a/b/c/d", "ab", "a/b/cd")] == ["a", "a/b/c", None, "a"]
+
+
+def test_turned_pages_and_runtime_defaults(spark, tmp_path):
+    (tmp_path / "template.json").write_text(json.dumps(template()))
+    (tmp_path / "evaluation.json").write_text(json.dumps(evaluation(1, "A", "B", "D")))
+    page = scans.drawn(spec.Template(template()), {"q1": "A", "q2": "B", "q3": "C"})
+    (tmp_path / "s.png").write_bytes(scans.png(np.ascontiguousarray(np.rot90(page))))  # lies on its left side
+    row = tree.grade_folder(spark, str(tmp_path), rotation=90, batch=True).first()
+    assert row.responses == {"q1": "A", "q2": "B", "q3": "C"} and row.score == "1.0"
+    with pytest.raises(spec.SpecError):
+        tree.grade_folder(spark, str(tmp_path), rotation=45)
+    given = {"preProcessors": [{"name": "CropOnMarkers", "options": {"markerCorners": [], "markerSearchPadding": 5}}, {"name": "CropOnMarkers"}, {"name": "Levels", "options": {}}]}
+    ready = spec.with_runtime_defaults(given)["preProcessors"]
+    assert ready[0]["options"] == {"markerCorners": [], "markerSearchPadding": 5, "fallbackToExpandedMarkerCorners": True, "max_matching_variation": 0.5}
+    assert ready[1]["options"] == {} and "fallbackToExpandedMarkerCorners" not in given["preProcessors"][0]["options"]
