@@ -28,6 +28,17 @@ def accepted_corners(corners: DataFrame, least: float = LEAST_SCORE, variation:
     return corners.withColumn("anchor", anchor).withColumn("accepted", (F.col("score") >= least) & (F.abs(F.col("anchor") - F.col("score")) < variation))
 
 
+def retried_corners(corners: DataFrame, least: float = LEAST_SCORE, variation: float = VARIATION) -> DataFrame:
+    """``sheet, corner, score, wide`` (the score in a wider window, null without one) with ``anchor, final, used_wide, accepted``.
+
+    A corner that is not clear enough, or too far behind the anchor (the best score in the first windows), takes its wider window if that is accepted and no worse.
+    """
+    good = lambda c: (F.col(c) >= least) & (F.abs(F.col("anchor") - F.col(c)) < variation)
+    out = corners.withColumn("anchor", F.max("score").over(Window.partitionBy("sheet")))
+    out = out.withColumn("used_wide", F.coalesce(~good("score") & good("wide") & (F.col("wide") >= F.col("score")), F.lit(False)))
+    return out.withColumn("final", F.when(F.col("used_wide"), F.col("wide")).otherwise(F.col("score"))).withColumn("accepted", good("final"))
+
+
 def clipped(x0: Column, x1: Column, y0: Column, y1: Column, width: Column, height: Column, padding: Column | None = None) -> list[Column]:
     """A window, wider by ``padding`` on all sides, cut at the page: x0, x1, y0, y1."""
     p = F.lit(0) if padding is None else padding
