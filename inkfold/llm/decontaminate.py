@@ -233,7 +233,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, reca
     """``doc_id, item_id, distance, n_words, first_word, end_word``: a row for each row of docs and item found in it (its best match).
 
     Words are compared by their letters and digits in lower case. Null and empty texts hold nothing, an empty table gives no rows. Items of
-    fewer than ``least_words`` words, and null ones, are not searched. Repeated rows of either table give repeated rows.
+    fewer than ``least_words`` words, and null ones, are not searched, nor are items without any letter or digit. Repeated rows of either table give
+    repeated rows. Long texts are searched whole; an empty benchmark finds nothing; other columns are ignored.
     """
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("n_words", pa.int32()), ("first_word", pa.int64()), ("end_word", pa.int64())])
     docs = flat(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -246,6 +246,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, broadcast
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of docs: every byte in a string of ``length`` bytes that also starts elsewhere goes.
 
     Null texts are empty. Matches never cross documents. Repeated rows are documents of their own, so their long texts go as a whole.
+    Very long texts are searched whole; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch, parts = Scratch(spark, "suffix"), parallelism(spark)

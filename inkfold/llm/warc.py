@@ -286,7 +286,11 @@ def page_records(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Write pages as WARC records into archives, read them back: ``page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri``."""
+    """Write pages as WARC records into archives, read them back: ``page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri``.
+
+    Null payloads are empty; repeated rows are records of their own; payloads of any length are written and read whole. An empty table gives no rows, other
+    columns are ignored.
+    """
     scratch = Scratch(pages.sparkSession, "warc")
     manifest = scratch.save(write_archives(page_records(pages), scratch.sub("archives")), "manifest")
     page = lambda c: F.expr(f"try_cast(substring({c}, {len(PAGE) + 1}) as bigint)")

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from inkfold.llm import ann, line_dedup, mixture, queries
+from inkfold.llm import ann, decontaminate, line_dedup, mixture, queries, substring_dedup, suffix_dedup, warc
 from inkfold.llm.common import table
 
 
@@ -79,3 +79,26 @@ def test_repeats_are_bounded(spark):
     counts = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert got.columns == docs.columns and set(counts) == {r[0] for r in rows} and max(c for i, c in counts.items() if i != 5) <= math.ceil(4.0)
     assert mixture.mixed(docs.where(F.lit(False)), labels, {"high": 0.05, "low": 0.95}).count() == 0
+
+
+def test_long_repeated_and_no_rows(spark):
+    """Very long texts, repeated rows, empty tables and columns of inner names, for the operators that read texts."""
+    rng = np.random.default_rng(7)
+    words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ao", "ei", "ou", "ia", "un", "er")]
+    passage = " ".join(rng.choice(words, 80))
+    long = " ".join(rng.choice(words, 60_000)) + " " + passage
+    rows = [(1, long), (2, "start " + passage + " end"), (3, None), (4, ""), (5, "short"), (5, "short")]
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, packed string, doc long, bin int").repartition(2)
+    empty = docs.limit(0)
+    hit = {r.doc_id: (r.n_repeated, r.n_words) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert hit[1][0] >= 80 and hit[2][0] >= 80 and hit[3] == (0, 0) and hit[1][1] == 60_080 and substring_dedup.repeated_passages(empty).count() == 0
+    cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert cut[1][0] == len(long) and len(passage) <= cut[1][1] <= len(passage) + 4 and cut[2][1] >= len(passage) and cut[4] == (0, 0) and suffix_dedup.remove_repeats(empty).count() == 0
+    items = spark.createDataFrame([(7, passage, "x"), (8, None, "x"), (9, "!!! ---", "x"), (7, passage, "x")], "item_id long, text string, doc_id string")
+    found = sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, items).collect())
+    assert found == [(1, 7, 0), (1, 7, 0), (2, 7, 0), (2, 7, 0)]
+    assert decontaminate.contaminated(empty, items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
+    pages = spark.createDataFrame([(1, "u", "p" * 3_000_000, 0), (2, "u", "p" * 3_000_000, 0), (3, "v", None, 0), (3, "v", None, 0)], "page_id long, url string, html string, payload_bytes int")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect())
+    assert got == [(1, 3_000_000, "response", None), (2, 3_000_000, "revisit", 1), (3, 0, "response", None), (3, 0, "response", None)]
+    assert warc.archive_pages(pages.limit(0)).count() == 0
