@@ -72,9 +72,10 @@ def stored_results(records: DataFrame, pattern: str | None = None) -> DataFrame:
     newest = good.groupBy("run").agg(F.max("mtime").alias("t"), F.max("header").alias("h")).orderBy(F.desc("t"), "run").limit(1)  # a row
     ok = result_rows(good.join(F.broadcast(newest.select("run")), "run", "left_semi"))
     oldest = bad.groupBy("file").agg(F.min("mtime").alias("t"), F.max("header").alias("h")).orderBy("t", "file").limit(1)  # a row
-    header = newest.select("h", F.lit(0).alias("o")).unionByName(oldest.select("h", F.lit(1).alias("o"))).orderBy("o").limit(1).select("h")
+    header = newest.select("h", F.lit(0).alias("o")).unionByName(oldest.select("h", F.lit(1).alias("o"))).orderBy("o").limit(1).select("h").first()
+    named = F.array(*[F.lit(c) for c in header.h]) if header else F.expr("cast(array() as array<string>)")
     failed = first_per(result_rows(bad, "failed"), "file_id", "mtime", "file", "at").drop("header")
-    both = qc_by_header(ok, "header", pattern).unionByName(qc_by_header(failed.crossJoin(F.broadcast(header)).withColumnRenamed("h", "header"), "header", pattern))
+    both = qc_by_header(ok, "header", pattern).unionByName(qc_by_header(failed.withColumn("header", named), "header", pattern))
     return both.select("run", *RESERVED, "status", "error_reason", "qc_flags", "nr_count", "nr_percent", "responses")
 
 
