@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import saved
 from .geometry import largest
+from .measure import by_sheet, column_sums
 
 
 def runs(pixels: DataFrame, least: int) -> DataFrame:
@@ -62,18 +63,17 @@ def largest_blobs(found: DataFrame, n: int = 5) -> DataFrame:
     return largest(found, "sheet", n, F.desc("area"), "blob")
 
 
-def shifts(pixels: DataFrame, blocks: DataFrame, match_col: int = 5, max_steps: int = 20, stride: int = 1, thickness: int = 3, least: float = 100.0) -> DataFrame:
+def shifts(pixels: DataFrame, blocks: DataFrame, match_col: int = 5, max_steps: int = 20, stride: int = 1, thickness: int = 3, least: float = 100.0, placed: bool = False) -> DataFrame:
     """``sheet, block, shift``: how far each block ``sheet, block, x, y, w, h`` lies off its place, found by steps to where both edges, or none, are bright.
 
-    ``pixels`` are edge pages (bright where something stands upright). Sums along columns are taken once per page; a block takes the two rows that bound it, and
-    folds at most ``max_steps`` steps over the sums of its columns, stopping early.
+    ``pixels`` are edge pages (bright where something stands upright). Sums along columns are taken once per page; a block asks for those at the two rows that bound
+    it, and folds at most ``max_steps`` steps over the sums of its columns, stopping early. ``placed``: the pixels lie by sheet already.
     """
-    column = Window.partitionBy("sheet", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    sums = pixels.repartition("sheet").select("sheet", "x", "y", F.sum(F.col("px").cast("long")).over(column).alias("c"))
-    page = pixels.groupBy("sheet").agg(F.max("y").alias("ym"))
-    told = blocks.join(page, "sheet").select("sheet", "block", "x", "y", "w", "h", F.expr("inline(array(struct(least(y + h - 1, ym) as at, 1L as sign), struct(y - 1 as at, -1L as sign)))"))
-    met = told.select("sheet", "block", F.col("x").alias("ox"), F.col("y").alias("oy"), "w", "h", "at", "sign").join(sums.withColumnRenamed("y", "at"), ["sheet", "at"])
-    along = met.groupBy("sheet", "block", "ox", "w", "h", "x").agg(F.sum(F.col("sign") * F.col("c")).alias("c"))
+    page = pixels.groupBy("sheet").agg(F.max("x").alias("xm"), F.max("y").alias("ym"))
+    told = blocks.join(page.hint("merge"), "sheet").select("sheet", "block", F.col("x").alias("ox"), "w", "h", "xm", F.expr("inline(array(struct(least(y + h - 1, ym) as y, 1L as sign), struct(y - 1 as y, -1L as sign)))"))
+    asked = told.where("y >= 0").select("sheet", "block", "ox", "w", "h", "y", "sign", F.explode(F.expr("sequence(0, xm)")).alias("x"))
+    met = column_sums(by_sheet(pixels, placed).withColumn("c", F.col("px").cast("long")), asked, "c").where("total is not null")
+    along = met.groupBy("sheet", "block", "ox", "w", "h", "x").agg(F.sum(F.col("sign") * F.col("total")).alias("c"))
     wide = along.groupBy("sheet", "block", "ox", "w", "h").agg(F.expr("transform(array_sort(collect_list(struct(x, c))), v -> v.c)").alias("c"))  # a page's width
     wide = wide.withColumn("p", F.expr("aggregate(c, array(0L), (a, v) -> concat(a, array(element_at(a, -1) + v)))"))
     cut = lambda e: f"cast(greatest(0, least(size(c), {e})) as int)"
