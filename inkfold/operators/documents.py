@@ -115,7 +115,10 @@ def _shown(v: str) -> str:
 
 
 def errors(documents: DataFrame) -> DataFrame:
-    """``doc, at, rule, message``: everything that breaks a rule, a row each; documents without any are valid."""
+    """``doc, at, rule, message``: everything that breaks a rule, a row each; documents without any are valid.
+
+    One pass: a node is met with its rule, an object's keys are read from the object, so no document moves.
+    """
     nodes = flattened(documents)
     rule = F.broadcast(rules(documents.sparkSession))  # a fixed table
     met = nodes.alias("n").join(rule.alias("r"), F.expr("n.kind = r.kind and n.path = r.path"), "left")
@@ -138,23 +141,22 @@ def errors(documents: DataFrame) -> DataFrame:
         "pattern": (f"pattern is not null and type = 'string' and not {text} rlike pattern", f"concat({_shown('v')}, ' does not match ''', pattern, '''')"),
     }
     rows = ", ".join(f"if(coalesce({when}, false), named_struct('rule', '{name}', 'message', {message}), null)" for name, (when, message) in found.items())
-    own = met.select(F.col("n.doc").alias("doc"), "at", F.expr(f"inline(array_compact(array({rows})))"))
-    keys = nodes.where("above is not null and key <> '[]'").select("doc", "above", "key")
-    held = keys.groupBy("doc", "above").agg(F.collect_set("key").alias("keys"))
-    objects = met.where("n.type = 'object'").select(F.col("n.doc").alias("doc"), "at", F.col("n.kind").alias("kind"), F.col("n.path").alias("path"), "needs", "closed", F.col("v"))
-    objects = objects.join(held.withColumnRenamed("doc", "d"), F.expr("doc = d and at = above"), "left").withColumn("keys", F.coalesce("keys", F.expr("cast(array() as array<string>)")))
-    lacks = objects.select("doc", "at", F.explode(F.array_except("needs", "keys")).alias("k")).select("doc", "at", F.lit("required").alias("rule"), F.expr("concat('''', k, ''' is a required property')").alias("message"))
+    one = lambda when, name, message: f"if(coalesce({when}, false), named_struct('at', at, 'rule', '{name}', 'message', {message}), null)"
+    rows = [one(when, name, message) for name, (when, message) in found.items()]
+    # an object's own keys; one too deep to be opened has none
+    met = met.withColumn("keys", F.expr("if(type = 'object' and not deep, map_keys(cast(v as map<string, variant>)), cast(array() as array<string>))"))
+    is_object = "type = 'object' and "
     # a marker matched by its image needs the image; without a type the rule holds as well
-    image = objects.where("path = 'preProcessors[CropOnMarkers].options' and coalesce(try_variant_get(v, '$.type', 'string'), 'template_matching') = 'template_matching' and not array_contains(keys, 'relativePath')")
-    image = image.select("doc", "at", F.lit("required").alias("rule"), F.lit("'relativePath' is a required property").alias("message"))
-    one = "int(array_contains(keys, 'fieldType')) + int(array_contains(keys, 'bubbleValues') and array_contains(keys, 'direction'))"
-    either = objects.where("path = 'fieldBlocks.*'").where(f"{one} <> 1").select("doc", "at", F.lit("oneOf").alias("rule"), F.lit("either fieldType, or bubbleValues and direction, must be given").alias("message"))
-    together = objects.where("path = 'options[csv]' and array_contains(keys, 'answer_key_image_path') and not array_contains(keys, 'questions_in_order')")
-    together = together.select("doc", "at", F.lit("dependentRequired").alias("rule"), F.lit("'questions_in_order' is a dependency of 'answer_key_image_path'").alias("message"))
-    loose = met.where("r.path is null and n.above is not null and n.key <> '[]'").select(F.col("n.doc").alias("doc"), F.col("n.kind").alias("kind"), "above", "key", F.col("up").alias("p"))
-    closed = rule.where("closed").select("kind", F.col("path").alias("p"))
-    extra = loose.join(F.broadcast(closed), ["kind", "p"], "left_semi").select("doc", F.col("above").alias("at"), F.lit("additionalProperties").alias("rule"), F.expr("concat('Additional properties are not allowed (''', key, ''' was unexpected)')").alias("message"))
-    return own.unionByName(lacks).unionByName(image).unionByName(either).unionByName(together).unionByName(extra)
+    rows.append(one(is_object + "n.path = 'preProcessors[CropOnMarkers].options' and coalesce(try_variant_get(v, '$.type', 'string'), 'template_matching') = 'template_matching' and not array_contains(keys, 'relativePath')", "required", "'''relativePath'' is a required property'"))
+    given = "int(array_contains(keys, 'fieldType')) + int(array_contains(keys, 'bubbleValues') and array_contains(keys, 'direction'))"
+    rows.append(one(is_object + f"n.path = 'fieldBlocks.*' and {given} <> 1", "oneOf", "'either fieldType, or bubbleValues and direction, must be given'"))
+    rows.append(one(is_object + "n.path = 'options[csv]' and array_contains(keys, 'answer_key_image_path') and not array_contains(keys, 'questions_in_order')", "dependentRequired", "'''questions_in_order'' is a dependency of ''answer_key_image_path'''"))
+    lone = one("r.path is null and n.above is not null and n.key <> '[]' and c.p is not null", "additionalProperties", "concat('Additional properties are not allowed (''', key, ''' was unexpected)')").replace("'at', at", "'at', above")
+    lacks = "if(type = 'object', transform(array_except(needs, keys), k -> named_struct('at', at, 'rule', 'required', 'message', concat('''', k, ''' is a required property'))), null)"
+    none = "cast(array() as array<struct<at: string, rule: string, message: string>>)"
+    closed = F.broadcast(rule.where("closed").select(F.col("kind").alias("k"), F.col("path").alias("p")))
+    met = met.join(closed.alias("c"), F.expr("n.kind = c.k and n.up = c.p"), "left")
+    return met.select(F.col("n.doc").alias("doc"), F.expr(f"inline(concat(array_compact(array({', '.join([*rows, lone])})), coalesce({lacks}, {none})))"))
 
 
 def assets(documents: DataFrame) -> DataFrame:
