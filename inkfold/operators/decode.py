@@ -25,7 +25,7 @@ def question_text(empty: Column, delta: float | str, values: str, first: int) ->
     return F.when(F.expr(f"size({marked}) = 0"), empty).when(multi, F.concat(F.lit("MR("), one, F.lit(")"))).otherwise(one), multi
 
 
-def question_responses(strips: DataFrame, empty: str = "NR", delta: float = EQUAL_DELTA, values: str = LETTERS, first: int = 1) -> DataFrame:
+def question_responses(strips: DataFrame, empty: str = "NR", delta: float = EQUAL_DELTA, values: str = LETTERS, first: int = 1, carry: list[str] = ()) -> DataFrame:
     """Per strip ``response, multi, n_marked``: the darkest mark; marks about as dark make ``MR(..)``; none gives ``empty``.
 
     ``strips`` come from ``local_thresholds``; ``values`` is SQL for the values of the options, which are numbered from ``first``.
@@ -37,7 +37,7 @@ def question_responses(strips: DataFrame, empty: str = "NR", delta: float = EQUA
     return s.select(
         "sheet", "strip",
         F.when(F.size("x") == 0, F.lit(empty)).when(F.size("equal") > 1, F.expr(f"concat('MR(', array_join({texts}, ''), ')')")).otherwise(F.expr(f"array_join({texts}, '')")).alias("response"),
-        (F.size("equal") > 1).alias("multi"), F.size("x").alias("n_marked"),
+        (F.size("equal") > 1).alias("multi"), F.size("x").alias("n_marked"), *carry,
     )
 
 
