@@ -172,7 +172,7 @@ def graded_tree(bubbles: DataFrame, sheets: DataFrame, tree: SpecTree, out: str
     sheets without an evaluation score 0.
     """
     where = placed(sheets, tree)
-    found = decoded(bubbles, where, tree)
+    found = saved(decoded(bubbles, where, tree), "responses")  # read for columns, flags and scores
     joined = concatenated(found, tree)
     shown = joined.join(F.broadcast(tree.columns(bubbles.sparkSession)), ["template", "label"])
     wide = shown.groupBy("sheet").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "response")))).alias("responses"))
