@@ -73,5 +73,10 @@ def concatenated(responses: DataFrame, custom: DataFrame) -> DataFrame:
 
 
 def wide(responses: DataFrame, labels: list[str]) -> DataFrame:
-    """One row per sheet, one column per label in the given order."""
-    return responses.groupBy("sheet").pivot("label", labels).agg(F.first("response"))
+    """One row per sheet, one column per label in the given order; null where a sheet has no such label.
+
+    A sheet's labels and responses are gathered once and looked up in one array; sixty lookups beside each other would make code too long for the JVM to compile.
+    """
+    held = responses.groupBy("sheet").agg(F.collect_list(F.coalesce("label", F.lit(""))).alias("l"), F.collect_list(F.struct("response")).alias("r"))
+    found = F.transform(F.array(*map(F.lit, labels)), lambda k: F.get("r", (F.array_position("l", k) - 1).cast("int"))["response"])
+    return held.select("sheet", found.alias("found")).select("sheet", *[F.get("found", F.lit(i)).alias(label) for i, label in enumerate(labels)])
