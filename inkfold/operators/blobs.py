@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import saved
+from ..functions.pixels import touching_labels
 from .geometry import largest
-from .measure import by_sheet, column_sums
+from .measure import by_sheet, column_sums, pages_of
 
 
 def runs(pixels: DataFrame, least: int) -> DataFrame:
@@ -17,42 +18,33 @@ def runs(pixels: DataFrame, least: int) -> DataFrame:
     return lit.groupBy("sheet", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, label``: nodes (longs) that links ``a, b`` join get the same label, the smallest node among them.
+def labelled(runs: DataFrame, diagonal: bool = True) -> DataFrame:
+    """Runs ``sheet, y, x0, x1`` with ``top, start``, the place ``y, x0`` of the first run of their area, by one pass over the pages.
 
-    In each round every label takes the smallest label that any of its nodes has beside it, and labels are followed to their own labels twice; so the
-    number of rounds grows with the logarithm of the longest way. Every round is a table below the shared folder.
+    Runs come to a task in the order of their pages, and a page is labelled when its last run is there; so a task holds one page, not all of its own.
     """
-    both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b"), "links")
-    labels = nodes.select("node", F.col("node").alias("label"))
-    while True:
-        labels = saved(labels, "labels")
-        at = labels.select(F.col("node").alias("b"), F.col("label").alias("beside"))
-        near = both.join(at, "b").groupBy("a").agg(F.min("beside").alias("beside"))
-        hooks = labels.join(near, F.col("node") == F.col("a")).groupBy("label").agg(F.min("beside").alias("to")).where("to < label")
-        hooks = saved(hooks, "hooks")
-        if hooks.isEmpty():
-            return labels
-        for _ in range(2):
-            on = hooks.select(F.col("label").alias("of"), F.col("to").alias("next"))
-            hooks = hooks.join(on, F.col("to") == F.col("of"), "left").select("label", F.coalesce("next", "to").alias("to"))
-        labels = labels.join(hooks.withColumnRenamed("label", "of"), F.col("label") == F.col("of"), "left").select("node", F.coalesce("to", "label").alias("label"))
-
-
-def blobs(pixels: DataFrame, least: int = 200, diagonal: bool = True) -> DataFrame:
+    r = runs.select("sheet", "y", "x0", "x1")
+    kinds = dict(r.dtypes)
+    gap, schema = int(diagonal), f"sheet {kinds['sheet']}, y {kinds['y']}, x0 {kinds['x0']}, x1 {kinds['x1']}, top {kinds['y']}, start {kinds['x0']}"
+
+    def label(batches):
+        for page in pages_of(batches, "sheet"):
+            first = pa.array(touching_labels(*(page.column(c).to_numpy() for c in ("y", "x0", "x1")), gap))
+            yield from page.append_column("top", page.column("y").take(first)).append_column("start", page.column("x0").take(first)).to_batches(100_000)
+
+    return r.sortWithinPartitions("sheet", "y", "x0").mapInArrow(label, schema)
+
+
+def blobs(pixels: DataFrame, least: int = 200, diagonal: bool = True, placed: bool = False) -> DataFrame:
     """``sheet, blob, area, x0, y0, x1, y1, corners`` of each connected bright area; ``blob`` is the place ``y, x0`` of its first run.
 
     Runs of neighbouring rows that touch (at a corner too, if ``diagonal``) belong together. ``corners`` are the extreme points top left, top right, bottom right and
-    bottom left, by the sums and differences of their places.
+    bottom left, by the sums and differences of their places. ``placed``: the pixels lie by sheet already.
     """
-    r = saved(runs(pixels, least).withColumn("node", F.monotonically_increasing_id()), "runs")
-    gap = 1 if diagonal else 0
-    above = r.select(F.col("sheet").alias("s2"), (F.col("y") + 1).alias("y2"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("node").alias("b"))
-    touching = r.join(above, (F.col("sheet") == F.col("s2")) & (F.col("y") == F.col("y2")) & (F.col("x0") <= F.col("u1") + gap) & (F.col("u0") <= F.col("x1") + gap))
-    placed = r.join(components(r.select("node"), touching.select(F.col("node").alias("a"), "b")), "node")
+    found = labelled(runs(by_sheet(pixels, placed), least), diagonal)
     corner = lambda way, key, x: F.expr(f"{way}(struct({key} as k, y, {x} as x))")
-    out = placed.groupBy("sheet", "label").agg(
-        F.min(F.struct("y", "x0")).alias("blob"), F.sum(F.expr("x1 - x0 + 1")).cast("long").alias("area"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"),
+    out = found.groupBy("sheet", F.struct(F.col("top").alias("y"), F.col("start").alias("x0")).alias("blob")).agg(
+        F.sum(F.expr("x1 - x0 + 1")).cast("long").alias("area"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"),
         corner("min", "x0 + y", "x0").alias("a"), corner("min", "y - x1", "x1").alias("b"), corner("max", "x1 + y", "x1").alias("c"), corner("max", "y - x0", "x0").alias("e"),
     )
     return out.select("sheet", "blob", "area", "x0", "y0", "x1", "y1", F.array(*[F.struct(f"{c}.x", f"{c}.y") for c in "abce"]).alias("corners"))
