@@ -1,6 +1,7 @@
 """Cases at the edges of several operators: repetitive and very long lines, extreme vectors, targets out of reach, against solvers beside them."""
 
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -27,6 +28,29 @@ def test_repetitive_lines_are_compared(spark):
     assert len(like & gone) >= 0.99 * len(like) > 30
 
 
+def test_a_crowd_of_near_copies_is_not_compared_in_pairs(spark, monkeypatch):
+    rng, asked = random.Random(4), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base = [word() for _ in range(60)]
+    lines = []
+    for _ in range(160):  # two copies share about 0.75 of their shingles, some pairs 0.8
+        copy = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2, 3, 4])):
+            copy[at] = word()
+        lines.append(" ".join(copy))
+    plain = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *given: asked.append(pairs.count()) or plain(pairs, *given))
+    up = list(range(len(lines)))
+    find = lambda x: x if up[x] == x else find(up[x])
+    for i in range(len(lines)):
+        for j in range(i):
+            if jaccard(lines[i], lines[j]) >= 0.8:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    assert removed(spark, lines) == {i for i in range(len(lines)) if find(i) != i}
+    assert sum(asked) < 8 * len(lines)
+
+
 def test_very_long_lines_and_empty_table(spark):
     long = " ".join(f"w{i * 7919 % 100_003}" for i in range(30_000))
     assert removed(spark, ["x" * 200_000, "y" * 30, "x" * 200_001, long, long.replace("w7919 ", "w7918 ")]) == {2, 4}
