@@ -126,3 +126,20 @@ def test_long_repeated_and_no_rows(spark):
     got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect())
     assert got == [(1, 3_000_000, "response", None), (2, 3_000_000, "revisit", 1), (3, 0, "response", None), (3, 0, "response", None)]
     assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+def test_windows_of_a_frequent_line_do_not_all_meet():
+    rng = np.random.default_rng(3)
+    line = [f"l{i}" for i in range(12)]
+    texts = [[*(f"a{x}" for x in rng.random(50)), *line, *(f"b{x}" for x in rng.random(50))] for _ in range(300)]
+    for i in range(0, 40, 2):  # near copies: one word differs
+        texts[i + 1][20:90] = [*texts[i][20:40], "changed", *texts[i][41:90]]
+    runs = [["x"] * int(n) + [f"c{x}" for x in rng.random(60)] for n in rng.integers(30, 45, 200)]
+    tokens = substring_dedup.tokens_of([" ".join(t) for t in (*texts, *runs)], 5)
+    rows = substring_dedup.compact_windows(tokens, np.arange(len(tokens)), 46, 6)
+    own, hits, opened = substring_dedup.hits_of(rows)
+    pairs = {*zip(own.tolist(), hits["other"].tolist(), strict=True)}
+    seen = np.concatenate([substring_dedup.seen_by(t, opened[opened["doc"] == i], 46) for i, t in enumerate(tokens)])
+    for own, hits in substring_dedup.near_hits(seen, 46):
+        pairs |= {*zip(own.tolist(), hits["other"].tolist(), strict=True)}
+    assert {(i + 1, i) for i in range(0, 40, 2)} <= pairs and len(pairs) < 100  # 44,850 pairs share the line, 19,900 the run
