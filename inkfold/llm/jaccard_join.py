@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, give_back, parallelism, rows_out, text_slices
+from .common import Scratch, bins, flat, give_back, in_bins, parallelism, rows_out, text_slices, tidy
 from .graph import Forest, components
 from .shingles import MULTIPLIERS, U64, fingerprint, mix, shingle_sets
 
@@ -152,9 +152,8 @@ def star_edges(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return pairs[:, 0], pairs[:, 1]
 
 
-def block_edges(docs: DataFrame, k: int, bands: Bands, frequent: bytes) -> DataFrame:
-    """``a, b``: nodes that share a meeting key (each with the key's smallest node)."""
-    parts = parallelism(docs.sparkSession)
+def block_edges(docs: DataFrame, k: int, bands: Bands, frequent: bytes, parts: int) -> DataFrame:
+    """``a, b``: nodes that share a meeting key (each with the key's smallest node); keys meet in ``parts`` bins."""
     schema = pa.schema([("bin", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())])
 
     def deal(batches):
@@ -163,9 +162,9 @@ def block_edges(docs: DataFrame, k: int, bands: Bands, frequent: bytes) -> DataF
             for a, b in text_slices(batch, "text"):
                 sets = shingle_sets(batch.column("text")[a:b], k)
                 keys, nodes = meeting_keys(sets, fingerprint(sets), bands, common)
-                bins = (keys % U64(parts)).astype(np.uint16)
-                order = np.argsort(bins, kind="stable")
-                ends = np.searchsorted(bins[order], np.arange(parts), "right")
+                own = (keys % U64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+                order = np.argsort(own, kind="stable")
+                ends = np.searchsorted(own[order], np.arange(parts), "right")
                 keys, nodes, start = keys[order], nodes[order], 0
                 found = {"bin": [], "keys": [], "nodes": []}
                 for p, end in enumerate(ends.tolist()):
@@ -175,7 +174,6 @@ def block_edges(docs: DataFrame, k: int, bands: Bands, frequent: bytes) -> DataF
                         found["nodes"].append(nodes[start:end].tobytes())
                     start = end
                 yield rows_out(schema, found)
-        give_back()
 
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -189,8 +187,8 @@ def block_edges(docs: DataFrame, k: int, bands: Bands, frequent: bytes) -> DataF
             for i in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], schema=edge)
 
-    dealt = flat(docs, "text").mapInArrow(deal, "bin int, keys binary, nodes binary")
-    return dealt.repartition(parts, "bin").mapInArrow(meet, "a long, b long")
+    dealt = flat(docs, "text").mapInArrow(tidy(deal), "bin int, keys binary, nodes binary")
+    return in_bins(dealt, parts).mapInArrow(tidy(meet), "a long, b long")
 
 
 class Tree:
@@ -332,7 +330,7 @@ def large_links(large: DataFrame, scratch: Scratch, percent: int, chunk_bytes: i
             yield rows_out(out, found)
 
     joined = large.join(F.broadcast(sets) if size <= 24 << 20 else sets, "block").select("block", "node", "hashes", "pivots")
-    seen = scratch.save(joined.mapInArrow(compare, "block long, node long, pivot long, bytes long"), "seen")
+    seen = scratch.save(joined.mapInArrow(tidy(compare), "block long, node long, pivot long, bytes long"), "seen")
     best = seen.where("pivot is not null").groupBy("block", "pivot").agg(F.count(F.lit(1)).alias("n"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("n"), "pivot"))).where("r = 1").select("block", F.col("pivot").alias("best"))
     state = seen.join(few(scratch.save(best, "best")), "block").groupBy("block", "node").agg(F.bool_or(F.coalesce(F.col("pivot") == F.col("best"), F.lit(False))).alias("done"), F.max("bytes").alias("bytes"))
@@ -349,6 +347,8 @@ def large_links(large: DataFrame, scratch: Scratch, percent: int, chunk_bytes: i
         sets = [np.frombuffer(x.as_buffer(), U64) for x in t.column("hashes")]
         flags = [t.column(c).to_numpy() for c in ("open", "done")]
         links = cross_links(t.column("node").to_numpy(), sets, *flags, percent)
+        del sets, t
+        give_back()
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     parts = every.unionByName(some).select("block", "i", "j", "node", "open", "done", "hashes")
@@ -356,7 +356,7 @@ def large_links(large: DataFrame, scratch: Scratch, percent: int, chunk_bytes: i
     return seen.where("pivot is not null and pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(met)
 
 
-def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_rows: int, sample: tuple[int, int, int] = (12, 4_000, 64_000)) -> DataFrame:
+def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_rows: int, sample: tuple[int, int, int] = (12, 4_000, 64_000), bin_bytes: int = 16 << 20) -> DataFrame:
     """``doc_id, row, n_shingles, class`` for every row of docs: ``row`` is a hash of id and text, ``class`` null for texts without words."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -370,11 +370,12 @@ def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_r
                 marks = fingerprint(sets)
                 own = [batch.column(c)[a:b] for c in ("doc_id", "row")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array([int(m) if len(s) else None for m, s in zip(marks, sets, strict=True)], pa.int64())], schema=schema)
-        give_back()
 
-    d = scratch.save(docs.mapInArrow(sizes, "doc_id long, row long, n_shingles long, node long"), "sizes")
-    bands = Bands(percent, int(d.agg(F.max("n_shingles")).first()[0] or 1))
-    blocks = components(block_edges(docs, k, bands, frequent_shingles(docs, d, k, *sample)), scratch, "blocks")  # node, component
+    d = scratch.save(docs.mapInArrow(tidy(sizes), "doc_id long, row long, n_shingles long, node long"), "sizes")
+    largest, total = d.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
+    bands = Bands(percent, int(largest or 1))
+    parts = bins(spark, 8 * (total or 0), bin_bytes)  # keys are about as many bytes as shingles
+    blocks = components(block_edges(docs, k, bands, frequent_shingles(docs, d, k, *sample), parts), scratch, "blocks")  # node, component
     shown = d.where("node is not null").groupBy("node").agg(F.min("row").alias("shown"), F.first("n_shingles").alias("n"))
     members = blocks.join(shown, "node").select("node", F.col("component").alias("block"), "shown", "n")
     weight = members.groupBy("block").agg(F.sum(F.col("n") * 8).alias("bytes"))
@@ -402,7 +403,7 @@ def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_r
         return pa.table({"node": pa.array([b for _, b in links], pa.int64()), "component": pa.array([a for a, _ in links], pa.int64())})
 
     shape = "block long, node long, hashes binary"
-    found = scratch.save(texts.where("chunks = 1").mapInArrow(hashed, shape).groupBy("block").applyInArrow(linked, "node long, component long"), "whole")
+    found = scratch.save(texts.where("chunks = 1").mapInArrow(tidy(hashed), shape).groupBy("block").applyInArrow(linked, "node long, component long"), "whole")
     if members.where("chunks > 1").limit(1).count():
         # large blocks are mostly chains of sets of many sizes: their bands of sizes are blocks of their own, each set in two of them
         lows = size_bands(percent, int(bands.ends[-1]))
@@ -416,7 +417,7 @@ def classes(docs: DataFrame, k: int, percent: int, chunk_bytes: int, broadcast_r
                     own = mix(block.view(U64) * MULTIPLIERS[0] + (band + step).astype(U64) * MULTIPLIERS[1]).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(own), batch.column("node"), batch.column("hashes")], schema=out)
 
-        parts = scratch.save(texts.where("chunks > 1").mapInArrow(banded, shape), "banded")
+        parts = scratch.save(texts.where("chunks > 1").mapInArrow(tidy(banded), shape), "banded")
         size = scratch.save(parts.groupBy("block").agg(F.sum(F.octet_length("hashes")).alias("bytes"), F.count(F.lit(1)).alias("n")).where("n > 1"), "banded-sizes")
         few = F.broadcast(size) if size.count() <= broadcast_rows else size
         weighed = parts.join(few, "block")
