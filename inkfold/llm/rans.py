@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, give_back, open_fs, partition_id, remembered, rows_out, text_slices, written
+from .common import Scratch, flat, give_back, open_fs, partition_id, remembered, rows_out, text_slices, tidy, written
 
 MAGIC = b"RANSTOK1"
 SCALE_BITS = 20
@@ -356,7 +356,7 @@ def write_dataset(tokens: DataFrame, folder: str, scratch: Scratch, dtype: str,
 
     files = max(1, -(-total // tokens_per_file))
     ordered = tokens.where("ids is not null").select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    manifest = scratch.save(ordered.mapInArrow(encode, "file long, path string, n_docs long, n_tokens long"), "manifest")
+    manifest = scratch.save(ordered.mapInArrow(tidy(encode), "file long, path string, n_docs long, n_tokens long"), "manifest")
     scratch.drop("tokens")
     return manifest, load
 
@@ -382,7 +382,7 @@ def read_dataset(manifest: DataFrame, load: Callable[[], Table]) -> DataFrame:
                 yield rows_out(schema, found)
 
     tasks = placed.select("path", "base", "file").repartition(max(1, manifest.count()), "file").select("path", "base")
-    return tasks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tasks.mapInArrow(tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_file: str, end_id: int = 2, tokens_per_file: int = 8_000_000, slice_bytes: int = 4 << 20) -> DataFrame:
